@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec, token_counts
+from . import langid, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk, warc
+from .common import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +36,89 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_source_bytes")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=13))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=4)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digested(suffix_dedup.remove_passages(_table(spark, sf_dir, "documents"), window=50))
+
+
+def _digested(cut: DataFrame) -> DataFrame:
+    """The kept words joined by single spaces, as a digest."""
+    words = F.concat_ws(" ", F.filter(F.split("kept_text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), piece_model_path())
+    return packing.pack(counted)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    manifest = warc.write(_table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_piece_codec)}
+    ops = (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_piece_codec, op5_simhash, op6_language_id, op7_suffix_dedup, op8_bestfit_packing, op9_warc, op10_exact_topk)
+    return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
+
+
+def _window_sql(window: int) -> str:
+    """Words that a window covers which also starts in an earlier document, cut out."""
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, s, array_to_string(ws[s:s + {window - 1}], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {window - 2})) AS s FROM w)),
+m AS (SELECT hash(t) AS h, t, min(doc_id) AS least FROM g GROUP BY t),
+r AS (SELECT g.doc_id, list(s) AS starts FROM g JOIN m ON g.t = m.t WHERE g.doc_id > m.least GROUP BY g.doc_id),
+c AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + {window})))) AS gone FROM r),
+k AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(gone), 0) AS removed, CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN c ON w.doc_id = c.doc_id)
+SELECT doc_id, n AS n_words, CAST(removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS least FROM d),
+b32 AS (SELECT *, array_to_string(list_transform(range(8), lambda i: (
+  array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(i * 5 + 1 AS INTEGER), 5) AS BIGINT) >> s) & 31 AS INTEGER) + 1, 1)), ''))), '') AS digest FROM f)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM b32
+"""
+
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.x, d.x), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": _window_sql(13), "op7_suffix_dedup": _window_sql(50), "op9_warc": _WARC_SQL, "op10_exact_topk": _TOPK_SQL}
