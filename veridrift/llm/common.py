@@ -34,6 +34,14 @@ def ids_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_name(base: str, *tables: DataFrame) -> str:
+    """``base``, lengthened until no column of the tables has that name in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path under the cluster's shared ``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

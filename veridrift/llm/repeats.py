@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, ids_and_text, slices, texts, written
+from .common import discard, free_name, ids_and_text, slices, texts, written
 from .words import WORD, covered, hashed_windows, hashed_words
 
 #: Keys that a task reduces at a time.
@@ -193,14 +193,15 @@ def without_repeats(docs: DataFrame, found: DataFrame, window: int, id_col: str
 
 def cut_in_place(docs: DataFrame, found: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the repeats cut out of the text (and ``n_chars`` counted anew, where there is such a column)."""
-    keyed = found.select(F.col("doc_id").alias("_repeat_id"), F.col("keys").alias("_repeat_keys"))
-    rows = docs.join(keyed, docs[id_col] == keyed["_repeat_id"], "left").drop("_repeat_id")
+    id_name, keys_name = free_name("_repeat_id", docs), free_name("_repeat_keys", docs)
+    keyed = found.select(F.col("doc_id").alias(id_name), F.col("keys").alias(keys_name))
+    rows = docs.join(keyed, docs[id_col] == keyed[id_name], "left").drop(id_name)
     size = "n_chars" if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) else None
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [x.values.to_numpy().view(np.uint64) if x.is_valid else None for x in batch.column("_repeat_keys")]
+            sets = [x.values.to_numpy().view(np.uint64) if x.is_valid else None for x in batch.column(keys_name)]
             kept = [t if t is None or k is None else _cut(t, k, window)[3] for t, k in zip(batch.column(text_col).to_pylist(), sets)]
             columns = {c: batch.column(c) for c in names} | {text_col: pa.array(kept, pa.string())}
             if size:

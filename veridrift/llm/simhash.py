@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, slices, texts, written
+from .common import free_name, ids_and_text, slices, texts, written
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -182,7 +182,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     """
     found = near_duplicates(docs, radius, id_col, text_col)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    from pyspark.sql import Window
-
-    first = docs.join(written(kept), id_col, "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))).where("_place = 1").drop("_place")
+    place = free_name("_place", docs)
+    by_text = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    first = docs.join(written(kept), id_col, "left_semi").withColumn(place, F.row_number().over(by_text)).where(F.col(place) == 1).drop(place)
     return first.select(docs.columns).union(docs.where(F.col(id_col).isNull()))
