@@ -54,7 +54,7 @@ def validated(rows: DataFrame) -> DataFrame:
 
 def prepared(rows: DataFrame) -> DataFrame:
     """Valid rows with ``text``: prompt and target in one string."""
-    number = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("N/A"))
+    number = lambda c: F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string("%.4f", F.col(c)))
     prompt = F.concat_ws("\n", F.concat(F.lit("Claim type: "), F.col("claim_type")), F.concat(F.lit("Claim: "), F.col("claim_text")), F.concat(F.lit("Source: "), F.col("source_sentence")), F.concat(F.lit("Record: "), F.col("ehr_status")), F.concat(F.lit("Faithfulness: "), number("hhem_score")), F.concat(F.lit("Entropy: "), number("semantic_entropy")))
     target = F.to_json(F.struct("risk_score", "review_level"))
     return validated(rows).where("error is null").drop("error").withColumn("text", F.concat_ws("\n", prompt, target))
