@@ -13,15 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a task holds as Python objects at a time.
-STEP = 256
+#: Rows, and about the bytes, that a task holds as Python objects at a time.
+STEP, STEP_BYTES = 256, 8 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], step: int = STEP) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into pieces of at most ``step`` rows."""
+    """Cut Arrow batches into pieces of at most ``step`` rows, fewer where rows are long."""
     for batch in batches:
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+        rows = max(1, min(step, STEP_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -23,6 +23,7 @@ from .words import WORD, covered, hashed_windows, hashed_words
 
 #: Keys that a task reduces at a time.
 _HELD = 1 << 20
+_WINDOWS = 1 << 16
 _KEYED = "key long, doc_id long, known boolean"
 
 
@@ -37,7 +38,10 @@ class Shape:
         reach = self.window - self.gram + 1
         if len(grams) < reach:
             return grams, np.empty(0, np.int64)
-        return grams, sliding_window_view(grams, reach).argmin(axis=1) + np.arange(len(grams) - reach + 1)
+        every = sliding_window_view(grams, reach)
+        # argmin copies what it is given, so long texts go in pieces
+        least = [every[a : a + _WINDOWS].argmin(axis=1) + np.arange(a, min(a + _WINDOWS, len(every))) for a in range(0, len(every), _WINDOWS)]
+        return grams, np.concatenate(least)
 
 
 def _reduced(keys: list[np.ndarray], docs: list[np.ndarray], known: Callable) -> Iterator[pa.RecordBatch]:
