@@ -350,11 +350,51 @@ def test_training_rows(spark):
 
 
 def test_error_injection(spark):
-    df = training_rows(spark)
-    none = training.inject_errors(df, "id", "claim_text", 0.0)
-    every = training.inject_errors(df, "id", "claim_text", 1.0)
-    assert none.where("error_type is not null").count() == 0 and every.where("error_type is null or injected_text = claim_text").count() == 0
-    assert rows(every) == rows(training.inject_errors(df, "id", "claim_text", 1.0))
-    assert {r.error_type for r in every.collect()} == {"wrong_dose", "wrong_frequency"}
-    text = spark.createDataFrame([("aspirin 5 mg daily",), ("no dose",)], "t string").select(training.wrong_dose(F.col("t"), F.lit(0)), training.wrong_frequency(F.col("t"))).collect()
-    assert [tuple(r) for r in text] == [("aspirin 2.5 mg daily", "aspirin 5 mg BID"), ("no dose", "no dose")]
+    df = training_rows(spark).withColumn("medications", F.array(F.lit("Warfarin 5 mg"))).withColumn("allergies", F.array(F.lit("Penicillin")))
+    inject = lambda rate: training.inject_errors(df, "id", "claim_text", rate, medications="medications", allergies="allergies")
+    none, every = inject(0.0), inject(1.0)
+    assert none.where("error_type is not null").count() == 0 and every.where("error_type is null").count() == 0
+    assert every.where("error_type in ('wrong_dose', 'wrong_frequency', 'contradicts_ehr') and injected_text = claim_text").count() == 0
+    assert rows(every) == rows(inject(1.0))
+    assert {r.error_type for r in every.collect()} == set(training.COMPATIBLE["medication"])
+    signals = training.simulated_signals(inject(0.5), "id")
+    assert {(r.error_type is None, r.ehr_status, r.review_level) for r in signals.collect()} == {(True, "verified", "BRIEF"), (False, "contradiction", "CRITICAL")}
+    assert signals.where("risk_score not between 0 and 1").count() == 0
+
+
+def test_corruptors(spark):
+    c, zero = F.col("t"), F.lit(0)
+    got = spark.createDataFrame([("Metformin 5 mg daily, BP 120/80",), ("no dose",)], "t string").select(training.wrong_dose(c, zero), training.wrong_frequency(c), training.wrong_medication(c), training.wrong_vital(c, zero)).collect()
+    assert tuple(got[0]) == ("Metformin 2.5 mg daily, BP 120/80", "Metformin 5 mg BID, BP 120/80", "Metoprolol 5 mg daily, BP 120/80", "Metformin 5 mg daily, BP Blood pressure 185/110")
+    assert tuple(got[1]) == ("no dose", "no dose", "no dose", "Blood pressure 185/110")
+    one = spark.createDataFrame([(["Aspirin 81 mg"], ["Penicillin"])], "m array<string>, a array<string>")
+    picks = one.select(training.contradicts_record(F.lit("c"), F.col("m"), zero), training.hallucinated_allergy(F.col("a"), zero), training.hallucinated_symptom(zero), training.contradicts_record(F.lit("c"), F.lit(None).cast("array<string>"), zero)).first()
+    assert tuple(picks) == ("Aspirin 162 mg", "Patient allergic to sulfa", "Patient reports chest pain", "c")
+
+
+def test_experiment(spark):
+    from veridrift.operators import experiment
+
+    cases = [(i, i != 3, "contradiction" if i % 2 else "verified", ["verified"] * 5, [0.7, 0.1, 0.1, 0.1], "low") for i in range(10)]
+    df = spark.createDataFrame(cases, "case_id int, available boolean, expected_status string, responses array<string>, probabilities array<double>, true_label string")
+    got = {r.case_id: r for r in experiment.run(df, F.col("case_id") >= 6).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5]
+    assert (got[1].point_risk, got[1].point_review, got[3].status, got[3].point_risk, got[0].point_review) == ("critical", True, "not_found", "medium", False)
+    assert got[0].class_set == ["low"] and got[0].top_class == "low" and not got[0].set_review
+    assert experiment.summary(experiment.run(df, F.col("case_id") >= 6)).first().n == 6
+
+
+def test_domain_verdicts(spark):
+    from veridrift.functions import packs
+    from veridrift.operators import governance
+
+    claims = spark.createDataFrame([("a", True, "low", [], False, 0.1), ("a", False, "medium", ["w"], False, 0.9), ("b", True, "low", [], True, None), ("c", True, "medium", [], False, 0.9)], "k string, passed boolean, risk string, warnings array<string>, flagged boolean, entropy double")
+    got = {r.k: r for r in governance.response_verdict(claims, "k", packs.FINANCE).collect()}
+    assert (got["a"].passed, got["a"].confidence, got["a"].risk, got["a"].review_level) == (False, 0.5, "medium", "standard")
+    assert got["a"].escalation == ["low confidence", "not verified", "warnings"]
+    assert (got["b"].passed, got["b"].risk, got["b"].review_level) == (False, "critical", "detailed")
+    assert got["c"].escalation == [] and governance.escalated(governance.response_verdict(claims, "k", packs.FINANCE)).count() == 2
+    text = spark.createDataFrame([(1, "The fund returned 8% and is guaranteed return. Section 4 applies.")], "k int, t string")
+    assert {r.claim_type for r in governance.domain_claims(text, "k", "t", packs.FINANCE).collect()} >= {"performance_figure", "guaranteed_return"}
+    assert {r.claim_text for r in governance.domain_claims(text, "k", "t", packs.LEGAL).collect()} == {"Section 4"}
+    assert governance.capped_history(spark.range(5).withColumn("k", F.lit(1)), "k", "id", 2).count() == 2

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import domains, medication, uncertainty
 from ..functions.text import overlap_of_larger
-from ..operators import audit, documents, entropy, extraction, training, verification
+from ..operators import audit, calibration, documents, entropy, experiment, extraction, training, verification
 from ..streaming import monitors
 from .entropy_queries import _WORDS, _any
 from .registry import query, table
@@ -277,8 +277,10 @@ def training_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def error_injection_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, _ = _medication_claims(spark, sf_dir)
-    return training.inject_errors(claims, "claim_id", "claim_text", 0.3).select("claim_id", "error_type", "injected_text")
+    claims, records = _medication_claims(spark, sf_dir)
+    known = claims.join(records, "patient_id", "left")
+    wrong = training.inject_errors(known, "claim_id", "claim_text", 0.3, medications="medications", allergies="allergies")
+    return training.simulated_signals(wrong, "claim_id").select("claim_id", "error_type", "injected_text", "ehr_status", "hhem_score", "semantic_entropy", "risk_score", "review_level")
 
 
 @query("SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE event_type END AS action, count(*) AS total, count(DISTINCT user_id) AS users FROM events GROUP BY GROUPING SETS ((), (event_type))")
@@ -303,20 +305,39 @@ def ml_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.model_log_summary(logs)
 
 
-@query("""
-WITH e AS (SELECT vec_id, label, vec_id % 100 < 85 AS available, vec_id % 10 < 7 AS truth FROM embeddings),
-s AS (SELECT *, CASE WHEN NOT available THEN 'unavailable' WHEN truth THEN 'verified' ELSE 'contradiction' END AS status, CASE vec_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS se FROM e),
-r AS (SELECT *, CASE WHEN status = 'verified' THEN 'low' WHEN status = 'contradiction' THEN CASE se WHEN 'high' THEN 'medium' WHEN 'medium' THEN 'high' ELSE 'critical' END ELSE 'medium' END AS risk FROM s)
-SELECT status, risk, count(*) AS n, count(*) FILTER (risk IN ('high', 'critical')) AS review FROM r GROUP BY ALL
+_CASES = """
+z AS (SELECT vec_id, vec_id % 100 < 85 AS available, CASE WHEN vec_id % 10 < 5 THEN 'verified' WHEN vec_id % 10 < 8 THEN 'contradiction' ELSE 'not_checkable' END AS expected, ['low', 'medium', 'high', 'critical'][label % 4 + 1] AS truth, label % 4 AS t, embedding[1:4] AS z, list_max([x::DOUBLE FOR x IN embedding[1:4]]) AS m,
+[CASE (vec_id + i * (vec_id % 3)) % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'contradiction' WHEN 2 THEN 'uncertain' ELSE 'other' END FOR i IN range(5)] AS labs FROM embeddings),
+p AS (SELECT *, [exp(x::DOUBLE * 8 - m * 8) FOR x IN z] AS e, CASE WHEN NOT available THEN 'not_found' ELSE expected END AS status FROM z),
+h AS (SELECT vec_id, c, count(*) AS n FROM (SELECT vec_id, unnest(labs) AS c FROM p) GROUP BY ALL),
+hh AS (SELECT vec_id, round(greatest(0.0, sum(-(n / 5) * ln(n / 5 + 1e-10))) / greatest(ln(count(*)), 1.0), 4) AS entropy FROM h GROUP BY vec_id),
+cl AS (SELECT vec_id, t, unnest([x / list_sum(e) FOR x IN e]) AS pc, unnest(range(4)) AS c FROM p),
+rk AS (SELECT *, row_number() OVER w AS r, sum(pc) OVER w - pc AS before FROM cl WINDOW w AS (PARTITION BY vec_id ORDER BY pc DESC, c)),
+cal AS (SELECT before AS s FROM rk WHERE c = t AND vec_id % 5 = 0), nn AS (SELECT count(*) AS n FROM cal),
+th AS (SELECT s AS t FROM (SELECT s, row_number() OVER (ORDER BY s) AS rn FROM cal), nn WHERE rn = greatest(1, least(ceil(least(1.0::DOUBLE, 0.9::DOUBLE * (1 + 1.0::DOUBLE / n)) * n), n))),
+s AS (SELECT rk.vec_id, count(*) FILTER (before < th.t) AS set_size, bool_or(c = rk.t AND before < th.t) AS hit, bool_or(c >= 2 AND before < th.t) AS grave, max(CASE WHEN r = 1 THEN c END) AS top FROM rk, th WHERE vec_id % 5 <> 0 GROUP BY rk.vec_id),
+o AS (SELECT p.vec_id, status, CASE WHEN entropy < 0.3 THEN 'low' WHEN entropy < 0.6 THEN 'medium' ELSE 'high' END AS el FROM p JOIN hh ON p.vec_id = hh.vec_id WHERE p.vec_id % 5 <> 0),
+q AS (SELECT *, CASE status WHEN 'verified' THEN 'low' WHEN 'contradiction' THEN CASE el WHEN 'low' THEN 'critical' WHEN 'medium' THEN 'high' ELSE 'medium' END WHEN 'not_found' THEN CASE el WHEN 'high' THEN 'high' ELSE 'medium' END ELSE el END AS risk FROM o)
+"""
+
+
+@query(f"""
+WITH {_CASES} SELECT count(*) AS n, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(avg(set_size), 6) AS mean_set_size, count(*) FILTER (status = 'contradiction' OR risk IN ('high', 'critical')) AS point_reviews, count(*) FILTER (set_size >= 3 OR grave) AS set_reviews, count(*) FILTER (risk = ['low', 'medium', 'high', 'critical'][top + 1]) AS agree FROM s JOIN q ON s.vec_id = q.vec_id
 """)
 def old_vs_new_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import risk
-
     k = F.col("vec_id")
-    status = F.when(k % 100 >= 85, "unavailable").when(k % 10 < 7, "verified").otherwise("contradiction")
-    level = F.when(k % 3 == 0, "low").when(k % 3 == 1, "medium").otherwise("high")
-    cases = table(spark, sf_dir, "embeddings").select(status.alias("status"), level.alias("se")).withColumn("risk", risk.first_pass_risk(F.col("status"), F.lit(None).cast("string"), F.col("se")))
-    return cases.groupBy("status", "risk").agg(F.count("*").alias("n"), F.count_if(F.col("risk").isin("high", "critical")).alias("review"))
+    said = lambda i: (k + i * (k % 3)) % 4
+    text = lambda i: F.when(said(i) == 0, "Verified by the chart").when(said(i) == 1, "Incorrekt: an error").when(said(i) == 2, "I cannot tell").otherwise("hm")
+    labels = F.array(*[F.lit(c) for c in experiment.CLASSES])
+    cases = table(spark, sf_dir, "embeddings").select(
+        k.alias("case_id"),
+        (k % 100 < 85).alias("available"),
+        F.when(k % 10 < 5, "verified").when(k % 10 < 8, "contradiction").otherwise("not_checkable").alias("expected_status"),
+        F.array(*[text(i) for i in range(5)]).alias("responses"),
+        calibration.softmax(F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 8)).alias("probabilities"),
+        F.element_at(labels, F.col("label") % 4 + 1).alias("true_label"),
+    )
+    return experiment.summary(experiment.run(cases, F.col("case_id") % 5 == 0))
 
 
 @query("WITH r AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id) SELECT conv_id, len(t) AS n_turns, len(list_distinct(t)) AS n_distinct FROM r")
