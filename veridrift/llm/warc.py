@@ -20,6 +20,8 @@ FILE_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Ranges of page ids counted to place the cuts between shards.
 RANGES = 16_384
 LEVEL = 4
+#: Tasks that read archives, at most; each then reads several files one after another.
+MOST_READERS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -163,7 +165,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
     large = light.where(F.col("bytes") >= min_bytes)
     least = written(large.where("page_id is not null").groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).withColumnRenamed("sha1", "first_sha1"))
     later = large.join(least, F.col("sha1") == F.col("first_sha1")).where("page_id is null or page_id != first_id").select("page_id", "sha1", "first_id")
-    dealt = _in_shards(rows, *cuts).groupBy("shard").cogroup(_in_shards(later, *cuts).groupBy("shard"))
+    # as many partitions as shards, so that a task's share does not grow with the pages
+    parts = 1 + (cuts[2][-1][1] if cuts[2] else 0)
+    by_shard = [_in_shards(x, *cuts).repartition(parts, "shard").groupBy("shard") for x in (rows, later)]
+    dealt = by_shard[0].cogroup(by_shard[1])
     manifest = written(dealt.applyInArrow(_writer(folder, min_bytes, file_bytes, level), _MANIFEST_SQL))
     committed = written(manifest.mapInArrow(_commit(folder), "file string, records long, bytes long, first_page long, last_page long"))
     discard(light, least, manifest)
@@ -186,7 +191,8 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     rows = [_parsed(raw) for raw in _members(stream.read())]
                 yield pa.RecordBatch.from_pylist(rows, _RECORDS)
 
-    return manifest.select("file").repartition("file").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    files = max(1, min(manifest.count(), MOST_READERS))
+    return manifest.select("file").repartition(files, "file").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
