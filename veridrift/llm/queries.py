@@ -65,7 +65,7 @@ def _digested(cut: DataFrame) -> DataFrame:
 
 
 def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), piece_model_path())
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), piece_model_path(), entries=0)
     return packing.pack(counted)
 
 

@@ -63,17 +63,19 @@ class _Lengths(dict):
 _worker: dict[str, _Lengths] = {}
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", entries: int = TABLE_ENTRIES) -> DataFrame:
     """Tokens of each whole text: ``doc_id, n_bytes, n_tokens, over_limit``, a row for each input row.
 
     A compact table of frequent pre-token lengths is broadcast (at most ``TABLE_ENTRIES`` short
-    strings); misses are encoded once per worker. No pre-token occurrence is shuffled.
+    strings); misses are encoded once per worker. No pre-token occurrence is shuffled. With
+    ``entries`` 0 there is no table and no pass to make it: worker caches alone serve a single
+    use of the counts.
 
     Null and empty texts have 0 bytes and 0 tokens. Null and repeated ids keep their rows. An
     empty table gives no rows. Other columns are not read, whatever their names.
     """
     pairs = ids_and_text(docs, id_col, text_col)
-    table = pairs.sparkSession.sparkContext.broadcast(frequent_lengths(pairs, model_path))
+    table = pairs.sparkSession.sparkContext.broadcast(frequent_lengths(pairs, model_path, entries) if entries else {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = f"{model_path} {table.value.get('', 0)} {hash(frozenset(table.value))}"
