@@ -21,7 +21,7 @@ FOLDS, HELD_OUT = 4, 2
 #: The sample learned from: so many documents of a language at most, so many characters of each and of all.
 SAMPLE_DOCS, DOC_CHARS, LANG_CHARS = 48, 4_000, 40_000
 #: Tokens that a worker caches, and the longest of them.
-CACHED, CACHED_CHARS = 300_000, 48
+CACHED, CACHED_CHARS = 200_000, 48
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 

@@ -13,7 +13,7 @@ SPACE = "▁"
 _RUNS = re.compile(" +[^ ]*")
 #: Longer pre-tokens are encoded each time and never cached.
 CACHED_CHARS = 48
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 class CharsMap:

@@ -16,7 +16,7 @@ from .common import ids_and_text, slices, texts
 #: Entries of the broadcast table, and of what one task reports for it.
 TABLE_ENTRIES, REPORTED = 16_384, 4_096
 #: Distinct pre-tokens that a task counts before it forgets the rarer half, and that a worker caches.
-COUNTED, CACHED = 300_000, 400_000
+COUNTED, CACHED = 200_000, 200_000
 
 
 def frequent_lengths(docs: DataFrame, model_path: str, entries: int = TABLE_ENTRIES) -> dict[str, int]:

@@ -9,7 +9,7 @@ import xxhash
 
 #: Words are runs of anything but the six blanks; bytes.split() cuts at exactly these.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_CACHED = 300_000
+_CACHED = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
