@@ -242,6 +242,79 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def shingle_set(text, size=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+
+
+def brute_copies(rows, similarity=0.8):
+    """The least id reachable through pairs of five-word shingle sets that are as similar."""
+    ids, sets = [i for i, _ in rows], [shingle_set(t) for _, t in rows]
+    group = {i: i for i in ids}
+    for i, a in zip(ids, sets):
+        for j, b in zip(ids, sets):
+            if a == b or len(a & b) >= similarity * len(a | b) > 0:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    return group
+
+
+def edited(n=200):
+    """Texts with scattered edits, replaced passages and changed order, on both sides of the threshold."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 999)}" for _ in range(rng.randint(60, 400))] for _ in range(15)]
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(base))
+        kind = rng.randrange(4)
+        if kind == 1:
+            for _ in range(rng.randint(1, 8)):
+                words[rng.randrange(len(words))] = f"w{rng.randint(0, 999)}"
+        elif kind == 2:
+            at, size = rng.randrange(len(words)), rng.randint(1, 30)
+            words[at : at + size] = [f"w{rng.randint(0, 999)}" for _ in range(size)]
+        elif kind == 3:
+            rng.shuffle(words)
+        rows.append((1000 - i, " ".join(words)))
+    return rows + [(2000, "A b C"), (2001, "a B c"), (2002, "a B d"), (2003, None), (2004, ""), (2005, " \n"), (2006, rows[0][1].upper())]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rows = edited()
+    want = brute_copies(rows)
+    docs = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, node int, n int, f0 int")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == want and 20 < len(set(want.values())) < len(rows) - 50
+    kept = simhash.keep_one_copy(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
+
+
+def test_near_copies_edges(spark):
+    docs = odd_docs(spark)
+    rows = simhash.near_copies(docs).collect()
+    assert len(rows) == docs.count()
+    assert [r.component_id for r in rows if r.doc_id is None] == [None]
+    ids = [r.doc_id for r in simhash.keep_one_copy(docs).collect()]
+    assert None in ids and len(ids) == len(set(ids))
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+    one = spark.createDataFrame([(5, "p q r s t u v", "x")] * 3 + [(5, "other words", "y")], "doc_id long, text string, text2 string")
+    assert [r.component_id for r in simhash.near_copies(one).collect()] == [5] * 4
+
+
+def test_spanning_forest_is_least_and_spans():
+    rng = np.random.default_rng(5)
+    for members, edges in ((1, 0), (12, 8), (40, 300), (60, 60)):
+        u, v, w = rng.integers(0, members, edges), rng.integers(0, members, edges), rng.integers(0, 6, edges)
+        got = simhash.spanning_forest(u, v, w, members)
+        group, total, size = list(range(members)), 0, 0
+        for k in np.argsort(w, kind="stable"):
+            if group[u[k]] != group[v[k]]:
+                old, new = group[u[k]], group[v[k]]
+                group = [new if g == old else g for g in group]
+                total, size = total + w[k], size + 1
+        assert len(got) == size and w[got].sum() == total
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, ids_and_text, slices, texts, written
+from .common import discard, free_name, ids_and_text, slices, texts, written
 from .components import connected_components
+from .words import MIX, hashed_windows, hashed_words
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints for each shard, and the sample that the trees are shaped by.
@@ -163,24 +164,224 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     """
     prints = written(fingerprints(docs, id_col, text_col))
     distinct = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    member = connected_components(links(distinct, radius))
-    reached = written(member.withColumnRenamed("node", "fp").join(distinct, "fp"))
-    least = reached.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    joined = written(reached.join(least, "root").select("fp", "component_id"))
-    classes = written(distinct.join(joined, "fp", "left").select(F.col("fp").alias("class_fp"), F.coalesce("component_id", "first_id").alias("component_id")))
-    return prints.join(classes, prints.fp == classes.class_fp, "left").select(
+    classes = _classes(distinct.withColumnRenamed("fp", "node"), links(distinct, radius))
+    return prints.join(classes, prints.fp == classes.node, "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
 
 
+def _classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, component_id`` for each of ``node, first_id``: the least ``first_id`` that the edges reach."""
+    member = connected_components(edges)
+    reached = written(member.join(nodes, "node"))
+    least = reached.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    joined = written(reached.join(least, "root").select("node", "component_id"))
+    return written(nodes.join(joined, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id")))
+
+
+#: Near copies: shingles whose sets are compared, and the least similarity.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints that trees route by and those that distances are taken over, and the share of the latter's bits that
+#: candidates may differ by (0.15 is expected at a similarity of 0.8, with a deviation of 0.026; 0.5 of unrelated texts).
+WIDE, APART = 3, 0.255
+#: Edge-disjoint spanning forests of its candidates that a shard emits.
+FORESTS = 16
+_MIXES = np.arange(1, 4 * WIDE, 2, dtype=np.uint64) * MIX
+#: Distances that a task computes at a time.
+_COMPARED = 1 << 22
+_FPS, _SHAPES = [f"f{k}" for k in range(WIDE)], [f"g{k}" for k in range(WIDE)]
+
+
+def _shingle_set(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed lower-cased words, and the sorted hashes of the distinct shingles (of few words: the whole sequence)."""
+    h = hashed_words(text, lower=True)
+    return h, np.unique(hashed_windows(h, min(size, len(h)))) if len(h) else h
+
+
+def _set_key(shingles: np.ndarray) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(shingles.tobytes(), SEED), "big", signed=True)
+
+
+def wide_fingerprints(h: np.ndarray, shingles: np.ndarray) -> list[int]:
+    """Signed 64-bit SimHashes under different mixings: of the distinct words (two), of the pairs of neighbours, of the shingles (``WIDE``)."""
+    words, pairs = np.unique(h), np.unique(hashed_windows(h, min(2, len(h)))) if len(h) else h
+    out = []
+    for features, by in zip((words, words, pairs, *[shingles] * WIDE), _MIXES):
+        mixed = features * by
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= MIX
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(mixed), _CHUNK):
+            ones += np.unpackbits(mixed[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(ones * 2 > len(features)).tobytes(), "big", signed=True))
+    return out
+
+
+def _sketches(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, node, n`` and fingerprints of each row; the node is a hash of the shingle set, n its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = []
+            for text in texts(batch.column("text")):
+                h, shingles = _shingle_set(text, size)
+                rows.append((_set_key(shingles), len(shingles), *wide_fingerprints(h, shingles)))
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", "node", "n", *_FPS, *_SHAPES])
+
+    return docs.mapInArrow(run, f"doc_id long, node long, n long, {', '.join(f'{f} long' for f in _FPS + _SHAPES)}")
+
+
+def spanning_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, members: int) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest, by rounds in which each tree takes its lightest way out."""
+    label, chosen = np.arange(members), np.zeros(len(u), bool)
+    order = np.argsort(weight, kind="stable")
+    while True:
+        a, b = label[u[order]], label[v[order]]
+        out = a != b
+        order, a, b = order[out], a[out], b[out]
+        if not len(order):
+            return np.flatnonzero(chosen)
+        # the first way out of each tree; in one order for all, so that no rings close but pairs that choose each other
+        trees, first = np.unique(np.stack([a, b], axis=1).ravel(), return_index=True)
+        way = first // 2
+        chosen[order[way]] = True
+        parent = np.arange(members)
+        parent[trees] = np.where(first % 2 == 0, b[way], a[way])
+        mutual = (parent[parent] == np.arange(members)) & (parent > np.arange(members))
+        parent[mutual] = np.flatnonzero(mutual)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+def _closest(own: np.ndarray, shapes: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs in a shard that may be as similar: ``FORESTS`` spanning forests by distance, one after another, and which of these a pair is in."""
+    most = int(64 * WIDE * APART)
+    u, v, w, forest = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64)
+    mine = np.flatnonzero(own)
+    step = max(1, _COMPARED // max(1, len(n)))
+    for at in range(0, len(mine), step):
+        rows = mine[at : at + step]
+        apart = np.zeros((len(rows), len(n)), np.uint8)
+        for k in range(WIDE):
+            apart += np.bitwise_count(shapes[rows, k][:, None] ^ shapes[None, :, k])
+        i, j = np.nonzero(apart <= most)
+        near = (np.minimum(n[rows[i]], n[j]) >= similarity * np.maximum(n[rows[i]], n[j])) & ~(own[j] & (j <= rows[i]))
+        i, j = i[near], j[near]
+        u, v, w = np.concatenate([u, rows[i]]), np.concatenate([v, j]), np.concatenate([w, apart[i, j]])
+        forest, rest = np.full(len(u), FORESTS), np.arange(len(u))
+        for k in range(FORESTS):
+            chosen = spanning_forest(u[rest], v[rest], w[rest], len(n))
+            forest[rest[chosen]] = k
+            rest = np.delete(rest, chosen)
+            if not len(rest):
+                break
+        kept = forest < FORESTS
+        u, v, w, forest = u[kept], v[kept], w[kept], forest[kept]
+    return u, v, forest
+
+
+def candidates(distinct: DataFrame, similarity: float = SIMILARITY, sample_size: int = SAMPLE) -> DataFrame:
+    """Edges ``u, v, forest`` between nodes that may be as similar, from three vantage-point trees over each fingerprint.
+
+    Routing is that of ``links``, by words and word pairs; distances are those of the shingles'
+    fingerprints. Of the close pairs in a shard ``FORESTS`` edge-disjoint minimum spanning forests
+    leave the task: every pair of a group of up to twice as many members, and of larger groups
+    as many paths between two members as there are forests, each over pairs at least as close.
+    """
+    sample = distinct.groupBy(F.pmod(F.xxhash64(*_FPS), F.lit(sample_size)).alias("bucket")).agg(F.min(F.struct(*_FPS)).alias("fps"))
+    points = np.array([tuple(r) for r in sample.select("fps.*").orderBy(F.xxhash64(*_FPS), *_FPS).collect()], np.int64).reshape(-1, WIDE).view(np.uint64)
+    count = distinct.count()
+    carried = ["node", "n", *_SHAPES]
+    forests = distinct.sparkSession.sparkContext.broadcast([_forest(points[:, k].copy(), count, 3) for k in range(WIDE)])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            for k, forest in enumerate(forests.value):
+                fps = batch.column(_FPS[k]).to_numpy().view(np.uint64)
+                for t, tree in enumerate(forest):
+                    who, leaf, own = tree.visits(fps)
+                    yield pa.record_batch([pa.array(np.full(len(who), k * len(forest) + t, np.int32)), pa.array(leaf), pa.array(own), *batch.select(carried).take(pa.array(who)).columns], names=["tree", "leaf", "own", *carried])
+
+    def match(group: pa.Table) -> pa.Table:
+        shapes = np.stack([group[g].to_numpy() for g in _SHAPES], axis=1).view(np.uint64)
+        u, v, forest = _closest(group["own"].to_numpy(), shapes, group["n"].to_numpy(), similarity)
+        nodes = group["node"].to_numpy()
+        return pa.table({"u": np.minimum(nodes[u], nodes[v]), "v": np.maximum(nodes[u], nodes[v]), "forest": forest})
+
+    fields = ", ".join(f"{f} long" for f in carried)
+    routed = distinct.select(*carried, *_FPS).mapInArrow(route, f"tree int, leaf long, own boolean, {fields}")
+    found = routed.groupBy("tree", "leaf").applyInArrow(match, "u long, v long, forest long")
+    return found.groupBy("u", "v").agg(F.min("forest").alias("forest"))
+
+
+def _as_similar(edges: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Of the edges those whose shingle sets are as similar, counted exactly."""
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [_shingle_set(t, size)[1] for t in texts(batch.column("text"))]
+            yield pa.record_batch([batch.column("node"), pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own", "shingles"])
+
+    # rows that share an id may differ: only the one whose set is the node's counts
+    found = rows.join(ends, "doc_id").select("node", "text").mapInArrow(run, "node long, own long, shingles array<long>")
+    sets = written(found.where("own = node").select("node", "shingles").dropDuplicates(["node"]))
+    pairs = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    kept = written(pairs.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v"))
+    discard(sets)
+    return kept
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` for each row: documents whose sets of ``size``-word shingles are ``similarity`` or more alike (Jaccard).
+
+    Copies meet once, as one distinct set. Candidates come from vantage-point trees over
+    64-bit SimHashes of the words and word pairs used (an edit breaks fewer of these than of
+    long shingles, so near copies stay closer); the links by which candidates hang together are
+    then counted exactly. The component is the smallest doc id reachable.
+
+    Words are lower-cased (A-Z). Fewer words than ``size`` are one shingle; null and empty texts
+    have none and are copies of each other. A row without an id has a null component and links
+    nothing. Repeated rows keep their rows, an empty table gives none; other columns are not read.
+    """
+    rows, every = ids_and_text(docs, id_col, text_col), [*_FPS, *_SHAPES]
+    prints = written(_sketches(rows, size))
+    nodes = written(prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in ("n", *every))))
+    # of sets with the same fingerprints one goes through the trees, the others are candidates of it
+    same = nodes.groupBy(*every).agg(F.min(F.struct("first_id", "node", "n")).alias("least"))
+    distinct = written(same.select("least.node", "least.n", *every))
+    first = distinct.withColumnRenamed("node", "first_node").drop("n")
+    twins = nodes.join(first, every).where("node != first_node").select(F.least("node", "first_node").alias("u"), F.greatest("node", "first_node").alias("v"), F.lit(0).cast("long").alias("forest"))
+    edges = written(candidates(distinct, similarity).union(twins))
+    # the lightest forest is counted first; of the others only what it has left apart
+    links = _as_similar(edges.where("forest = 0"), rows, nodes, similarity, size)
+    joined = written(connected_components(links))
+    ends = [joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "uv"]
+    apart = edges.where("forest > 0").join(ends[0], "u", "left").join(ends[1], "v", "left").where("coalesce(root_u, u) != coalesce(root_v, v)").select("u", "v")
+    links = links.union(_as_similar(written(apart), rows, nodes, similarity, size))
+    classes = _classes(nodes.select("node", "first_id"), links)
+    discard(distinct, edges)
+    return prints.join(classes, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component (its smallest id; of repeated rows with that id the one of least text hash), all columns.
 
     Rows without an id stay: nothing tells them apart.
     """
-    found = near_duplicates(docs, radius, id_col, text_col)
+    return _first_of_each(docs, near_duplicates(docs, radius, id_col, text_col), id_col, text_col)
+
+
+def keep_one_copy(docs: DataFrame, similarity: float = SIMILARITY, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same for components of ``near_copies``."""
+    return _first_of_each(docs, near_copies(docs, similarity, size, id_col, text_col), id_col, text_col)
+
+
+def _first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     place = free_name("_place", docs)
     by_text = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))

@@ -24,9 +24,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def hashed_words(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
-    words = text.encode().split()
+def hashed_words(text: str, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word, in order; of ``lower`` words with A-Z in lower case."""
+    raw = text.encode()
+    words = (raw.lower() if lower else raw).split()
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
