@@ -289,6 +289,39 @@ def test_near_copies_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_near_copies_of_one_base_with_many_own_edits(spark):
+    """Copies are alike to the base by 0.87 and to each other by less than 0.8: only the links to the base hold them together."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(5000, " ".join(base))]
+    for i in range(600):
+        words = list(base)
+        for at in rng.sample(range(300), 4):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.component_id for r in simhash.near_copies(docs).collect()}
+    assert len(found) == 1 and found == {0}
+
+
+def test_links_across_classes_are_whole():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 30, 20).astype(np.uint64)) for _ in range(90)]
+    classes = np.arange(90)
+    classes[:6] = 0
+    alike = [(i, j) for i in range(90) for j in range(90) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))]
+    got = simhash._links_across(sets, sets[6:], classes, classes[6:], 0.6)
+    assert all((i, j + 6) in alike for i, j in got)
+
+    def joined(links):
+        group = classes.copy()
+        for i, j in links:
+            group[group == max(group[i], group[j])] = min(group[i], group[j])
+        return group.tolist()
+
+    assert joined((i, j + 6) for i, j in got) == joined(alike) and len(set(joined(alike))) < 80
+
+
 def test_near_copies_edges(spark):
     docs = odd_docs(spark)
     rows = simhash.near_copies(docs).collect()

@@ -186,8 +186,10 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints that trees route by and those that distances are taken over, and the share of the latter's bits that
 #: candidates may differ by (0.15 is expected at a similarity of 0.8, with a deviation of 0.026; 0.5 of unrelated texts).
 WIDE, APART = 3, 0.255
-#: Edge-disjoint spanning forests of its candidates that a shard emits.
+#: Edge-disjoint spanning forests of its candidates that a shard emits: these pairs are counted first.
 FORESTS = 16
+#: Members of a group, and about the shingles, that are compared with as many others at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 _MIXES = np.arange(1, 4 * WIDE, 2, dtype=np.uint64) * MIX
 #: Distances that a task computes at a time.
 _COMPARED = 1 << 22
@@ -317,9 +319,9 @@ def candidates(distinct: DataFrame, similarity: float = SIMILARITY, sample_size:
     return found.groupBy("u", "v").agg(F.min("forest").alias("forest"))
 
 
-def _as_similar(edges: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Of the edges those whose shingle sets are as similar, counted exactly."""
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
+def _sets(ends: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node, shingles`` of each node of ``ends``."""
+    wanted = ends.select("node").distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -327,8 +329,13 @@ def _as_similar(edges: DataFrame, rows: DataFrame, nodes: DataFrame, similarity:
             yield pa.record_batch([batch.column("node"), pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own", "shingles"])
 
     # rows that share an id may differ: only the one whose set is the node's counts
-    found = rows.join(ends, "doc_id").select("node", "text").mapInArrow(run, "node long, own long, shingles array<long>")
-    sets = written(found.where("own = node").select("node", "shingles").dropDuplicates(["node"]))
+    found = rows.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, own long, shingles array<long>")
+    return written(found.where("own = node").select("node", "shingles").dropDuplicates(["node"]))
+
+
+def _as_similar(edges: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Of the edges those whose shingle sets are as similar, counted exactly."""
+    sets = _sets(edges.select(F.col("u").alias("node")).union(edges.select("v")), rows, nodes, size)
     pairs = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     kept = written(pairs.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v"))
@@ -336,13 +343,99 @@ def _as_similar(edges: DataFrame, rows: DataFrame, nodes: DataFrame, similarity:
     return kept
 
 
+def _links_across(left: list[np.ndarray], right: list[np.ndarray], left_class: np.ndarray, right_class: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places (left, right) of links that connect the classes as all pairs as similar do; pairs of one class are passed over."""
+    values, ids = np.unique(np.concatenate(left + right), return_inverse=True)
+    sizes = np.array([len(s) for s in left])
+    starts = np.cumsum(sizes) - sizes
+    ids, at = (ids[: sizes.sum()], ids[sizes.sum() :]), 0
+    _, label = np.unique(np.concatenate([left_class, right_class]), return_inverse=True)
+    out, mark = [], np.zeros(len(values), np.int64)
+    for j, own in enumerate(right):
+        mine, mark_at = label[len(left) + j], ids[1][at : at + len(own)]
+        at += len(own)
+        apart = label[: len(left)] != mine
+        if not apart.any():
+            continue
+        mark[mark_at] = 1
+        shared = np.add.reduceat(mark[ids[0]], starts)
+        mark[mark_at] = 0
+        near = np.flatnonzero(apart & (shared >= similarity * (sizes + len(own) - shared)))
+        found, first = np.unique(label[near], return_index=True)
+        out += [(int(i), j) for i in near[first]]
+        label[np.isin(label, found)] = mine
+    return out
+
+
+def _open_groups(near: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members of the groups of candidates (``near``: ``node, root``) that the links leave in several classes.
+
+    ``node, grp, class``, whether the class is not the ``grp``'s largest (``other``), the links of the node, and into how many
+    blocks all members and the others are cut.
+    """
+    classes = connected_components(links).withColumnRenamed("root", "class")
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    members = near.withColumnRenamed("root", "grp").join(nodes.where("n > 0").select("node", "n"), "node").join(classes, "node", "left").join(degree, "node", "left")
+    members = written(members.select("node", "grp", "n", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
+    sizes = members.groupBy("grp", "class").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    groups = sizes.groupBy("grp").agg(F.count("*").alias("classes"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), F.max(F.struct("size", "shingles", "class")).alias("main"))
+    cut = lambda size, shingles: F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    several = groups.where("classes > 1").select(
+        "grp",
+        F.col("main.class").alias("main"),
+        cut(F.col("size"), F.col("shingles")).alias("blocks"),
+        cut(F.col("size") - F.col("main.size"), F.col("shingles") - F.col("main.shingles")).alias("other_blocks"),
+    )
+    found = written(members.join(several, "grp").select("node", "grp", "class", (F.col("class") != F.col("main")).alias("other"), "links", "blocks", "other_blocks"))
+    discard(members)
+    return found
+
+
+def _remaining_links(edges: DataFrame, links: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The links that connect what candidates connect and ``links`` leave apart, so that no count depends on the forests.
+
+    The lightest forests join every pair that meets, so all such pairs lie within the groups that these connect. In groups
+    left in several classes each member outside the largest class is compared with all members of other classes.
+    Groups of more than a block first have their best linked member counted against all others, in
+    one pass that is linear; blocks of what is still apart are then compared pairwise.
+    """
+    near = written(connected_components(edges.where("forest = 0")))
+    apart = _open_groups(near, links, nodes)
+    wide = apart.where("blocks > 1")
+    if not wide.isEmpty():
+        hubs = wide.groupBy("grp").agg(F.max(F.struct("links", "node", "class")).alias("hub"))
+        rest = wide.join(hubs, "grp").where("class != hub.class")
+        hub_links = _as_similar(written(rest.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))), rows, nodes, similarity, size)
+        links = written(links.union(hub_links))
+        apart = _open_groups(near, links, nodes)
+    if apart.isEmpty():
+        return links
+    sets = _sets(apart, rows, nodes, size)
+    place = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
+    one = apart.select("grp", place("blocks").alias("i"), every("other_blocks").alias("j"), "node", "class", F.lit(False).alias("right"))
+    two = apart.where("other").select("grp", every("blocks").alias("i"), place("other_blocks").alias("j"), "node", "class", F.lit(True).alias("right"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        right, node, own = group["right"].to_numpy(), group["node"].to_numpy(), group["class"].to_numpy()
+        shingles = [s.values.to_numpy() for s in group["shingles"]]
+        a, b = np.flatnonzero(~right), np.flatnonzero(right)
+        found = _links_across([shingles[k] for k in a], [shingles[k] for k in b], own[a], own[b], similarity) if len(a) and len(b) else []
+        return pa.table({"u": pa.array([int(node[a[i]]) for i, _ in found], pa.int64()), "v": pa.array([int(node[b[j]]) for _, j in found], pa.int64())})
+
+    last = written(one.union(two).join(sets, "node").groupBy("grp", "i", "j").applyInArrow(compare, "u long, v long"))
+    discard(sets, apart, near)
+    return links.union(last)
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` for each row: documents whose sets of ``size``-word shingles are ``similarity`` or more alike (Jaccard).
 
     Copies meet once, as one distinct set. Candidates come from vantage-point trees over
     64-bit SimHashes of the words and word pairs used (an edit breaks fewer of these than of
-    long shingles, so near copies stay closer); the links by which candidates hang together are
-    then counted exactly. The component is the smallest doc id reachable.
+    long shingles, so near copies stay closer); links are counted exactly, by forests of the closest pairs first, then
+    within each group of candidates that these leave apart. The component is the smallest doc id reachable.
 
     Words are lower-cased (A-Z). Fewer words than ``size`` are one shingle; null and empty texts
     have none and are copies of each other. A row without an id has a null component and links
@@ -362,7 +455,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COP
     joined = written(connected_components(links))
     ends = [joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "uv"]
     apart = edges.where("forest > 0").join(ends[0], "u", "left").join(ends[1], "v", "left").where("coalesce(root_u, u) != coalesce(root_v, v)").select("u", "v")
-    links = links.union(_as_similar(written(apart), rows, nodes, similarity, size))
+    links = written(links.union(_as_similar(written(apart), rows, nodes, similarity, size)))
+    links = _remaining_links(edges, links, rows, nodes, similarity, size)
     classes = _classes(nodes.select("node", "first_id"), links)
     discard(distinct, edges)
     return prints.join(classes, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
