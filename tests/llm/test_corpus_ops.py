@@ -162,6 +162,39 @@ def test_archives_are_deterministic_and_threshold_holds(spark, tmp_path):
     assert warc.read(warc.write(pages.limit(0), folder), folder).count() == 0
 
 
+def test_archive_shards_are_bounded_whatever_the_ids(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(None, f"n{k}", text(2000)) for k in range(60)] + [(None, "r", "same" * 500)] * 40 + [(7, f"i{k}", text(2000)) for k in range(60)]
+    rows += [(8, f"r{k % 5}", "eight" * 400) for k in range(50)] + [(9, "e", "")] * 60 + [(100 + k, "u", text(2000)) for k in range(60)] + [(2**62, "far", "far"), (-(2**62), "far", "eight" * 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def files(df):
+        folder = f"file://{tmp_path}/{random.random()}"
+        manifest = warc.write(df, folder, shard_bytes=20_000)
+        return folder, manifest, {r.file: open(f"{folder[7:]}/{r.file}", "rb").read() for r in manifest.collect()}
+
+    folder, manifest, first = files(pages)
+    assert first == files(pages.repartition(9).orderBy("html"))[2]
+    got = warc.read(manifest, folder).collect()
+    assert sorted((str(r.page_id), r.payload_bytes) for r in got) == sorted((str(i), len(h)) for i, _, h in rows)
+    assert [r.refers_to for r in got if r.page_id == 8] == [-(2**62)] * 50
+    assert sorted(str(r.refers_to) for r in got if r.page_id == 9) == ["9"] * 59 + ["None"]
+    # a file is a shard here; each holds at most its bytes, a record as payload and 512 bytes
+    assert max(r.records for r in manifest.collect()) <= 40
+    largest = [sum(r.payload_bytes + 512 for r in warc.read(manifest.where(manifest.file == f), folder).collect()) for f in list(first)[:12]]
+    assert max(largest) <= 20_000
+
+
+def test_packing_spreads_a_repeated_id(spark):
+    table = spark.createDataFrame([(1, 10)] * 3000 + [(k, 10) for k in range(2, 200)], "doc_id long, n_tokens long").repartition(4)
+    rows = packing.pack(table, shard_docs=200).collect()
+    shards = defaultdict(int)
+    for r in rows:
+        shards[r.bin_id.split("-")[0]] += 1
+    assert len(rows) == 3198 and max(shards.values()) < 400
+
+
 def brute_top(rows, every, k):
     good = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

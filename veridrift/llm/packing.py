@@ -74,7 +74,8 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead:
     """``doc_id, piece, n_tokens, bin_id, capacity, offset`` for each piece of each document.
 
     Documents are dealt by hash to shards of about ``shard_docs``; shards are packed on their
-    own, so a task holds a shard's lengths only, and each leaves a few bins open at most. A
+    own, so a task holds a shard's lengths only, and each leaves a few bins open at most. Rows of an id that has more than
+    a shard of them are dealt one by one. A
     document longer than the largest capacity is split into pieces. A bin is named by its shard
     and number.
 
@@ -84,7 +85,9 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead:
     """
     rows = written(lengths.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens")))
     shards = max(1, -(-rows.count() // shard_docs))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))
+    often = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("_often")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > shard_docs).select("_often")
+    place = F.xxhash64("_place")
+    key = F.when(F.col("doc_id").isNull() | F.col("_often").isNotNull(), place).otherwise(F.xxhash64("doc_id"))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending")])
@@ -96,5 +99,7 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int32())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "n_tokens", "bin_id", "capacity", "offset"])
 
-    dealt = rows.withColumn("shard", F.pmod(key, F.lit(shards)).cast("int"))
+    # at most one id for each shard's rows, so the table is small
+    known = rows.withColumn("_place", F.monotonically_increasing_id()).join(F.broadcast(often), F.col("doc_id") == F.col("_often"), "left")
+    dealt = known.select("doc_id", "n_tokens", F.pmod(key, F.lit(shards)).cast("int").alias("shard"))
     return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, n_tokens long, bin_id string, capacity int, offset int")

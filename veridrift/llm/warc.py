@@ -7,18 +7,19 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, written
 
 #: A file is closed once its compressed records reach this, a shard holds about this much payload.
 FILE_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
-#: Ranges of page ids counted to place the cuts between shards.
-RANGES = 16_384
+#: Ranges of page ids counted first to place the cuts between shards, and what a record counts besides its payload.
+RANGES, RECORD_BYTES = 16_384, 512
 LEVEL = 4
 #: Tasks that read archives, at most; each then reads several files one after another.
 MOST_READERS = 20_000
@@ -54,34 +55,116 @@ def _record(page_id: int | None, url: str | None, payload: bytes, first_id: int
     return press.compress(raw) + press.flush()
 
 
-def _shards(light: DataFrame, shard_bytes: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """Least page id, width of a range of ids, and the shard of each range that has pages.
-
-    Shards are cut by the payload bytes counted in at most ``RANGES`` ranges of ids, so the same
-    pages give the same shards however they are partitioned.
+@dataclass
+class _Cuts:
+    """How pages are cut into ``count`` shards; every table has about as many rows as there are shards or counted ranges, at most."""
+
+    shift: int = 0  # ids of one range agree but for so many low bits
+    narrowed: list[DataFrame] = field(default_factory=list)  # ranges that are cut again: cell, shift, to_shift
+    bits: DataFrame | None = None  # ids cut by digest: cut_cell, bits
+    pieces: DataFrame | None = None  # pages repeated beyond a shard: page_id, sha1, piece, shard
+    shards: DataFrame | None = None  # cell, part, shard
+    count: int = 1
+
+    def celled(self, rows: DataFrame) -> DataFrame:
+        """With the range of ids (``cell``, its least id) and the part of it by digest."""
+        cell = F.expr("shiftleft(shiftright(page_id, shift), shift)")
+        out = rows.withColumn("shift", F.lit(self.shift)).withColumn("cell", cell)
+        for table in self.narrowed:
+            out = out.join(F.broadcast(table), ["cell", "shift"], "left").withColumn("shift", F.coalesce("to_shift", "shift")).drop("to_shift", "cell").withColumn("cell", cell)
+        if self.bits is None:
+            return out.withColumn("part", F.lit(0).cast("long"))
+        part = F.expr("shiftright(cast(conv(substr(sha1, 1, 15), 16, 10) as long), 60 - bits)")
+        return out.join(F.broadcast(self.bits), F.col("cell").eqNullSafe(F.col("cut_cell")), "left").withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).drop("cut_cell", "bits")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """With the shard of each row."""
+        table = self.shards.select(F.col("cell").alias("cut_cell"), F.col("part").alias("cut_part"), "shard")
+        return self.celled(rows).join(F.broadcast(table), F.col("cell").eqNullSafe(F.col("cut_cell")) & (F.col("part") == F.col("cut_part"))).drop("cut_cell", "cut_part", "cell", "shift", "part")
+
+    def repeated(self, rows: DataFrame, how: str) -> DataFrame:
+        """The rows of pages that are repeated beyond a shard (``left_semi``), or the others (``left_anti``)."""
+        keys = self.pieces.select(F.col("page_id").alias("cut_page"), F.col("sha1").alias("cut_sha1")).distinct()
+        return rows.join(F.broadcast(keys), F.col("page_id").eqNullSafe(F.col("cut_page")) & (F.col("sha1") == F.col("cut_sha1")), how)
+
+    def in_pieces(self, rows: DataFrame, on_piece: bool) -> DataFrame:
+        """Joined with their page's pieces: with all, or with the one that the row has."""
+        table = self.pieces.select(F.col("page_id").alias("cut_page"), F.col("sha1").alias("cut_sha1"), F.col("piece").alias("cut_piece"), "shard")
+        near = F.col("page_id").eqNullSafe(F.col("cut_page")) & (F.col("sha1") == F.col("cut_sha1"))
+        return rows.join(F.broadcast(table), near & (F.col("piece") == F.col("cut_piece")) if on_piece else near).drop("cut_page", "cut_sha1", "cut_piece")
+
+
+def _cuts(light: DataFrame, shard_bytes: int) -> _Cuts:
+    """Shards of about ``shard_bytes`` whatever the ids, by the bytes counted in ranges of ids.
+
+    A range that holds more is counted again in narrower ones, down to single ids. The pages of a single id, and those
+    without an id, are cut by the digest of their payload, and the rows with one id and payload in their
+    order by url. The same pages give the same shards however they are partitioned.
     """
+    spark, cuts = light.sparkSession, _Cuts()
     low, high = light.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, []
-    width = max(1, -(-(high - low + 1) // RANGES))
-    counted = light.where("page_id is not null").groupBy(_range(low, width).alias("id_range")).agg(F.sum("bytes").alias("bytes"))
-    shards, shard, held = [], 0, 0
-    for row in sorted(counted.collect()):  # RANGES rows at most
-        if held and held + row.bytes > shard_bytes:
-            shard, held = shard + 1, 0
-        shards.append((row.id_range, shard))
-        held += row.bytes
-    return low, width, shards
-
-
-def _range(low: int, width: int):
-    return F.expr(f"cast((page_id - {low}L) div {width}L as long)")
-
-
-def _in_shards(rows: DataFrame, low: int, width: int, shards: list[tuple[int, int]]) -> DataFrame:
-    """With the shard of each row by its page id; rows without an id are shard -1."""
-    table = rows.sparkSession.createDataFrame(shards, "id_range long, shard int")
-    return rows.withColumn("id_range", _range(low, width)).join(F.broadcast(table), "id_range", "left").withColumn("shard", F.coalesce("shard", F.lit(-1))).drop("id_range")
+    while low is not None and (high >> cuts.shift) - (low >> cuts.shift) >= RANGES:
+        cuts.shift += 1
+    # four parts or more for each shard's bytes, so that what is counted grows with the bytes only
+    finer = lambda held: max(4, (4 * held // shard_bytes).bit_length())
+    while True:
+        heavy = cuts.celled(light).groupBy("cell", "shift").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > shard_bytes).collect()
+        wide = [(r.cell, r["shift"], max(0, r["shift"] - finer(r.bytes))) for r in heavy if r.cell is not None and r["shift"]]
+        if not wide:
+            break
+        cuts.narrowed.append(spark.createDataFrame(wide, "cell long, shift int, to_shift int"))
+    large: list = []
+    if heavy:
+        cuts.bits = spark.createDataFrame([(r.cell, min(60, finer(r.bytes))) for r in heavy], "cut_cell long, bits int")
+        same = cuts.celled(light).groupBy("cell", "part", "page_id", "sha1").agg(F.sum("bytes").alias("bytes"), F.max("bytes").alias("each"), F.count("*").alias("copies"))
+        large = same.where((F.col("bytes") > shard_bytes) & (F.col("copies") > 1)).collect()
+    counted = cuts.celled(light).groupBy("cell", "part").agg(F.sum("bytes").alias("bytes")).collect()
+    gone: dict[tuple, int] = {}
+    held: list[tuple] = []  # no id first, range, part, digest, piece, bytes, page
+    for r in large:
+        gone[r.cell, r.part] = gone.get((r.cell, r.part), 0) + r.bytes
+        fit = max(1, shard_bytes // r.each)
+        held += [(r.cell is not None, r.cell or 0, r.part, r.sha1, k, min(fit, r.copies - k * fit) * r.each) for k in range(-(-r.copies // fit))]
+    held += [(r.cell is not None, r.cell or 0, r.part, "", 0, r.bytes - gone.get((r.cell, r.part), 0)) for r in counted]
+    pieces, shards = [], []
+    shard, filled, known = 0, 0, False
+    for has_id, cell, part, sha1, piece, size in sorted(held):
+        # shard 0 is for pages without an id
+        if has_id and not known:
+            shard, filled, known = shard + 1, 0, True
+        elif filled and filled + size > shard_bytes:
+            shard, filled = shard + 1, 0
+        filled += size
+        row = cell if has_id else None
+        if sha1:
+            pieces.append((row, sha1, piece, shard))
+        else:
+            shards.append((row, part, shard))
+    cuts.shards, cuts.count = spark.createDataFrame(shards, "cell long, part long, shard int"), shard + 1
+    if pieces:
+        cuts.pieces = spark.createDataFrame(pieces, "page_id long, sha1 string, piece long, shard int")
+    return cuts
+
+
+def _in_shards(rows: DataFrame, cuts: _Cuts, shard_bytes: int) -> DataFrame:
+    """Pages with their ``shard``, and whether the page is a repetition of one in an earlier shard (``again``)."""
+    if cuts.pieces is None:
+        return cuts.placed(rows).withColumn("again", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("page_id", "sha1").orderBy("url")) - 1
+    fit = F.greatest(F.lit(1), F.floor(F.lit(shard_bytes) / (F.length("payload") + RECORD_BYTES)))
+    numbered = cuts.repeated(rows, "left_semi").withColumn("piece", F.floor(place / fit).cast("long")).withColumn("again", F.col("piece") > 0)
+    whole = cuts.placed(cuts.repeated(rows, "left_anti")).withColumn("again", F.lit(False))
+    return whole.unionByName(cuts.in_pieces(numbered, True).drop("piece"))
+
+
+def _later_in_shards(later: DataFrame, cuts: _Cuts) -> DataFrame:
+    """Pages that revisit another, in each shard that has them."""
+    if cuts.pieces is None:
+        found = cuts.placed(later)
+    else:
+        found = cuts.placed(cuts.repeated(later, "left_anti")).unionByName(cuts.in_pieces(cuts.repeated(later, "left_semi").distinct(), False))
+    # a column of its own: the pages are placed by the same tables
+    return found.withColumn("shard", F.col("shard").alias("shard"))
 
 
 def _file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -104,12 +187,12 @@ def _writer(folder: str, min_bytes: int, file_bytes: int, level: int):
                 page, url, payload = (pages[c][i].as_py() for c in ("page_id", "url", "payload"))
                 key = page, hashlib.sha1(payload).hexdigest()
                 refers = first.get(key)
-                if refers is None and page is not None and key in seen and len(payload) >= min_bytes:
+                if refers is None and page is not None and (key in seen or pages["again"][i].as_py()) and len(payload) >= min_bytes:
                     refers = page
                 seen.add(key)
                 record = _record(page, url, payload, refers, level)
                 if out is None:
-                    name = f"shard{shard + 1:07d}-{len(files):05d}.warc.gz"
+                    name = f"shard{shard:07d}-{len(files):05d}.warc.gz"
                     files.append({"file": name, "temporary": f"_temporary/{name}.{uuid.uuid4().hex}", "records": 0, "bytes": 0, "first_page": page})
                     out = fs.open_output_stream(f"{base}/{files[-1]['temporary']}")
                 out.write(record)
@@ -153,21 +236,22 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = F
     the others revisit it; of repeated rows with that id the first is. Records are sorted by page
     id into shards; files roll by compressed size. Tasks write under temporary names. Only files
     of the stored manifest, which exists when every shard is written, get their final names, so
-    what lost executors leave is never seen. Names and contents depend on the pages alone.
+    what lost executors leave is never seen. Names and contents depend on the pages alone. No shard
+    grows with the pages, however ids and payloads repeat.
 
     A null html is an empty payload. A page without an id goes to a shard of its own kind and is
     a response only if no page with an id has its payload. An empty table writes no file; other
     columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    light = written(rows.select("page_id", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("bytes")))
-    cuts = _shards(light, shard_bytes)
-    large = light.where(F.col("bytes") >= min_bytes)
+    rows = rows.withColumn("sha1", F.sha1("payload"))
+    light = written(rows.select("page_id", "sha1", (F.length("payload") + RECORD_BYTES).cast("long").alias("bytes")))
+    cuts = _cuts(light, shard_bytes)
+    large = light.where(F.col("bytes") >= min_bytes + RECORD_BYTES)
     least = written(large.where("page_id is not null").groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).withColumnRenamed("sha1", "first_sha1"))
     later = large.join(least, F.col("sha1") == F.col("first_sha1")).where("page_id is null or page_id != first_id").select("page_id", "sha1", "first_id")
     # as many partitions as shards, so that a task's share does not grow with the pages
-    parts = 1 + (cuts[2][-1][1] if cuts[2] else 0)
-    by_shard = [_in_shards(x, *cuts).repartition(parts, "shard").groupBy("shard") for x in (rows, later)]
+    by_shard = [x.repartition(cuts.count, "shard").groupBy("shard") for x in (_in_shards(rows, cuts, shard_bytes).drop("sha1"), _later_in_shards(later, cuts))]
     dealt = by_shard[0].cogroup(by_shard[1])
     manifest = written(dealt.applyInArrow(_writer(folder, min_bytes, file_bytes, level), _MANIFEST_SQL))
     committed = written(manifest.mapInArrow(_commit(folder), "file string, records long, bytes long, first_page long, last_page long"))
