@@ -45,6 +45,14 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_entailment_clusters_compare_whole_texts(spark, tmp_path):
+    texts = {1: ["the dose is 5", "the dose is 9", " The  dose is 5", None, "the"], 2: ["abc", "abd", "abc"]}
+    rows = [(c, t, text) for c, said in texts.items() for t, text in enumerate(said)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.cluster_id for r in QUERIES["entailment_clusters"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 0, (1, 3): 2, (1, 4): 3, (2, 0): 0, (2, 1): 1, (2, 2): 0}
+
+
 def test_entry(spark):
     import __spark_entry__
 
