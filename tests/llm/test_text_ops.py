@@ -364,3 +364,52 @@ def test_digest_of_ids(spark, lib):
     for i, t in texts.items():
         ids = lib.encode(t or "")
         assert (rows[i].n_tokens, rows[i].ids_sha256, rows[i].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids)))
+
+
+@pytest.mark.parametrize("shard", [8, 32])
+def test_dealt_leaves_lose_nothing(spark, monkeypatch, shard):
+    """With small shards trees have depth, and leaves full of near copies are dealt to parts."""
+    monkeypatch.setattr(simhash, "SHARD_SIZE", shard)
+    monkeypatch.setattr(simhash, "LEAF_MOST", 2 * shard)
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(200), rng.randint(0, 3)):
+            words[at] = f"e{rng.randint(0, 40)}"
+        rows.append((5000 + i, " ".join(words)))
+    rows += edited(120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    copies = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert copies == brute_copies(rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)[0]
+
+
+def test_near_copies_of_deep_trees_meet():
+    """Of pairs at a similarity of 0.8 to 0.95 nine in ten at least meet in a leaf of trees with 2,048 leaves each."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(3000)])
+    texts = [rng.choice(words, rng.integers(120, 500)) for _ in range(2500)]
+    pairs = []
+    for k in range(150):
+        own, other = texts[k], texts[-1 - k]
+        n = int(len(own) * (1 / 0.8 - 1) * 0.97)
+        pairs.append((own, np.concatenate([own, other[:n]])))
+        edited_words = own.copy()
+        at = rng.choice(len(own), max(1, len(own) // 60), replace=False)
+        edited_words[at] = rng.choice(words, len(at))
+        pairs.append((own, edited_words))
+    fps = lambda ts: np.array([simhash.wide_fingerprints(*simhash._shingle_set(" ".join(t), 5))[: simhash.WIDE] for t in ts], np.int64).view(np.uint64)
+    sets = [tuple(set(simhash._shingle_set(" ".join(t), 5)[1].tolist()) for t in p) for p in pairs]
+    alike = np.array([len(a & b) / len(a | b) >= 0.8 for a, b in sets])
+    every, left, right = fps(texts), fps([a for a, _ in pairs]), fps([b for _, b in pairs])
+    met = np.zeros(len(pairs), bool)
+    for k in range(simhash.WIDE):
+        for tree in simhash._forest(np.tile(every[:, k], 4), simhash.SHARD_SIZE << 11, 3):
+            assert tree.depth == 11
+            home = tree.leaf(left[:, k])
+            who, leaf, _ = tree.visits(right[:, k])
+            met[who[leaf == home[who]]] = True
+    assert alike.sum() > 150 and met[alike].mean() >= 0.9

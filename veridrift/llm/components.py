@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _linked_to_least(edges: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen or not state[0]:
             break
-        seen = state
-        now = written(_small_star(_linked_to_least(now)))
+        seen, before = state, now
+        now = written(_small_star(_linked_to_least(before)))
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

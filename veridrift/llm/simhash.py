@@ -18,7 +18,11 @@ from .words import MIX, hashed_windows, hashed_words
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints for each shard, and the sample that the trees are shaped by.
 SHARD_SIZE, SAMPLE = 512, 16_384
+#: Members of a leaf beyond which it is dealt, and the members that all its parts share.
+LEAF_MOST, PIVOTS = 4 * SHARD_SIZE, 8
 _CHUNK = 65_536
+#: Distances that a task computes at a time.
+_COMPARED = 1 << 22
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -89,6 +93,13 @@ class VantageTree:
     def distance(self, fps: np.ndarray, node) -> np.ndarray:
         return np.bitwise_count((fps ^ self.points[node]) & self.mask).astype(np.int64)
 
+    def leaf(self, fps: np.ndarray) -> np.ndarray:
+        """The leaf that each fingerprint is stored in."""
+        node = np.zeros(len(fps), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + np.where(self.distance(fps, node) <= self.radii[node], 1, 2)
+        return node
+
     def visits(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the fingerprint, leaf, and whether the leaf is its own, for each leaf that its ball of ``reach`` meets."""
         who, node, own = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
@@ -109,46 +120,190 @@ def _forest(sample: np.ndarray, count: int, radius: int) -> list[VantageTree]:
     return [VantageTree.shaped(sample, (1 << b) - (1 << a), radius // 3, depth) for a, b in zip(bounds, bounds[1:])]
 
 
-def _shard_links(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what pairs (own, visitor) within ``radius`` connect; a star for each class, so never more than the members."""
-    every = np.unique(np.concatenate([own, visitors]))
-    labels = np.arange(len(every))
-    for at in range(0, len(own), 64):
-        near = np.bitwise_count(own[at : at + 64, None] ^ every[None, :]) <= radius
-        for row in near[near.sum(axis=1) > 1]:
-            found = labels[row]
-            least = found.min()
-            if (found != least).any():
-                labels[np.isin(labels, np.unique(found))] = least
-    linked = np.flatnonzero(labels != np.arange(len(every)))
-    return every[linked], every[labels[linked]]
-
+def spanning_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, members: int) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest, by rounds in which each tree takes its lightest way out."""
+    label, chosen = np.arange(members), np.zeros(len(u), bool)
+    order = np.argsort(weight, kind="stable")
+    while True:
+        a, b = label[u[order]], label[v[order]]
+        out = a != b
+        order, a, b = order[out], a[out], b[out]
+        if not len(order):
+            return np.flatnonzero(chosen)
+        # the first way out of each tree; in one order for all, so that no rings close but pairs that choose each other
+        trees, first = np.unique(np.stack([a, b], axis=1).ravel(), return_index=True)
+        way = first // 2
+        chosen[order[way]] = True
+        parent = np.arange(members)
+        parent[trees] = np.where(first % 2 == 0, b[way], a[way])
+        mutual = (parent[parent] == np.arange(members)) & (parent > np.arange(members))
+        parent[mutual] = np.flatnonzero(mutual)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
 
-def links(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE) -> DataFrame:
-    """Edges ``u, v`` between distinct fingerprints (column ``fp``) that connect all pairs within ``radius`` bits.
 
-    Trees are shaped by a bounded sample and broadcast (three of at most ``SAMPLE / 4`` nodes);
-    every fingerprint is routed. It is stored in its own leaf and asks every leaf that the
-    triangle bound cannot rule out, so each pair meets in a leaf.
+@dataclass
+class Near:
+    """Which pairs are close: so many differing bits at most, and sizes (if there are any) alike by ``similarity``."""
+
+    bits: int
+    similarity: float = 0.0
+
+    def lightest(self, own: np.ndarray, shapes: np.ndarray, sizes: np.ndarray | None, label: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the close pairs (own member, any member) a minimum spanning forest over the labels; pairs of one kind are passed over."""
+        _, place = np.unique(label, return_inverse=True)
+        u, v, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+        mine = np.flatnonzero(own)
+        step = max(1, _COMPARED // max(1, len(own)))
+        for at in range(0, len(mine), step):
+            rows = mine[at : at + step]
+            apart = np.zeros((len(rows), len(own)), np.uint8)
+            for k in range(shapes.shape[1]):
+                apart += np.bitwise_count(shapes[rows, k][:, None] ^ shapes[None, :, k])
+            i, j = np.nonzero(apart <= self.bits)
+            near = (kind[rows[i]] != kind[j]) & ~(own[j] & (j <= rows[i]))
+            if sizes is not None:
+                near &= np.minimum(sizes[rows[i]], sizes[j]) >= self.similarity * np.maximum(sizes[rows[i]], sizes[j])
+            i, j = i[near], j[near]
+            u, v, w = np.concatenate([u, rows[i]]), np.concatenate([v, j]), np.concatenate([w, apart[i, j]])
+            chosen = spanning_forest(place[u], place[v], w, len(own))
+            u, v, w = u[chosen], v[chosen], w[chosen]
+        return u, v
+
+
+def _meetings(distinct: DataFrame, node: str, trees: list[tuple[str, VantageTree]], shapes: list[str], near: Near, size: str | None = None) -> DataFrame:
+    """Edges ``u, v`` that connect all close pairs of nodes; ``trees`` are each asked with a fingerprint column.
+
+    Every node is stored in its own leaf of each tree and visits every leaf that the triangle bound cannot rule out. A shard
+    emits a spanning forest, so never more rows than it has members. Leaves with more than ``LEAF_MOST``
+    members (near copies that no tree divides) are dealt: first their members, in parts that share a few pivots, which
+    joins a large group into one class; then the largest class in parts, each with all others, as
+    within the class nothing is left to ask. So no task holds a group of near copies, and rows grow in proportion to it.
     """
-    sample = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(sample_size)).alias("bucket")).agg(F.min("fp").alias("fp"))
-    points = np.array([r.fp for r in sample.select("fp").orderBy(F.xxhash64("fp"), "fp").collect()], np.int64).view(np.uint64)
-    forest = distinct.sparkSession.sparkContext.broadcast(_forest(points, distinct.count(), radius))
+    spark = distinct.sparkSession
+    spread = spark.sparkContext.broadcast(trees)
+    columns = list(dict.fromkeys([node, *([size] if size else []), *shapes]))
+    fields = ", ".join(f"{c} long" for c in columns)
+    words = lambda table, names: np.stack([table[c].to_numpy() for c in names], axis=1).view(np.uint64)
+
+    def held(batches: Iterator[pa.RecordBatch], by_label: bool, only: dict | None) -> Iterator[pa.RecordBatch]:
+        """How many members each leaf has, by label or in all."""
+        for batch in slices(batches, 4096):
+            label = batch.column("label").to_numpy() if by_label else np.zeros(batch.num_rows, np.int64)
+            for t, (column, tree) in enumerate(spread.value):
+                leaf = tree.leaf(batch.column(column).to_numpy().view(np.uint64))
+                if only is not None:
+                    full = np.isin(leaf, only.get(t, _NONE))
+                    pairs, n = np.unique(np.stack([leaf[full], label[full]], axis=1), axis=0, return_counts=True)
+                else:
+                    pairs, n = np.unique(np.stack([leaf, label], axis=1), axis=0, return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(n), t, np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], names=["tree", "leaf", "label", "held"])
+
+    counted = "tree int, leaf long, label long, held long"
+    sizes = distinct.mapInArrow(lambda x: held(x, False, None), counted).groupBy("tree", "leaf").agg(F.sum("held").alias("held"))
+    full = {(r.tree, r.leaf): -(-r.held // SHARD_SIZE) for r in sizes.where(F.col("held") > LEAF_MOST).collect()}  # as many as leaves at most
+    rows, first, most = distinct.withColumn("label", F.col(node)), None, {}
+    if full:
+        leaves: dict[int, np.ndarray] = {t: np.array([leaf for of, leaf in full if of == t]) for t in range(len(trees))}
+        rows, first = _dealt_first(distinct, node, columns, spread, shapes, near, size, full, leaves)
+        label_sizes = rows.mapInArrow(lambda x: held(x, True, leaves), counted).groupBy("tree", "leaf", "label").agg(F.sum("held").alias("held"))
+        largest = label_sizes.groupBy("tree", "leaf").agg(F.max(F.struct("held", "label")).alias("most")).collect()
+        most = {(r.tree, r.leaf): (r.most.label, max(1, -(-r.most.held // SHARD_SIZE))) for r in largest}
+    dealt = spark.sparkContext.broadcast(most)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tree", "leaf", "part", "own", "label", *columns]
+        full_leaves: dict[int, dict] = {}
+        for (t, leaf), value in dealt.value.items():
+            full_leaves.setdefault(t, {})[leaf] = value
+        for batch in slices(batches, 4096):
+            label, nodes = batch.column("label").to_numpy(), batch.column(node).to_numpy()
+            for t, (column, tree) in enumerate(spread.value):
+                who, leaf, own = tree.visits(batch.column(column).to_numpy().view(np.uint64))
+                part = np.zeros(len(who), np.int32)
+                more = [(who, leaf, own, part)]
+                for at, (largest, parts) in full_leaves.get(t, {}).items():
+                    here = np.flatnonzero(leaf == at)
+                    inside = label[who[here]] == largest
+                    mixed = nodes[who[here[inside]]].view(np.uint64) * MIX >> np.uint64(33)
+                    part[here[inside]] = (mixed % np.uint64(parts)).astype(np.int32)
+                    others = np.tile(here[~inside], parts - 1)
+                    more.append((who[others], leaf[others], own[others], np.repeat(np.arange(1, parts, dtype=np.int32), (~inside).sum())))
+                who, leaf, own, part = (np.concatenate(c) for c in zip(*more))
+                yield pa.record_batch([pa.array(np.full(len(who), t, np.int32)), pa.array(leaf), pa.array(part), pa.array(own), *batch.select(["label", *columns]).take(pa.array(who)).columns], names=names)
+
+    def match(group: pa.Table) -> pa.Table:
+        group = group.sort_by(node)
+        label = group["label"].to_numpy()
+        kind = label
+        key = group["tree"][0].as_py(), group["leaf"][0].as_py()
+        if group["part"][0].as_py():  # the others meet each other in part 0
+            kind = (label == dealt.value[key][0]).astype(np.int64)
+        u, v = near.lightest(group["own"].to_numpy(), words(group, shapes), group[size].to_numpy() if size else None, label, kind)
+        return _edge_table(group[node].to_numpy(), u, v)
+
+    routed = rows.mapInArrow(route, f"tree int, leaf long, part int, own boolean, label long, {fields}")
+    found = routed.groupBy("tree", "leaf", "part").applyInArrow(match, "u long, v long")
+    return (found.union(first) if full else found).distinct()
+
+
+_NONE = np.empty(0, np.int64)
+
+
+def _edge_table(nodes: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.Table:
+    return pa.table({"u": np.minimum(nodes[u], nodes[v]), "v": np.maximum(nodes[u], nodes[v])})
+
+
+def _dealt_first(distinct: DataFrame, node: str, columns: list[str], spread, shapes: list[str], near: Near, size: str | None, full: dict, leaves: dict) -> tuple[DataFrame, DataFrame]:
+    """The nodes with a ``label``, the least node that close pairs of members of over-full leaves reach part by part; and these edges."""
+    spark, fields = distinct.sparkSession, ", ".join(f"{c} long" for c in columns)
+    parts = spark.sparkContext.broadcast(full)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tree", "leaf", "part", "slot", "mixed", *columns]
         for batch in slices(batches, 4096):
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            for t, tree in enumerate(forest.value):
-                who, leaf, own = tree.visits(fps)
-                yield pa.record_batch([pa.array(np.full(len(who), t, np.int32)), pa.array(leaf), pa.array(fps[who].view(np.int64)), pa.array(own)], names=["tree", "leaf", "fp", "own"])
+            mixed = (batch.column(node).to_numpy().view(np.uint64) ^ MIX) * MIX >> np.uint64(33)
+            for t, (column, tree) in enumerate(spread.value):
+                leaf = tree.leaf(batch.column(column).to_numpy().view(np.uint64))
+                at = np.flatnonzero(np.isin(leaf, leaves.get(t, _NONE)))
+                if len(at):
+                    among = np.array([parts.value[t, x] for x in leaf[at].tolist()], np.uint64)
+                    part, slot = (mixed[at] // np.uint64(PIVOTS)) % among, mixed[at] % np.uint64(PIVOTS)
+                    numbers = [np.full(len(at), t, np.int32), leaf[at], part.astype(np.int32), slot.astype(np.int32), mixed[at].astype(np.int64)]
+                    yield pa.record_batch([*map(pa.array, numbers), *batch.select(columns).take(pa.array(at)).columns], names=names)
+
+    shared = distinct.mapInArrow(members, f"tree int, leaf long, part int, slot int, mixed long, {fields}")
+    chosen = shared.groupBy("tree", "leaf", "slot").agg(F.min(F.struct("mixed", *columns)).alias("least")).select("tree", "leaf", "least.*").collect()
+    pivots: dict = {}
+    for r in chosen:  # PIVOTS for each over-full leaf
+        pivots.setdefault((r.tree, r.leaf), []).append([r[c] for c in columns])
+    spread_pivots = spark.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in pivots.items()})
 
     def match(group: pa.Table) -> pa.Table:
-        fps, own = group["fp"].to_numpy().view(np.uint64), group["own"].to_numpy()
-        u, v = _shard_links(fps[own], fps[~own], radius)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+        own = np.stack([group[c].to_numpy() for c in columns], axis=1)
+        every = np.unique(np.concatenate([own, spread_pivots.value[group["tree"][0].as_py(), group["leaf"][0].as_py()]]), axis=0)
+        ids = every[:, columns.index(node)]
+        sizes = every[:, columns.index(size)] if size else None
+        u, v = near.lightest(np.ones(len(every), bool), every[:, [columns.index(c) for c in shapes]].view(np.uint64), sizes, ids, ids)
+        return _edge_table(ids, u, v)
+
+    edges = written(shared.groupBy("tree", "leaf", "part").applyInArrow(match, "u long, v long").distinct())
+    classes = connected_components(edges)
+    known = distinct.join(classes.withColumnsRenamed({"node": "_member", "root": "label"}), F.col(node) == F.col("_member"), "left")
+    return written(known.drop("_member").withColumn("label", F.coalesce("label", node))), edges
 
-    routed = distinct.select("fp").mapInArrow(route, "tree int, leaf long, fp long, own boolean")
-    return routed.groupBy("tree", "leaf").applyInArrow(match, "u long, v long")
+
+def links(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE) -> DataFrame:
+    """Edges ``u, v`` between distinct fingerprints (column ``fp``) that connect all pairs within ``radius`` bits.
+
+    Trees are shaped by a bounded sample and broadcast (three of at most ``SAMPLE / 4`` nodes);
+    every fingerprint is routed.
+    """
+    sample = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(sample_size)).alias("bucket")).agg(F.min("fp").alias("fp"))
+    points = np.array([r.fp for r in sample.select("fp").orderBy(F.xxhash64("fp"), "fp").collect()], np.int64).view(np.uint64)
+    trees = [("fp", tree) for tree in _forest(points, distinct.count(), radius)]
+    return _meetings(distinct.select("fp"), "fp", trees, ["fp"], Near(radius))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,13 +341,9 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints that trees route by and those that distances are taken over, and the share of the latter's bits that
 #: candidates may differ by (0.15 is expected at a similarity of 0.8, with a deviation of 0.026; 0.5 of unrelated texts).
 WIDE, APART = 3, 0.255
-#: Edge-disjoint spanning forests of its candidates that a shard emits: these pairs are counted first.
-FORESTS = 16
 #: Members of a group, and about the shingles, that are compared with as many others at a time.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 _MIXES = np.arange(1, 4 * WIDE, 2, dtype=np.uint64) * MIX
-#: Distances that a task computes at a time.
-_COMPARED = 1 << 22
 _FPS, _SHAPES = [f"f{k}" for k in range(WIDE)], [f"g{k}" for k in range(WIDE)]
 
 
@@ -235,88 +386,17 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, node long, n long, {', '.join(f'{f} long' for f in _FPS + _SHAPES)}")
 
 
-def spanning_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, members: int) -> np.ndarray:
-    """Places of the edges of a minimum spanning forest, by rounds in which each tree takes its lightest way out."""
-    label, chosen = np.arange(members), np.zeros(len(u), bool)
-    order = np.argsort(weight, kind="stable")
-    while True:
-        a, b = label[u[order]], label[v[order]]
-        out = a != b
-        order, a, b = order[out], a[out], b[out]
-        if not len(order):
-            return np.flatnonzero(chosen)
-        # the first way out of each tree; in one order for all, so that no rings close but pairs that choose each other
-        trees, first = np.unique(np.stack([a, b], axis=1).ravel(), return_index=True)
-        way = first // 2
-        chosen[order[way]] = True
-        parent = np.arange(members)
-        parent[trees] = np.where(first % 2 == 0, b[way], a[way])
-        mutual = (parent[parent] == np.arange(members)) & (parent > np.arange(members))
-        parent[mutual] = np.flatnonzero(mutual)
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        label = parent[label]
-
-
-def _closest(own: np.ndarray, shapes: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs in a shard that may be as similar: ``FORESTS`` spanning forests by distance, one after another, and which of these a pair is in."""
-    most = int(64 * WIDE * APART)
-    u, v, w, forest = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.int64)
-    mine = np.flatnonzero(own)
-    step = max(1, _COMPARED // max(1, len(n)))
-    for at in range(0, len(mine), step):
-        rows = mine[at : at + step]
-        apart = np.zeros((len(rows), len(n)), np.uint8)
-        for k in range(WIDE):
-            apart += np.bitwise_count(shapes[rows, k][:, None] ^ shapes[None, :, k])
-        i, j = np.nonzero(apart <= most)
-        near = (np.minimum(n[rows[i]], n[j]) >= similarity * np.maximum(n[rows[i]], n[j])) & ~(own[j] & (j <= rows[i]))
-        i, j = i[near], j[near]
-        u, v, w = np.concatenate([u, rows[i]]), np.concatenate([v, j]), np.concatenate([w, apart[i, j]])
-        forest, rest = np.full(len(u), FORESTS), np.arange(len(u))
-        for k in range(FORESTS):
-            chosen = spanning_forest(u[rest], v[rest], w[rest], len(n))
-            forest[rest[chosen]] = k
-            rest = np.delete(rest, chosen)
-            if not len(rest):
-                break
-        kept = forest < FORESTS
-        u, v, w, forest = u[kept], v[kept], w[kept], forest[kept]
-    return u, v, forest
-
-
 def candidates(distinct: DataFrame, similarity: float = SIMILARITY, sample_size: int = SAMPLE) -> DataFrame:
-    """Edges ``u, v, forest`` between nodes that may be as similar, from three vantage-point trees over each fingerprint.
+    """Edges ``u, v`` that connect all nodes that may be as similar and meet in one of three vantage-point trees over each fingerprint.
 
     Routing is that of ``links``, by words and word pairs; distances are those of the shingles'
-    fingerprints. Of the close pairs in a shard ``FORESTS`` edge-disjoint minimum spanning forests
-    leave the task: every pair of a group of up to twice as many members, and of larger groups
-    as many paths between two members as there are forests, each over pairs at least as close.
+    fingerprints. The edges are the lightest that connect, so most of them are links.
     """
     sample = distinct.groupBy(F.pmod(F.xxhash64(*_FPS), F.lit(sample_size)).alias("bucket")).agg(F.min(F.struct(*_FPS)).alias("fps"))
     points = np.array([tuple(r) for r in sample.select("fps.*").orderBy(F.xxhash64(*_FPS), *_FPS).collect()], np.int64).reshape(-1, WIDE).view(np.uint64)
     count = distinct.count()
-    carried = ["node", "n", *_SHAPES]
-    forests = distinct.sparkSession.sparkContext.broadcast([_forest(points[:, k].copy(), count, 3) for k in range(WIDE)])
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4096):
-            for k, forest in enumerate(forests.value):
-                fps = batch.column(_FPS[k]).to_numpy().view(np.uint64)
-                for t, tree in enumerate(forest):
-                    who, leaf, own = tree.visits(fps)
-                    yield pa.record_batch([pa.array(np.full(len(who), k * len(forest) + t, np.int32)), pa.array(leaf), pa.array(own), *batch.select(carried).take(pa.array(who)).columns], names=["tree", "leaf", "own", *carried])
-
-    def match(group: pa.Table) -> pa.Table:
-        shapes = np.stack([group[g].to_numpy() for g in _SHAPES], axis=1).view(np.uint64)
-        u, v, forest = _closest(group["own"].to_numpy(), shapes, group["n"].to_numpy(), similarity)
-        nodes = group["node"].to_numpy()
-        return pa.table({"u": np.minimum(nodes[u], nodes[v]), "v": np.maximum(nodes[u], nodes[v]), "forest": forest})
-
-    fields = ", ".join(f"{f} long" for f in carried)
-    routed = distinct.select(*carried, *_FPS).mapInArrow(route, f"tree int, leaf long, own boolean, {fields}")
-    found = routed.groupBy("tree", "leaf").applyInArrow(match, "u long, v long, forest long")
-    return found.groupBy("u", "v").agg(F.min("forest").alias("forest"))
+    trees = [(_FPS[k], tree) for k in range(WIDE) for tree in _forest(points[:, k].copy(), count, 3)]
+    return _meetings(distinct, "node", trees, _SHAPES, Near(int(64 * WIDE * APART), similarity), "n")
 
 
 def _sets(ends: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -392,14 +472,14 @@ def _open_groups(near: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFra
 
 
 def _remaining_links(edges: DataFrame, links: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The links that connect what candidates connect and ``links`` leave apart, so that no count depends on the forests.
+    """The links that connect what candidates connect and ``links`` leave apart, so that no pair that meets is lost.
 
-    The lightest forests join every pair that meets, so all such pairs lie within the groups that these connect. In groups
+    The edges join every pair that meets, so all such pairs lie within the groups that these connect. In groups
     left in several classes each member outside the largest class is compared with all members of other classes.
     Groups of more than a block first have their best linked member counted against all others, in
     one pass that is linear; blocks of what is still apart are then compared pairwise.
     """
-    near = written(connected_components(edges.where("forest = 0")))
+    near = written(connected_components(edges))
     apart = _open_groups(near, links, nodes)
     wide = apart.where("blocks > 1")
     if not wide.isEmpty():
@@ -434,7 +514,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COP
 
     Copies meet once, as one distinct set. Candidates come from vantage-point trees over
     64-bit SimHashes of the words and word pairs used (an edit breaks fewer of these than of
-    long shingles, so near copies stay closer); links are counted exactly, by forests of the closest pairs first, then
+    long shingles, so near copies stay closer); links are counted exactly, the closest pairs first, then
     within each group of candidates that these leave apart. The component is the smallest doc id reachable.
 
     Words are lower-cased (A-Z). Fewer words than ``size`` are one shingle; null and empty texts
@@ -448,17 +528,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COP
     same = nodes.groupBy(*every).agg(F.min(F.struct("first_id", "node", "n")).alias("least"))
     distinct = written(same.select("least.node", "least.n", *every))
     first = distinct.withColumnRenamed("node", "first_node").drop("n")
-    twins = nodes.join(first, every).where("node != first_node").select(F.least("node", "first_node").alias("u"), F.greatest("node", "first_node").alias("v"), F.lit(0).cast("long").alias("forest"))
+    twins = nodes.join(first, every).where("node != first_node").select(F.least("node", "first_node").alias("u"), F.greatest("node", "first_node").alias("v"))
     edges = written(candidates(distinct, similarity).union(twins))
-    # the lightest forest is counted first; of the others only what it has left apart
-    links = _as_similar(edges.where("forest = 0"), rows, nodes, similarity, size)
-    joined = written(connected_components(links))
-    ends = [joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in "uv"]
-    apart = edges.where("forest > 0").join(ends[0], "u", "left").join(ends[1], "v", "left").where("coalesce(root_u, u) != coalesce(root_v, v)").select("u", "v")
-    links = written(links.union(_as_similar(written(apart), rows, nodes, similarity, size)))
+    discard(distinct)
+    links = _as_similar(edges, rows, nodes, similarity, size)
     links = _remaining_links(edges, links, rows, nodes, similarity, size)
     classes = _classes(nodes.select("node", "first_id"), links)
-    discard(distinct, edges)
+    discard(edges)
     return prints.join(classes, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
