@@ -4,10 +4,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from veridrift.llm import langid, packing, quality, substring_dedup, suffix_dedup, topk, warc
+from veridrift.llm import langid, packing, quality, repeats, substring_dedup, suffix_dedup, topk, warc
 from veridrift.llm.common import shared_folder
 
 
@@ -66,12 +67,57 @@ def test_repeats_equal_brute_force(spark, cut, window):
     assert any(r.n_removed for r in got)
 
 
-def test_repeats_of_an_empty_table_and_within_one_chunk_bound(spark, monkeypatch):
+def test_repeats_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.remove_repeats(docs).count() == 0
     assert suffix_dedup.remove_passages(docs).count() == 0
 
 
+@pytest.mark.parametrize("cut", [substring_dedup.remove_repeats, suffix_dedup.remove_passages])
+def test_hot_passages_and_very_long_texts(spark, monkeypatch, cut):
+    """Anchors and prefixes that most documents hold go window by window; two texts have 60,000 words."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    rng = random.Random(6)
+    shared = [f"h{k}" for k in range(40)]
+    rows = []
+    for i in range(80):
+        own = [f"u{rng.randint(0, 30)}" for _ in range(rng.randint(0, 25))]
+        rows.append((rng.randint(0, 500), " ".join(own + shared[rng.randint(0, 5) :] + own[::-1])))
+    long = [f"u{rng.randint(0, 30_000)}" for _ in range(60_000)]
+    rows += [(900, " ".join(long)), (901, " ".join(long[:30_000] + shared + long[30_000:]))]
+    got = cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), window=13).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, " ".join(r.kept_text.split())) for r in got), key=str) == brute_cut(rows, 13)
+
+
+@pytest.mark.parametrize("window,gram", [(6, 2), (5, 5), (9, 3)])
+def test_places_of_one_hash_are_told_apart_by_their_words(window, gram):
+    """Were all grams hashed to one key, the groups would still give what brute force gives."""
+    rng = random.Random(window)
+    texts = [(i, " ".join(f"v{rng.randint(0, 3)}" for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    shape = repeats.Shape(window, gram)
+    every = np.unique(np.concatenate([shape.representatives(repeats.hashed_words(t))[0] for _, t in texts])).view(np.int64)
+    group = [(0, x.left, x.words, i, 0, x.start, x.n) for i, t in texts for x in repeats.places(t, shape, every, every[:0])]
+    want = brute_cut(texts, window)
+    by_suffix = {}
+    for _, gap, words, *rest in group:
+        own = words.split(b" ")
+        key = b" ".join([*own[gap : gap + gram], b""])
+        by_suffix.setdefault(key, []).append((key, b"".join(w + b" " for w in own[gap + gram :]), b" ".join(own[:gap]), *rest))
+    suffixes = [r for g in by_suffix.values() for r in suffix_dedup.extended(sorted(g, key=lambda x: x[1]), window)]
+    for found in (list(substring_dedup.extended(group, window)), suffixes):
+        got = []
+        for i, t in texts:
+            runs = pa.scalar([{"start": a, "run": n} for d, _, a, n in found if d == i] or None, pa.list_(pa.struct([("start", pa.int32()), ("run", pa.int32())])))
+            n, gone, _, kept = repeats._cut(t, runs, window)
+            got.append((i, n, gone, " ".join(kept.split())))
+        assert sorted(got, key=str) == want
+
+
+def test_common_words_of_suffixes():
+    for a, b, n in ((b"", b"", 0), (b"x y ", b"x y ", 2), (b"x y ", b"x yz ", 1), (b"x ", b"x y ", 1), (b"q ", b"r ", 0)):
+        assert suffix_dedup.common_words(a, b) == suffix_dedup.common_words(b, a) == n
+
+
 def test_cut_keeps_columns_and_unrepeated_texts(spark):
     rows = repeating(30)
     docs = spark.createDataFrame([(i, t, None if t is None else len(t), 5, "x") for i, t in rows], "doc_id long, text string, n_chars long, _repeat_keys int, Keys string")

@@ -1,9 +1,9 @@
-"""Windows of words that an earlier document has too: what substring and suffix-array dedup share.
+"""What substring and suffix-array dedup share: places chosen by content, what surrounds them, and cutting words out.
 
 Every window of ``window`` words is represented by its least hashed gram of ``gram`` words, so
-equal windows have equal representatives (winnowing). Only windows whose representative is
-shared between documents are looked at closely. Within a task equal keys are reduced to one row
-first, so a key that all documents hold crosses the shuffle once for each task.
+equal windows have equal representatives at the same place (winnowing). Only places whose gram is
+shared between documents are looked at closely: their words go to the operator's own comparison. Within a task
+equal rows are reduced to one first, so what all documents hold crosses the shuffle once for each task.
 """
 
 from __future__ import annotations
@@ -13,18 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, free_name, ids_and_text, slices, texts, written
 from .words import WORD, covered, hashed_windows, hashed_words
 
-#: Keys that a task reduces at a time.
-_HELD = 1 << 20
+#: Keys, and bytes of surroundings, that a task reduces at a time.
+_HELD, _HELD_BYTES = 1 << 20, 24 << 20
 _WINDOWS = 1 << 16
-_KEYED = "key long, doc_id long, known boolean"
+#: Grams of more documents than this are hot: each of their windows is compared on its own. At most ``HOT_KEYS`` of them
+#: (8 MB) are broadcast, the commonest first, so any other gram has less than one in so many of all occurrences.
+HOT, HOT_KEYS = 4096, 1 << 20
+_KEYED = "key long, doc_id long, docs long, known boolean"
 
 
 @dataclass(frozen=True)
@@ -44,8 +48,8 @@ class Shape:
         return grams, np.concatenate(least)
 
 
-def _reduced(keys: list[np.ndarray], docs: list[np.ndarray], known: Callable) -> Iterator[pa.RecordBatch]:
-    """A row for each key with its least document, and the rows ``known`` picks without asking other tasks."""
+def _reduced(keys: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each key with its least document and how many there are, and a known row for each document of keys that several have."""
     if not keys:
         return
     k, d = np.concatenate(keys), np.concatenate(docs)
@@ -56,78 +60,35 @@ def _reduced(keys: list[np.ndarray], docs: list[np.ndarray], known: Callable) ->
     k, d = k[new], d[new]
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
-    for rows, flag in ((first, False), (known(first), True)):
+    n = np.diff(np.append(np.flatnonzero(first), len(k)))
+    several = ~(first & np.append(first[1:], True))
+    for rows, count, flag in ((first, n, False), (several, np.zeros(several.sum(), np.int64), True)):
         if rows.any():
-            yield pa.record_batch([pa.array(k[rows].view(np.int64)), pa.array(d[rows]), pa.array(np.full(rows.sum(), flag))], names=["key", "doc_id", "known"])
+            yield pa.record_batch([pa.array(k[rows].view(np.int64)), pa.array(d[rows]), pa.array(count), pa.array(np.full(rows.sum(), flag))], names=["key", "doc_id", "docs", "known"])
 
 
-def _in_groups_of_several(first: np.ndarray) -> np.ndarray:
-    last = np.append(first[1:], True)
-    return ~(first & last)
-
-
-def _not_first(first: np.ndarray) -> np.ndarray:
-    return ~first
-
-
-def _keyed(rows: Iterable[tuple[int, np.ndarray]], known: Callable) -> Iterator[pa.RecordBatch]:
+def _keyed(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     keys, docs, held = [], [], 0
     for doc, own in rows:
         keys.append(own)
         docs.append(np.full(len(own), doc, np.int64))
         held += len(own)
         if held >= _HELD:
-            yield from _reduced(keys, docs, known)
+            yield from _reduced(keys, docs)
             keys, docs, held = [], [], 0
-    yield from _reduced(keys, docs, known)
-
-
-def by_join(rows: DataFrame, several: bool) -> DataFrame:
-    """Of ``key, doc_id`` (a few rows a key): those whose key several documents hold, or those that are not the key's least."""
-    own = Window.partitionBy("key")
-    least, most = F.min("doc_id").over(own), F.max("doc_id").over(own)
-    picked = rows.select("doc_id", "key", least.alias("least"), (most if several else least).alias("most"))
-    return picked.where("least != most" if several else "doc_id > least").select("doc_id", "key")
-
+    yield from _reduced(keys, docs)
 
-def by_sort(rows: DataFrame, several: bool) -> DataFrame:
-    """The same from a sorted array: keys are range-sorted over the cluster and each compared with its neighbours."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_d = np.empty(0, np.int64), np.empty(0, np.int64)
+def source_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, part, text`` of the rows with an id; ``part`` tells rows that share an id but not the text."""
+    return ids_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("part", F.xxhash64("text"))
 
-        def settled(k: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-            first = np.ones(len(k), bool)
-            first[1:] = k[1:] != k[:-1]
-            least = d[first][np.cumsum(first) - 1]
-            later = d > least
-            if several:
-                group = np.cumsum(first) - 1
-                later = np.bincount(group[later], minlength=group[-1] + 1)[group] > 0
-            return pa.record_batch([pa.array(d[later]), pa.array(k[later])], names=["doc_id", "key"])
 
-        for batch in batches:
-            k = np.concatenate([held_k, batch.column("key").to_numpy()])
-            d = np.concatenate([held_d, batch.column("doc_id").to_numpy()])
-            end = np.searchsorted(k, k[-1]) if len(k) else 0  # the last key may go on in the next batch
-            if end:
-                yield settled(k[:end], d[:end])
-            held_k, held_d = k[end:], d[end:]
-        if len(held_k):
-            yield settled(held_k, held_d)
+def shared_grams(rows: DataFrame, shape: Shape, resolve: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, keys`` (the grams at chosen places that several documents have), and the hot ones of all.
 
-    return rows.select("key", "doc_id").repartitionByRange("key").sortWithinPartitions("key", "doc_id").mapInArrow(compare, "doc_id long, key long")
-
-
-def _sets(table: DataFrame, resolve: Callable, several: bool) -> DataFrame:
-    """``doc_id, keys``: what tasks knew and what the others told, for each document."""
-    told = resolve(table.where("not known").select("key", "doc_id"), several)
-    return table.where("known").select("doc_id", "key").union(told).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-
-
-def repeated(docs: DataFrame, shape: Shape, resolve: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, keys``: hashes of each document's windows that also start in a document with a smaller id."""
-    rows = ids_and_text(docs, id_col, text_col).where("doc_id is not null")
+    ``resolve`` gets ``key, doc_id, docs`` (a few rows a key) and gives ``doc_id, key, total`` for the keys of several documents.
+    """
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[int, np.ndarray]]:
@@ -137,45 +98,126 @@ def repeated(docs: DataFrame, shape: Shape, resolve: Callable, id_col: str = "do
                     if len(at):
                         yield doc, grams[np.unique(at)]
 
-        yield from _keyed(each(), _in_groups_of_several)
+        yield from _keyed(each())
 
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[int, np.ndarray]]:
-            for batch in slices(batches):
-                for doc, text, shared in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("keys")):
-                    h = hashed_words(text)
-                    grams, at = shape.representatives(h)
-                    if len(at):  # a seed reaches as far to both sides as windows stand for it
-                        yield doc, hashed_windows(h, shape.window)[np.isin(grams[at], shared.values.to_numpy().view(np.uint64))]
-
-        yield from _keyed(each(), _not_first)
-
-    anchors = written(rows.mapInArrow(seeds, _KEYED))
-    shared = written(_sets(anchors, resolve, True))
-    discard(anchors)
-    windows = written(rows.join(shared, "doc_id").select("doc_id", "text", "keys").mapInArrow(extended, _KEYED))
-    discard(shared)
-    found = written(_sets(windows, resolve, False))
-    discard(windows)
-    return found
-
-
-def _cut(text: str, keys: np.ndarray | None, window: int) -> tuple[int, int, list, str]:
-    """n_words, n_removed, the removed runs as (first word, words), and the text without them."""
-    if keys is None:
-        return len(text.encode().split()), 0, [], text
+    table = written(rows.select("doc_id", "text").mapInArrow(seeds, _KEYED))
+    told = written(resolve(table.where("not known").select("key", "doc_id", "docs")))
+    often = told.where(F.col("total") > HOT).select("key", "total").distinct().orderBy(F.desc("total"), "key").limit(HOT_KEYS)
+    hot = np.array(sorted(r.key for r in often.select("key").collect()), np.int64)
+    shared = written(table.where("known").select("doc_id", "key").union(told.select("doc_id", "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    discard(table, told)
+    return shared, hot
+
+
+@dataclass
+class Place:
+    """A chosen place: the ``n`` windows that it stands for begin at ``start``, and the gram ``left`` words later (-1: a window by itself)."""
+
+    key: int
+    start: int
+    n: int
+    left: int
+    words: bytes  # of all these windows
+
+
+def places(text: str, shape: Shape, shared: np.ndarray, hot: np.ndarray) -> Iterator[Place]:
+    """The places whose gram is shared, with what surrounds them as far as windows reach; of hot grams each window by itself."""
     h = hashed_words(text)
-    gone = covered(np.isin(hashed_windows(h, window), keys), window, len(h)) if len(h) >= window else np.zeros(len(h), bool)
-    if not gone.any():
-        return len(h), 0, [], text
+    grams, at = shape.representatives(h)
+    if not len(at):
+        return
+    chosen, first, n = np.unique(at, return_index=True, return_counts=True)
+    keys = grams[chosen].view(np.int64)
+    among = np.isin(keys, shared)
+    if not among.any():
+        return
+    words = text.encode().split()
+    chosen, first, n, keys = chosen[among], first[among], n[among], keys[among]
+    for p, start, count, key, often in zip(chosen.tolist(), first.tolist(), n.tolist(), keys.tolist(), np.isin(keys, hot).tolist()):
+        if not often:
+            yield Place(key, start, count, p - start, b" ".join(words[start : start + count - 1 + shape.window]))
+            continue
+        for i in range(start, start + count):
+            own = b" ".join(words[i : i + shape.window])
+            yield Place(xxhash.xxh64_intdigest(own) - (1 << 63), i, 1, -1, own)
+
+
+#: A document's windows that an earlier one has too: so many from the word ``start`` on.
+RUN = "doc_id long, part long, start int, run int"
+PLACED = f"key long, gap int, words binary, {RUN}"
+_PLACED = pa.schema([("key", pa.int64()), ("gap", pa.int32()), ("words", pa.binary()), ("doc_id", pa.int64()), ("part", pa.int64()), ("start", pa.int32()), ("run", pa.int32())])
+
+
+def placed(rows: DataFrame, shared: DataFrame, shape: Shape, hot: np.ndarray) -> DataFrame:
+    """The places of each document (``PLACED``: ``gap`` words before the gram). Where a task has equal surroundings in several
+    documents, those of the least go on; the others are known to repeat and have null words."""
+    often = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def reduced() -> Iterator[pa.RecordBatch]:
+            out = []
+            for (key, gap, words), found in held.items():
+                least = min(found)[0]
+                # what is known needs no key: it only passes through, spread by document
+                out += [(key, gap, words, *f) if f[0] == least else (f[0], gap, None, *f) for f in found]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _PLACED.types)], schema=_PLACED)
+
+        for batch in slices(batches):
+            for doc, part, text, keys in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), texts(batch.column("text")), batch.column("keys")):
+                for x in places(text, shape, keys.values.to_numpy(), often.value):
+                    found = held.setdefault((x.key, x.left, x.words), [])
+                    size += 60 if found else 160 + len(x.words)
+                    found.append((doc, part, x.start, x.n))
+                    if size > _HELD_BYTES:
+                        yield from reduced()
+                        held.clear()
+                        size = 0
+        yield from reduced()
+
+    return rows.join(shared, "doc_id").select("doc_id", "part", "text", "keys").mapInArrow(run, PLACED)
+
+
+def runs(start: int, matched: list[bool]) -> Iterator[tuple[int, int]]:
+    """Where in a document the matched ones among consecutive windows begin, and how many follow each other."""
+    at = 0
+    for i, found in enumerate([*matched, False]):
+        if not found:
+            if i > at:
+                yield start + at, i - at
+            at = i + 1
+
+
+def run_table(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out)) or [[]] * 4
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _PLACED.types[3:])], names=_PLACED.names[3:])
+
+
+def by_document(found: DataFrame) -> DataFrame:
+    """``doc_id, part, runs`` of rows like ``RUN``."""
+    return written(found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "run")).alias("runs")))
+
+
+def _cut(text: str, found: pa.Scalar, window: int) -> tuple[int, int, list, str]:
+    """n_words, n_removed, the removed runs (maximal repeats) as (first word, words), and the text without them."""
+    raw = text.encode()
+    if not found.is_valid:
+        return len(raw.split()), 0, [], text
+    spans = [m.start() for m in WORD.finditer(raw)]
+    starts = np.zeros(max(0, len(spans) - window + 1), bool)
+    for r in found.as_py():
+        starts[r["start"] : r["start"] + r["run"]] = True
+    gone = covered(starts, window, len(spans))
     turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-    runs = list(zip(turns[::2].tolist(), (turns[1::2] - turns[::2]).tolist()))
-    raw, out, at = text.encode(), [], 0
-    spans = [m.start() for m in WORD.finditer(raw)] + [len(raw)]
-    for first, n in runs:
+    out, at, cut = [], 0, list(zip(turns[::2].tolist(), (turns[1::2] - turns[::2]).tolist()))
+    spans.append(len(raw))
+    for first, n in cut:
         out.append(raw[at : spans[first]])
         at = spans[first + n]
-    return len(h), int(gone.sum()), [{"first": a, "words": n} for a, n in runs], b"".join([*out, raw[at:]]).decode()
+    return len(spans) - 1, int(gone.sum()), [{"first": a, "words": n} for a, n in cut], b"".join([*out, raw[at:]]).decode()
 
 
 CUT_TYPE = "n_words long, n_removed long, repeats array<struct<first:int,words:int>>, kept_text string"
@@ -183,33 +225,33 @@ CUT_TYPE = "n_words long, n_removed long, repeats array<struct<first:int,words:i
 
 def without_repeats(docs: DataFrame, found: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, repeats, kept_text`` for each row, the repeats as maximal runs of words."""
-    rows = ids_and_text(docs, id_col, text_col).join(found, "doc_id", "left").select("doc_id", "text", "keys")
-    runs = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
+    rows = ids_and_text(docs, id_col, text_col).withColumn("part", F.xxhash64("text")).join(found, ["doc_id", "part"], "left").select("doc_id", "text", "runs")
+    kinds = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [x.values.to_numpy().view(np.uint64) if x.is_valid else None for x in batch.column("keys")]
-            n, gone, spans, kept = zip(*(_cut(t, k, window) for t, k in zip(texts(batch.column("text")), sets)))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, runs), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "repeats", "kept_text"])
+            n, gone, spans, kept = zip(*(_cut(t, k, window) for t, k in zip(texts(batch.column("text")), batch.column("runs"))))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, kinds), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "repeats", "kept_text"])
 
     return rows.mapInArrow(run, f"doc_id long, {CUT_TYPE}")
 
 
 def cut_in_place(docs: DataFrame, found: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the repeats cut out of the text (and ``n_chars`` counted anew, where there is such a column)."""
-    id_name, keys_name = free_name("_repeat_id", docs), free_name("_repeat_keys", docs)
-    keyed = found.select(F.col("doc_id").alias(id_name), F.col("keys").alias(keys_name))
-    rows = docs.join(keyed, docs[id_col] == keyed[id_name], "left").drop(id_name)
+    id_name, part_name, runs_name = (free_name(f"_repeat_{c}", docs) for c in ("id", "part", "runs"))
+    keyed = found.select(F.col("doc_id").alias(id_name), F.col("part").alias(part_name), F.col("runs").alias(runs_name))
+    on = (docs[id_col].cast("long") == keyed[id_name]) & (F.xxhash64(docs[text_col].cast("string")) == keyed[part_name])
+    rows = docs.join(keyed, on, "left").drop(id_name, part_name)
     size = "n_chars" if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType)) else None
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [x.values.to_numpy().view(np.uint64) if x.is_valid else None for x in batch.column(keys_name)]
-            kept = [t if t is None or k is None else _cut(t, k, window)[3] for t, k in zip(batch.column(text_col).to_pylist(), sets)]
+            cut = batch.column(runs_name)
+            kept = [t if t is None or not k.is_valid else _cut(t, k, window)[3] for t, k in zip(batch.column(text_col).to_pylist(), cut)]
             columns = {c: batch.column(c) for c in names} | {text_col: pa.array(kept, pa.string())}
             if size:
-                columns[size] = pa.array([old if t is None or k is None else len(t) for old, t, k in zip(columns[size].to_pylist(), kept, sets)], columns[size].type)
+                columns[size] = pa.array([len(t) if k.is_valid else old for old, t, k in zip(columns[size].to_pylist(), kept, cut)], columns[size].type)
             yield pa.record_batch(columns)
 
     return rows.mapInArrow(run, docs.schema)
