@@ -3,9 +3,11 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veridrift.llm import langid, packing, quality, repeats, substring_dedup, suffix_dedup, topk, warc
@@ -243,6 +245,8 @@ def test_packing_spreads_a_repeated_id(spark):
 
 def brute_top(rows, every, k):
     good = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    width = max((len(x) for _, x in good), default=0)
+    good = [(i, np.pad(x, (0, width - len(x)))) for i, x in good]
     out = []
     for q, x in good:
         if q % every == 0:
@@ -252,8 +256,6 @@ def brute_top(rows, every, k):
 
 
 def test_top_k_equals_brute_force(spark):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).tolist()) for i in range(600)] + [(600 + i, [0.5] * 8) for i in range(60)]
     rows += [(2000, [float("nan")] * 8), (2010, None), (2020, [None] * 8), (None, [1.0] * 8), (2030, [float("inf")] + [0.0] * 7)]
@@ -265,16 +267,67 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(r.rank for r in few) == [1, 2, 3]
 
 
-def test_dual_tree_prunes_and_stays_exact():
+def check_tree(points):
+    """Every node covers its points; children cover their parent's, centred more than its radius by ``BASE`` apart."""
+    tree = topk.CoverTree(points)
+    assert sorted(tree.rows(0).tolist()) == list(range(len(points)))
+    for node, children in enumerate(tree.children):
+        own = points[tree.rows(node)]
+        apart = np.sqrt(((own - tree.centers[node]) ** 2).sum(axis=1))
+        assert apart.max() <= tree.radii[node] + 1e-9
+        if len(children):
+            assert sorted(np.concatenate([tree.rows(c) for c in children]).tolist()) == sorted(tree.rows(node).tolist())
+            c = tree.centers[children]
+            between = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2))[~np.eye(len(c), dtype=bool)]
+            assert len(c) > 1 and between.min() > tree.radii[node] / topk.BASE and tree.radii[children].max() <= tree.radii[node] / topk.BASE
+            assert tree.at[node] in {tree.at[x] for x in children}
+        else:
+            assert len(own) <= topk.LEAF or tree.radii[node] == 0
+    return tree
+
+
+def test_dual_tree_divides_prunes_and_stays_exact():
     rng = np.random.default_rng(2)
     centers = rng.integers(-400, 400, (12, 6))
-    data = np.concatenate([c + rng.integers(-9, 9, (60, 6)) for c in centers]).astype(np.int64)
-    ids = np.arange(len(data))
-    tree = topk.cover_tree(data.astype(float))
-    assert tree.children and sorted(topk._rows(tree).tolist()) == ids.tolist()
-    found = topk.search(data[::50], ids[::50], data, ids, 10, np.full(len(data[::50]), -np.inf))
-    for q, own in zip(ids[::50], found):
-        assert own == sorted((-int(data[q] @ y), int(i)) for i, y in zip(ids, data) if i != q)[:10]
+    clustered = np.concatenate([c + rng.integers(-9, 9, (60, 6)) for c in centers]).astype(np.int64)
+    same = np.repeat(rng.integers(-400, 400, (3, 6)), 100, axis=0)
+    rows = duckdb.sql("SELECT embedding FROM '/root/testdata/sf0.01/embeddings.parquet' WHERE embedding IS NOT NULL").fetchall()
+    real = np.floor(np.array([r[0] for r in rows if len(r[0]) == 64 and None not in r[0]], float) * 1024).astype(np.int64)
+    for data, levels in ((clustered, 3), (same, 2), (real, 3)):
+        tree = check_tree(data.astype(float))
+        depth = [1] * len(tree.children)
+        for node in reversed(range(len(depth))):
+            depth[node] += max((depth[c] for c in tree.children[node]), default=0)
+        assert depth[0] >= levels
+        ids, pruned = np.arange(len(data)), [0, 0]
+        found = topk.search(data[::50], ids[::50], data, ids, 10, np.full(len(data[::50]), -np.inf), pruned)
+        for q, own in zip(ids[::50], found):
+            assert own == sorted((-int(data[q] @ y), int(i)) for i, y in zip(ids, data) if i != q)[:10]
+        assert pruned[0] > 0 or data is same
+
+
+def test_search_of_large_components_is_exact_or_fails(spark):
+    big = np.array([[2**40, -(2**40)], [2**40 + 1, 5], [7, 2**40]], np.int64)
+    want = [sorted((-sum(int(a) * int(b) for a, b in zip(big[q], big[i])), i) for i in range(3) if i != q) for q in range(3)]
+    with pytest.raises(OverflowError):
+        topk._matches(topk.search(big, np.arange(3), big, np.arange(3), 2, np.full(3, -np.inf)), np.arange(3))
+    assert topk.search(big, np.arange(3), big, np.arange(3), 2, np.full(3, -np.inf)) == want
+    far = spark.createDataFrame([(0, [1e18]), (1, [2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(far, F.col("vec_id") == 0).count()
+
+
+def test_topk_in_cells_and_groups(spark, monkeypatch):
+    """Clusters make several cells; a third of the rows are one vector; some are shorter; groups and blocks are small."""
+    for name, value in {"BLOCK_ROWS": 16, "GROUP_ROWS": 4, "SLOT_GROUPS": 3}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    centers = rng.normal(0, 3, (6, 5))
+    rows = [(i, (centers[i % 6] + rng.normal(0, 0.1, 5)).tolist()[: 3 if i % 17 == 0 else 5]) for i in range(200)]
+    rows += [(200 + i, centers[0].tolist()) for i in range(100)] + [(300, []), (301, None), (302, [0.0, None])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.top_k(vectors, F.col("vec_id") % 5 == 0, k=7).collect()))
+    assert got == brute_top(rows, 5, 7)
 
 
 def test_pipeline_stages_against_their_operators(spark):

@@ -84,7 +84,7 @@ def labelled(spark, n=400):
 def test_language_held_out_accuracy_and_edges(spark):
     docs = labelled(spark)
     learned = langid.learn(docs)
-    assert set(learned) == {"aa", "bb"} and all(len(t) <= langid.LANG_CHARS for t in learned.values())
+    assert set(learned) == {"aa", "bb"}
     found = {r.doc_id: r for r in langid.identify(docs, learned).collect()}
     assert all(found[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in found)
     truth = {r.doc_id: r.lang for r in docs.collect()}
@@ -123,7 +123,46 @@ def test_suffix_automaton_accepts_exactly_the_substrings():
     subs = {text[i:j] for i in range(len(text)) for j in range(i, len(text) + 1)}
     assert all(map(accepts, subs))
     assert not any(accepts(s) for s in ("aa", "brb", "cadb", "x"))
-    assert langid.phrases(step, "abraxcad") == 3 and langid.phrases(step, "xx") == 2
+    start = langid.linked(step)
+    assert langid.phrases(start, "abraxcad") == 3 and langid.phrases(start, "xx") == 2
+
+
+def naive_phrases(learned, unit):
+    n = at = 0
+    while at < len(unit):
+        size = 1
+        while at + size < len(unit) and unit[at : at + size + 1] in learned:
+            size += 1
+        n, at = n + 1, at + size
+    return n
+
+
+def test_language_equals_naive_longest_matches(spark):
+    """Whole texts, across words, against a search for the longest match at each place; ties go to the first name."""
+    rng = random.Random(12)
+    invented = {k: ["".join(rng.choices(letters, k=rng.randint(1, 7))) for _ in range(30)] for k, letters in {"aa": "abcde", "bb": "cdefg", "cc": "abxyz"}.items()}
+    rows = [(i, " ".join(rng.choices(invented[k], k=rng.randint(1, 120))), k) for i, k in enumerate(rng.choices(sorted(invented), k=90))]
+    rows += [(200 + i, t, None) for i, t in enumerate(ODD)] + [(300, "qqq", None), (301, "½ ²", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.learn(docs)
+    assert set(learned) == set(invented)
+    long = " ".join(invented["aa"][i % 30] for i in range(9000))
+    whole = langid.learn(spark.createDataFrame([(0, long, "aa"), (0, long, "aa")], "doc_id long, text string, lang string"))
+    assert whole == {"aa": langid.letters_of(long)} and len(long) > langid.ROW_CHARS
+    got = {r.doc_id: r for r in langid.identify(docs, learned).collect()}
+    names = sorted(learned)
+    twice = langid.Languages({"b": learned["aa"], "a": learned["aa"]})
+    for i, text, _ in rows:
+        if not any(map(str.isalpha, text or "")):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        unit = langid.letters_of(text)
+        cost = [naive_phrases(learned[k], unit) * np.log2(len(learned[k]) + 1) for k in names]
+        best = cost.index(min(cost))
+        assert got[i].lang_pred == names[best]
+        rest = min(c for j, c in enumerate(cost) if j != best)
+        assert got[i].score == pytest.approx(rest / (rest + cost[best]))
+        assert twice.predict(text)[:2] == ("a", 0.5)
 
 
 def brute_base(text):

@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +16,10 @@ from .common import slices, texts
 UNKNOWN = "und"
 #: Documents whose crc32(id) leaves this remainder are never learned from.
 FOLDS, HELD_OUT = 4, 2
-#: The sample learned from: so many documents of a language at most, so many characters of each and of all.
-SAMPLE_DOCS, DOC_CHARS, LANG_CHARS = 48, 4_000, 40_000
-#: Tokens that a worker caches, and the longest of them.
-CACHED, CACHED_CHARS = 200_000, 48
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: The labelled rows learned from: whole texts of so many documents of a language at most. Of each hash bucket a document of up to
+#: ``ROW_CHARS`` characters is taken, or if there is none the shortest.
+SAMPLE_DOCS, ROW_CHARS = 48, 20_000
+_OTHERS = re.compile(r"[\W\d_]+")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -30,8 +27,9 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
 
 
-def _letters(token: str) -> str:
-    return "".join(c if c.isalpha() else " " for c in token.casefold())
+def letters_of(text: str) -> str:
+    """The words of letters in lower case, one blank before each and after the last."""
+    return f" {_OTHERS.sub(' ', text.casefold()).strip()} "
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -64,84 +62,69 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
-def phrases(step: list[dict[str, int]], unit: str) -> int:
+def linked(step: list[dict[str, int]]) -> dict:
+    """The start of an automaton whose states are the dictionaries of their transitions; ``step`` is used up."""
+    for own in step:
+        for c, to in own.items():
+            own[c] = step[to]
+    return step[0]
+
+
+def phrases(start: dict, unit: str) -> int:
     """How many phrases a greedy parse of ``unit`` takes, each the longest match in the learned text or one unseen character."""
-    start, state, n = step[0], 0, 0
+    n, at, anew = 0, start, start.get
     for c in unit:
-        to = step[state].get(c)
+        to = at.get(c)
         if to is None:
-            n += state > 0
-            to = start.get(c)
+            if at is not start:
+                n += 1
+            to = anew(c)
             if to is None:
                 n += 1
-                to = 0
-        state = to
-    return n + (state > 0)
+                to = start
+        at = to
+    return n + (at is not start)
 
 
-class Languages(dict):
-    """Maps a token to the row of ``costs`` with its letters and its phrases under each language, as a bounded cache."""
+class Languages:
+    """The automata of all learned languages."""
 
     def __init__(self, learned: dict[str, str]):
-        super().__init__()
         self.names = sorted(learned)
-        self.automata = [suffix_automaton(learned[k]) for k in self.names]
+        self.automata = [linked(suffix_automaton(learned[k])) for k in self.names]
         #: Bits to point at a phrase; they make parses against texts of different length comparable.
-        self.bits = np.array([math.log2(len(learned[k]) + 1) for k in self.names])
-        self.costs = array("i")
-
-    def __missing__(self, token: str) -> int:
-        unit = _letters(token)
-        n = sum(map(str.isalpha, unit))
-        unit = f" {' '.join(unit.split())} "
-        self.costs.extend([n, *(phrases(a, unit) if n else 0 for a in self.automata)])
-        row = len(self.costs) // (1 + len(self.names)) - 1
-        if len(token) <= CACHED_CHARS:
-            self[token] = row
-        return row
-
-    def predict(self, rows: list[str]) -> tuple[list[str], list[float], np.ndarray]:
-        """Language, score and phrases for each letter (of the winner) of each text."""
-        if len(self.costs) > CACHED * (1 + len(self.names)):
-            self.clear()
-            self.costs = array("i")
-        tokens = [t.split() for t in rows]
-        at = [self[x] for own in tokens for x in own]
-        table = np.frombuffer(self.costs, dtype=np.int32).reshape(-1, 1 + len(self.names)) if self.costs else np.zeros((0, 1 + len(self.names)), np.int32)
-        sums = np.concatenate([np.zeros((1, table.shape[1]), np.int64), np.cumsum(table[np.array(at, np.int64)], axis=0, dtype=np.int64)])
-        ends = np.cumsum([0, *map(len, tokens)])
-        totals = sums[ends[1:]] - sums[ends[:-1]]
-        letters = totals[:, 0]
-        if not self.names:
-            return [UNKNOWN] * len(rows), [0.0] * len(rows), np.zeros(len(rows))
-        cost = totals[:, 1:] * self.bits / np.maximum(letters, 1)[:, None]
-        best = cost.argmin(axis=1)
-        ranked = np.sort(cost, axis=1)
-        score = ranked[:, 1] / np.maximum(ranked[:, 0] + ranked[:, 1], 1e-12) if len(self.names) > 1 else np.ones(len(rows))
-        known = letters > 0
-        rate = totals[np.arange(len(rows)), 1 + best] / np.maximum(letters, 1)
-        return [self.names[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0).tolist(), rate
+        self.bits = [math.log2(len(learned[k]) + 1) for k in self.names]
+
+    def predict(self, text: str) -> tuple[str, float, float]:
+        """Language, score and phrases for each letter (of the winner)."""
+        if not self.names or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0, 0.0
+        unit = letters_of(text)
+        n = [phrases(a, unit) for a in self.automata]
+        cost = [x * bits for x, bits in zip(n, self.bits)]
+        best = cost.index(min(cost))
+        rest = min((c for i, c in enumerate(cost) if i != best), default=None)
+        score = 1.0 if rest is None else rest / (rest + cost[best])
+        return self.names[best], score, n[best] / max(1, len(unit) - unit.count(" "))
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Text of each labelled language, from a bounded sample of the documents that are not held out.
+    """Text of each labelled language: whole texts of a bounded sample of the documents that are not held out.
 
-    The sample is the document of least hash in each of ``SAMPLE_DOCS`` hash buckets of a
-    language. At most ``DOC_CHARS`` characters of each and ``LANG_CHARS`` of all are learned, so
-    what reaches the driver is bounded by the number of languages.
+    Of each of ``SAMPLE_DOCS`` hash buckets of a language one document is learned, the least hash of those of up to ``ROW_CHARS`` characters;
+    where an id repeats, its least text. So what reaches the driver is bounded by the number of languages.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out("doc_id") & F.col("text").isNotNull() & F.col("lang").isNotNull())
     h = F.xxhash64("doc_id")
-    picked = rows.groupBy("lang", F.pmod(h, F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "doc_id")).alias("least"))
-    ids = picked.select("lang", F.col("least.h").alias("h"), F.col("least.doc_id").alias("doc_id"))
-    cut = rows.join(F.broadcast(ids), ["lang", "doc_id"]).select("lang", "h", F.substring("text", 1, DOC_CHARS).alias("text"))
-    learned: dict[str, str] = {}
-    for row in sorted(cut.collect(), key=lambda r: (r.lang, r.h, r.text)):
-        have = learned.get(row.lang, " ")
-        if len(have) < LANG_CHARS:
-            learned[row.lang] = (have + " ".join(_letters(row.text).split()) + " ")[:LANG_CHARS]
-    return learned
+    size = F.greatest(F.length("text"), F.lit(ROW_CHARS))
+    picked = rows.groupBy("lang", F.pmod(h, F.lit(SAMPLE_DOCS)).alias("bucket")).agg(F.min(F.struct(size.alias("size"), h.alias("h"), "doc_id")).alias("least"))
+    ids = picked.select("lang", "bucket", "least.doc_id", "least.size")
+    found = rows.join(F.broadcast(ids), ["lang", "doc_id"]).where(size == F.col("size")).groupBy("lang", "bucket").agg(F.min("text").alias("text"))
+    learned: dict[str, list[str]] = {}
+    for row in sorted(found.collect(), key=lambda r: (r.lang, r.bucket)):
+        learned.setdefault(row.lang, []).append(letters_of(row.text))
+    return {k: "".join(own) for k, own in learned.items()}
 
 
 _worker: dict[str, Languages] = {}
@@ -157,10 +140,10 @@ def _loaded(value: tuple[str, dict[str, str]]) -> Languages:
 def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of each whole text: ``doc_id, held_out, lang_pred, score``, a row for each input row.
 
-    Texts are lower-cased and parsed token by token into the longest phrases found in the
-    learned text of each language; the language with the least phrase bits for each letter
+    Texts are lower-cased and parsed from end to end, across words, into the longest phrases found in the
+    learned text of each language; the language with the least phrase bits
     wins, ties go to the first name. The score is the runner-up's share of both costs, from
-    0.5 (undecided) up to 1.
+    0.5 (undecided) up to 1; it is 1 if only one language was learned.
 
     Null texts, texts without a letter, and all texts if nothing was learned are ``und`` with
     score 0. Rows without an id count as held out. Repeated rows keep their rows, an empty table
@@ -172,7 +155,7 @@ def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = _loaded(spread.value)
         for batch in slices(batches):
-            names, score, _ = languages.predict(texts(batch.column("text")))
+            names, score, _ = zip(*map(languages.predict, texts(batch.column("text"))))
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -189,7 +172,7 @@ def keep_identified(docs: DataFrame, learned: dict[str, str], text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = _loaded(spread.value)
         for batch in slices(batches):
-            names, _, rate = languages.predict(texts(batch.column(text_col)))
-            yield batch.filter(pa.array(np.array([n != UNKNOWN for n in names], bool) & (rate <= max_rate)))
+            found = map(languages.predict, texts(batch.column(text_col)))
+            yield batch.filter(pa.array([name != UNKNOWN and rate <= max_rate for name, _, rate in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

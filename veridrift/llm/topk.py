@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,48 +12,79 @@ from pyspark.sql import functions as F
 from .common import again, discard, slices, written
 
 SCALE = 1024
-#: Rows of a block of data and of a group of queries; cells that blocks are cut from; sample the cells are centred on.
-BLOCK_ROWS, GROUP_ROWS, CELLS = 1024, 256, 32
-#: Points of a node that is not divided further.
-LEAF = 128
-
-
-@dataclass
-class Node:
-    """Points within ``radius`` of ``center``; either rows (a leaf) or children."""
-
-    center: np.ndarray
-    radius: float
-    rows: np.ndarray | None
-    children: list[Node]
-
-
-def cover_tree(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
-    """Nodes whose children are centred more than half the covering radius apart and cover all points.
-
-    A node whose points do not gather around fewer centres stays a leaf: in it, triangle bounds
-    could rule out nothing.
-    """
-    rows = np.arange(len(points)) if rows is None else rows
-    own = points[rows]
-    center = own.mean(axis=0)
-    apart = np.sqrt(((own - center) ** 2).sum(axis=1))
-    node = Node(center, float(apart.max()), rows, [])
-    if len(rows) <= LEAF or node.radius == 0:
+#: Rows of a block of data, of a group of queries, and groups that come to a block at a time.
+BLOCK_ROWS, GROUP_ROWS, SLOT_GROUPS = 1024, 256, 1024
+#: Nodes of the upper level at most, and the sample that it is shaped by; both are broadcast or sent to the driver (2 MB of 64 dimensions).
+CELLS, SAMPLE = 1024, 4096
+#: How much smaller children are than their node, points of a node that is not divided, and rows scored at a time.
+BASE, LEAF, SCORED = 1.3, 4, 128
+
+
+def net(points: np.ndarray, first: int, near: float, most: int | None = None) -> tuple[list[int], np.ndarray, np.ndarray] | None:
+    """Centres more than ``near`` apart that cover all points within it, farthest first; each point's centre and distance. None beyond ``most``."""
+    centers, owner = [first], np.zeros(len(points), np.int64)
+    apart = np.sqrt(((points - points[first]) ** 2).sum(axis=1))
+    while apart[far := int(apart.argmax())] > near:
+        if len(centers) == most:
+            return None
+        to = np.sqrt(((points - points[far]) ** 2).sum(axis=1))
+        closer = to < apart
+        owner[closer], apart[closer] = len(centers), to[closer]
+        centers.append(far)
+    return centers, owner, apart
+
+
+def upper_level(points: np.ndarray, most: int) -> np.ndarray:
+    """Centres of the finest level of the sample's cover tree that has ``most`` nodes or fewer."""
+    if not len(points):
+        return np.zeros((1, 1))
+    first = _middle(points)
+    found, near = [first], float(np.sqrt(((points - points[first]) ** 2).sum(axis=1)).max())
+    while near > 1e-9:
+        near /= BASE
+        level = net(points, first, near, most)
+        if level is None:
+            break
+        found = level[0]
+        if len(found) == len(np.unique(points, axis=0)):
+            break
+    return points[found]
+
+
+def _middle(points: np.ndarray) -> int:
+    return int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+
+
+class CoverTree:
+    """Nodes centred at points; children are more than their parent's radius by ``BASE`` apart and cover its points within that."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        self.at: list[int] = []
+        self.radii: list[float] = []
+        self.children: list[np.ndarray] = []
+        self.span: list[tuple[int, int]] = []  # the node's points in ``order``
+        self.order: list[int] = []
+        self._add(np.arange(len(points)), _middle(points))
+        self.order = np.array(self.order)
+        self.centers, self.radii = points[self.at], np.array(self.radii)
+        self.sizes = np.sqrt((self.centers**2).sum(axis=1))
+        self.leaf = np.array([not len(c) for c in self.children])
+
+    def _add(self, rows: np.ndarray, center: int) -> int:
+        own, node, begin = self.points[rows], len(self.at), len(self.order)
+        radius = float(np.sqrt(((own - self.points[center]) ** 2).sum(axis=1)).max())
+        self.at.append(center), self.radii.append(radius), self.children.append(np.empty(0, np.int64)), self.span.append((0, 0))
+        if len(rows) <= LEAF or radius == 0:
+            self.order += rows.tolist()
+        else:
+            centers, owner, _ = net(own, int(np.flatnonzero(rows == center)[0]), radius / BASE)
+            self.children[node] = np.array([self._add(rows[owner == i], int(rows[c])) for i, c in enumerate(centers)])
+        self.span[node] = begin, len(self.order)
         return node
-    near, centers, rest = node.radius / 2, [], np.arange(len(rows))
-    groups = []
-    while len(rest):
-        middle = own[rest[0]]
-        inside = ((own[rest] - middle) ** 2).sum(axis=1) <= near * near
-        centers.append(middle)
-        groups.append(rest[inside])
-        rest = rest[~inside]
-        if len(groups) > max(4, len(rows) // (LEAF // 4)):
-            return node
-    if len(groups) > 1:
-        node.rows, node.children = None, [cover_tree(points, rows[g]) for g in groups]
-    return node
+
+    def rows(self, node: int) -> np.ndarray:
+        return self.order[slice(*self.span[node])]
 
 
 class Best:
@@ -64,6 +94,9 @@ class Best:
         self.k, self.found, self.bound = k, [[] for _ in range(queries)], bound
 
     def offer(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        if len(scores) > 4 * self.k:
+            good = scores >= np.partition(scores, -self.k)[-self.k]
+            scores, ids = scores[good], ids[good]
         kept = self.found[query]
         kept += zip((-scores).tolist(), ids.tolist())
         kept.sort()
@@ -72,47 +105,73 @@ class Best:
             self.bound[query] = max(self.bound[query], -kept[-1][0])
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, bound: np.ndarray) -> list[list[tuple[int, int]]]:
-    """For each query (-score, id) of its k best rows of ``data`` that reach ``bound``, its own id left out."""
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1] < 2.0**53
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, bound: np.ndarray, pruned: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each query (-score, id) of its k best rows of ``data`` that reach ``bound``, its own id left out.
+
+    A node of the queries is taken down with all nodes of the data that it may still need; the larger ones are divided first. A pair of
+    nodes is pruned (and counted in ``pruned``: pairs pruned, pairs scored) if their covering radii allow no score
+    as high as the worst kth score below the query node.
+    """
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
     q, d = queries.astype(np.float64), data.astype(np.float64)
-    if exact:
-        queries, data = q, d  # sums of whole numbers below 2**53
+    # whole numbers: sums below 2**53 are exact as floats, below 2**63 as longs, else as Python's
+    exact_q, exact_d = (q, d) if most < 2.0**53 else (queries, data) if most < 2.0**62 else (queries.astype(object), data.astype(object))
     best = Best(len(queries), k, bound.astype(np.float64))
-
-    def visit(a: Node, b: Node) -> None:
-        size_a, size_b = np.sqrt(a.center @ a.center), np.sqrt(b.center @ b.center)
-        most = a.center @ b.center + size_a * b.radius + size_b * a.radius + a.radius * b.radius
-        members = _rows(a)
-        if most * (1 + 1e-9) + 1e-6 < best.bound[members].min():
+    counted = pruned if pruned is not None else [0, 0]
+
+    def allowed(a: int, bs: np.ndarray) -> np.ndarray:
+        top = y.centers[bs] @ x.centers[a] + y.sizes[bs] * x.radii[a] + x.sizes[a] * y.radii[bs] + x.radii[a] * y.radii[bs]
+        return top + np.abs(top) * 1e-9 + 1e-6
+
+    def visit(a: int, bs: np.ndarray) -> None:
+        rows = x.rows(a)
+        while True:
+            top = allowed(a, bs)
+            alive = top >= best.bound[rows].min()
+            counted[0] += int((~alive).sum())
+            bs, top = bs[alive], top[alive]
+            wide = ~y.leaf[bs]
+            if not wide.any() or (not x.leaf[a] and y.radii[bs[wide]].max() < x.radii[a]):
+                break
+            bs = np.concatenate([bs[~wide], *(y.children[b] for b in bs[wide])])
+        if not x.leaf[a]:
+            for child in x.children[a]:
+                visit(child, bs)
             return
-        if a.children and (not b.children or a.radius >= b.radius):
-            for child in a.children:
-                visit(child, b)
-        elif b.children:
-            for child in sorted(b.children, key=lambda n: -(a.center @ n.center)):
-                visit(a, child)
-        else:
-            scores = queries[a.rows] @ data[b.rows].T
-            for place, row in zip(a.rows, scores):
-                good = (row >= best.bound[place]) & (data_ids[b.rows] != query_ids[place])
+        order = np.argsort(-top, kind="stable")
+        bs, top = bs[order], top[order]
+        held = np.cumsum([y.span[b][1] - y.span[b][0] for b in bs])
+        at = 0
+        while at < len(bs):
+            end = max(at + 1, int(np.searchsorted(held, held[at] + SCORED)))
+            if top[at] < best.bound[rows].min():
+                counted[0] += len(bs) - at
+                return
+            counted[1] += end - at
+            other = np.concatenate([y.rows(b) for b in bs[at:end]])
+            scores, ids = exact_q[rows] @ exact_d[other].T, data_ids[other]
+            for place, row in zip(rows, scores):
+                good = (row >= best.bound[place]) & (ids != query_ids[place])
                 if good.any():
-                    best.offer(place, row[good].astype(np.int64), data_ids[b.rows][good])
+                    best.offer(place, row[good] if row.dtype == object else row[good].astype(np.int64), ids[good])
+            at = end
 
     if len(queries) and len(data):
-        visit(cover_tree(q), cover_tree(d))
+        x, y = CoverTree(q), CoverTree(d)
+        visit(0, np.zeros(1, np.int64))
     return best.found
 
 
-def _rows(node: Node) -> np.ndarray:
-    return node.rows if node.rows is not None else np.concatenate([_rows(c) for c in node.children])
-
-
 def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, x`` with whole components; rows with a null id, a null vector or a component that is null or not finite are left out."""
     x = F.col(vector_col).cast("array<double>")
     good = F.col(id_col).isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return df.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE).cast("long")).alias("x"))
+    return df.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, _whole).alias("x"))
+
+
+def _whole(c):
+    """floor(1024 * c); where that is no long the query fails."""
+    return F.when(F.abs(c) < 2.0**52, F.floor(c * SCALE)).otherwise(F.raise_error(F.lit("a component is too large for a score")).cast("long"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -141,42 +200,39 @@ def _matches(found: list, query_ids: np.ndarray) -> pa.Table:
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``is_query`` (a condition on ``vec_id``) picks the k rows of highest inner product of components floor(1024 * x).
 
-    Queries and data are placed in the same cells (nearest centre of a bounded sample), so they
-    are indexed together; cells are cut into blocks of bounded size by id hash, however full. Each query
-    first searches its own cell's block, which gives its kth score so far. Then groups of
-    queries visit the blocks whose covering radius allows a score that high; in a block, a cover
-    tree of the group and one of the block are descended together, and node pairs are pruned
-    against the worst kth score of the queries below.
+    The upper level of a cover tree (of a bounded sample) has cells, in which queries and data are placed together; cells are cut
+    into blocks of bounded size by id hash, however full. Each query first searches its own block,
+    which gives its kth score so far. Then groups of a cell's queries are tested against the cells' covering radii;
+    what a cell may hold is searched in its blocks: a cover tree of the group and one of the block are
+    descended together, and node pairs are pruned against the worst kth score of the queries below. Vectors without
+    clusters leave little to prune: then every group meets every block, which is quadratic work.
 
     Ties go to the smaller id. A query's own id is never among its results. A vector shorter than
     another counts as filled up with zeros; empty vectors score 0. Vectors null or holding null
-    or non-finite components take no part, nor do rows without an id. Repeated rows are ranked
-    one by one. An empty table gives no rows; other columns are not read.
+    or non-finite components take no part, nor do rows without an id. Components from 2**52 on and scores that are no longs
+    fail the query. Repeated rows are ranked one by one. An empty table gives no rows; other columns are not read.
     """
     rows = written(_vectors(vectors, id_col, vector_col))
-    spark = rows.sparkSession
-    sample = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(CELLS)).alias("bucket")).agg(F.min(F.struct("vec_id", "x")).alias("least")).select("least.x")
-    centers = spark.sparkContext.broadcast(_matrix(sample.toArrow()["x"].combine_chunks()).astype(np.float64))
+    spark, n = rows.sparkSession, rows.count()
+    sample = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(SAMPLE)).alias("bucket")).agg(F.min(F.struct("vec_id", "x")).alias("least")).select("least.x")
+    shaped = _matrix(sample.toArrow()["x"].combine_chunks())
+    centers = spark.sparkContext.broadcast(upper_level(shaped.astype(np.float64), max(1, min(CELLS, n // BLOCK_ROWS))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
-            x = _matrix(batch.column("x")).astype(np.float64)
-            x, c = _alike(x, centers.value)
+        for batch in slices(batches, 1024):
+            x, c = _alike(_matrix(batch.column("x")).astype(np.float64), centers.value)
             cell = ((c * c).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
-            yield pa.record_batch([batch.column("vec_id"), batch.column("x"), pa.array(cell.astype(np.int32))], names=["vec_id", "x", "cell"])
-
-    placed = written(rows.mapInArrow(place, "vec_id long, x array<long>, cell int"))
-    full = {r.cell: r["count"] for r in placed.groupBy("cell").count().collect()}  # CELLS rows at most
-    parts = spark.createDataFrame([(c, max(1, -(-n // BLOCK_ROWS))) for c, n in full.items()], "cell int, parts int")
-    data = written(placed.join(F.broadcast(parts), "cell").select("vec_id", "x", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part")))
+            apart = np.sqrt(((x - c[cell]) ** 2).sum(axis=1))
+            yield pa.record_batch([batch.column("vec_id"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(apart)], names=["vec_id", "x", "cell", "apart"])
+
+    placed = written(rows.mapInArrow(place, "vec_id long, x array<long>, cell int, apart double"))
+    full = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("asked"), F.max("apart").alias("radius")).collect()  # CELLS rows at most
+    cells = [(r.cell, max(1, -(-r.n // BLOCK_ROWS)), max(1, -(-r.asked // GROUP_ROWS))) for r in full]
+    sizes = F.broadcast(spark.createDataFrame(cells, "cell int, parts int, groups int"))
+    hashed = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(count)).cast("int")
+    data = written(placed.join(sizes, "cell").select("vec_id", "x", "cell", hashed("parts", 1).alias("part"), hashed("groups", 2).alias("grp")))
     discard(rows, placed)
-    queries = again(data).where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "cell", "part")
-
-    def extent(group: pa.Table) -> pa.Table:
-        x = _matrix(group["x"].combine_chunks()).astype(np.float64)
-        center = x.mean(axis=0)
-        radius = float(np.sqrt(((x - center) ** 2).sum(axis=1)).max())
-        return pa.table([group["cell"][:1], group["part"][:1], pa.array([center.tolist()], pa.list_(pa.float64())), pa.array([radius])], names=["cell", "part", "center", "radius"])
+    queries = again(data).where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "cell", "part", "grp")
 
     def in_own_block(asked: pa.Table, block: pa.Table) -> pa.Table:
         if not asked.num_rows or not block.num_rows:
@@ -185,32 +241,62 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         ids = asked["query_id"].to_numpy()
         return _matches(search(q, ids, d, block["vec_id"].to_numpy(), k, np.full(len(q), -np.inf)), ids)
 
+    data = data.drop("grp")
     own = written(queries.groupBy("cell", "part").cogroup(data.groupBy("cell", "part")).applyInArrow(in_own_block, _MATCH))
-    kth = own.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    blocks = written(data.groupBy("cell", "part").applyInArrow(extent, "cell int, part int, center array<double>, radius double").withColumnsRenamed({"cell": "to_cell", "part": "to_part"}))
-    size = F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
-    asked = queries.join(kth, "query_id", "left").select("query_id", "q", "kth", size.alias("size"), F.col("cell").alias("own_cell"), F.col("part").alias("own_part"))
-    grouped = written(asked.withColumn("grp", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-sum(full.values()) // (100 * GROUP_ROWS)))))))
-    # a stated set of queries against all blocks: a row for each query and each block that the triangle bound leaves
-    dot = F.aggregate(F.zip_with("q", "center", lambda a, b: F.coalesce(a.cast("double"), F.lit(0.0)) * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda a, c: a + c)
-    reach = (dot + F.col("size") * F.col("radius")) * (1 + 1e-9) + 1e-6
-    met = grouped.join(F.broadcast(blocks) if sum(full.values()) <= 1 << 22 else blocks, (F.col("own_cell") != F.col("to_cell")) | (F.col("own_part") != F.col("to_part")))
-    met = met.where(F.col("kth").isNull() | (reach + F.abs(reach) * 1e-9 >= F.col("kth"))).select("query_id", "q", "kth", F.col("to_cell").alias("cell"), F.col("to_part").alias("part"), "grp")
+    kth = own.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
+
+    def packed(group: pa.Table) -> pa.Table:
+        q = _matrix(group["q"].combine_chunks())
+        bound = group["kth"].to_numpy()
+        bound = np.where(np.isnan(bound), -np.inf, bound)
+        middle = q[_middle(q.astype(np.float64))].astype(np.float64)
+        radius = float(np.sqrt(((q - middle) ** 2).sum(axis=1)).max())
+        small = np.min_scalar_type(-int(np.abs(q).max(initial=1)) - 1)
+        row = {"from_cell": group["cell"][0].as_py(), "grp": group["grp"][0].as_py(), "ids": group["query_id"].to_pylist(), "kth": bound.tolist(), "own_part": group["part"].to_pylist()}
+        return pa.Table.from_pylist([row | {"width": q.shape[1], "kind": small.str, "q": q.astype(small).tobytes(), "middle": middle.tolist(), "radius": radius, "worst": float(bound.min())}], _GROUP)
+
+    groups = written(queries.join(kth, "query_id", "left").groupBy("cell", "grp").applyInArrow(packed, _GROUP_SQL))
+    slots = max(1, -(-sum(c[2] for c in cells) // SLOT_GROUPS))
+    extents = spark.sparkContext.broadcast((np.array([r.cell for r in full], np.int64), np.array([r.radius for r in full], float), [c[1] for c in cells]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        which, radii, parts = extents.value
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                a, c = _alike(np.array([row["middle"]]), centers.value[which])
+                a, r = a[0], row["radius"]
+                top = c @ a + np.sqrt((c * c).sum(axis=1)) * r + np.sqrt(a @ a) * radii + r * radii
+                for i in np.flatnonzero(top + np.abs(top) * 1e-9 + 1e-6 >= row["worst"]):
+                    out += [(row["from_cell"], row["grp"], int(which[i]), part) for part in range(parts[i])]
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, pa.int32()) for c in columns], names=["from_cell", "grp", "cell", "part"])
+
+    pairs = groups.select("from_cell", "grp", "middle", "radius", "worst").mapInArrow(meet, "from_cell int, grp int, cell int, part int")
+    slot = F.pmod(F.xxhash64("from_cell", "grp"), F.lit(slots)).cast("int").alias("slot")
+    met = again(groups).select("from_cell", "grp", "ids", "kth", "own_part", "width", "kind", "q").join(pairs, ["from_cell", "grp"]).select("*", slot)
 
     def in_block(asked: pa.Table, block: pa.Table) -> pa.Table:
         if not asked.num_rows or not block.num_rows:
             return _matches([], np.empty(0))
         out = []
-        d = _matrix(block["x"].combine_chunks())
-        asked = asked.sort_by("grp")
-        for at in range(0, asked.num_rows, GROUP_ROWS):
-            part = asked.slice(at, GROUP_ROWS)
-            q, own_d = _alike(_matrix(part["q"].combine_chunks()), d)
-            ids = part["query_id"].to_numpy()
-            bound = part["kth"].to_numpy().astype(np.float64)
-            out.append(_matches(search(q, ids, own_d, block["vec_id"].to_numpy(), k, np.where(np.isnan(bound), -np.inf, bound)), ids))
+        d, names = _matrix(block["x"].combine_chunks()), block["vec_id"].to_numpy()
+        for row in range(asked.num_rows):
+            r = {c: asked[c][row].as_py() for c in ("ids", "kth", "own_part", "width", "kind", "q", "from_cell", "cell", "part")}
+            q, own_d = _alike(np.frombuffer(r["q"], r["kind"]).reshape(-1, r["width"]).astype(np.int64), d)
+            ids, bound = np.array(r["ids"]), np.array(r["kth"])
+            new = (np.array(r["own_part"]) != r["part"]) | (r["from_cell"] != r["cell"])  # the own block has been searched
+            out.append(_matches(search(q[new], ids[new], own_d, names, k, bound[new]), ids[new]))
         return pa.concat_tables(out)
 
-    others = met.groupBy("cell", "part").cogroup(data.groupBy("cell", "part")).applyInArrow(in_block, _MATCH)
+    in_slots = data.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    others = met.groupBy("cell", "part", "slot").cogroup(in_slots.groupBy("cell", "part", "slot")).applyInArrow(in_block, _MATCH)
     ranked = own.union(others).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+_GROUP_SQL = "from_cell int, grp int, ids array<long>, kth array<double>, own_part array<int>, width int, kind string, q binary, middle array<double>, radius double, worst double"
+_GROUP = pa.schema(
+    [("from_cell", pa.int32()), ("grp", pa.int32()), ("ids", pa.list_(pa.int64())), ("kth", pa.list_(pa.float64())), ("own_part", pa.list_(pa.int32())), ("width", pa.int32())]
+    + [("kind", pa.string()), ("q", pa.binary()), ("middle", pa.list_(pa.float64())), ("radius", pa.float64()), ("worst", pa.float64())]
+)
