@@ -17,6 +17,17 @@ from pyspark.sql import functions as F
 STEP, STEP_BYTES = 256, 8 << 20
 
 
+#: Bytes of an Arrow batch on its way to a worker (Spark's default is 64 MB): very long texts come few at a time.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES``, unless a smaller bound is set."""
+    now = spark.conf.get(_BATCH)
+    if not now.rstrip("bB").isdigit() or int(now.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def slices(batches: Iterable[pa.RecordBatch], step: int = STEP) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of at most ``step`` rows, fewer where rows are long."""
     for batch in batches:
@@ -32,6 +43,7 @@ def texts(column: pa.Array) -> list[str]:
 
 def ids_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that text operators read, whatever else the table has."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -64,6 +76,7 @@ _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost no recomputation."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    small_batches(spark)
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, small_batches, texts
 
 UNKNOWN = "und"
 #: Documents whose crc32(id) leaves this remainder are never learned from.
@@ -149,6 +149,7 @@ def identify(docs: DataFrame, learned: dict[str, str], id_col: str = "doc_id", t
     score 0. Rows without an id count as held out. Repeated rows keep their rows, an empty table
     gives none, and other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, learned))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
@@ -167,6 +168,7 @@ def keep_identified(docs: DataFrame, learned: dict[str, str], text_col: str = "t
     A document is rejected if it is ``und``, or if its best parse needs more than ``max_rate``
     phrases a letter (hardly any two letters in a row were learned: no language at all).
     """
+    small_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, learned))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

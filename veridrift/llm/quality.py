@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, slices, texts
+from .common import ids_and_text, slices, small_batches, texts
 from .words import MIX, covered, hashed_windows, hashed_words
 
 #: Hashed features of each kind: words (one and two), characters (three and four).
@@ -162,6 +162,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ``THRESHOLD``. Null and empty texts have no words and fail. Null and repeated ids keep their
     rows, an empty table gives none, and other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("probability", pa.float64())]
 
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents whose verdict is kept, all columns unchanged."""
+    small_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

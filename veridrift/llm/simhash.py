@@ -22,7 +22,7 @@ SHARD_SIZE, SAMPLE = 512, 16_384
 LEAF_MOST, PIVOTS = 4 * SHARD_SIZE, 8
 _CHUNK = 65_536
 #: Distances that a task computes at a time.
-_COMPARED = 1 << 22
+_COMPARED = 1 << 20
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -211,9 +211,10 @@ def _meetings(distinct: DataFrame, node: str, trees: list[tuple[str, VantageTree
         largest = label_sizes.groupBy("tree", "leaf").agg(F.max(F.struct("held", "label")).alias("most")).collect()
         most = {(r.tree, r.leaf): (r.most.label, max(1, -(-r.most.held // SHARD_SIZE))) for r in largest}
     dealt = spark.sparkContext.broadcast(most)
+    kept = ["label", *columns] if full else columns  # a node is its own label otherwise
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tree", "leaf", "part", "own", "label", *columns]
+        names = ["shard", "own", *kept]
         full_leaves: dict[int, dict] = {}
         for (t, leaf), value in dealt.value.items():
             full_leaves.setdefault(t, {})[leaf] = value
@@ -231,20 +232,21 @@ def _meetings(distinct: DataFrame, node: str, trees: list[tuple[str, VantageTree
                     others = np.tile(here[~inside], parts - 1)
                     more.append((who[others], leaf[others], own[others], np.repeat(np.arange(1, parts, dtype=np.int32), (~inside).sum())))
                 who, leaf, own, part = (np.concatenate(c) for c in zip(*more))
-                yield pa.record_batch([pa.array(np.full(len(who), t, np.int32)), pa.array(leaf), pa.array(part), pa.array(own), *batch.select(["label", *columns]).take(pa.array(who)).columns], names=names)
+                shard = (np.int64(t) << 56) | (leaf << 32) | part
+                yield pa.record_batch([pa.array(shard), pa.array(own), *batch.select(kept).take(pa.array(who)).columns], names=names)
 
     def match(group: pa.Table) -> pa.Table:
         group = group.sort_by(node)
-        label = group["label"].to_numpy()
-        kind = label
-        key = group["tree"][0].as_py(), group["leaf"][0].as_py()
-        if group["part"][0].as_py():  # the others meet each other in part 0
-            kind = (label == dealt.value[key][0]).astype(np.int64)
+        label = kind = group[kept[0]].to_numpy()
+        shard = group["shard"][0].as_py()
+        if shard & 0xFFFFFFFF:  # the others meet each other in part 0
+            kind = (label == dealt.value[shard >> 56, shard >> 32 & 0xFFFFFF][0]).astype(np.int64)
         u, v = near.lightest(group["own"].to_numpy(), words(group, shapes), group[size].to_numpy() if size else None, label, kind)
         return _edge_table(group[node].to_numpy(), u, v)
 
-    routed = rows.mapInArrow(route, f"tree int, leaf long, part int, own boolean, label long, {fields}")
-    found = routed.groupBy("tree", "leaf", "part").applyInArrow(match, "u long, v long")
+    # a shard is a tree, a leaf and a part, in one number
+    routed = rows.mapInArrow(route, f"shard long, own boolean, {', '.join(f'{c} long' for c in kept)}")
+    found = routed.groupBy("shard").applyInArrow(match, "u long, v long")
     return (found.union(first) if full else found).distinct()
 
 
