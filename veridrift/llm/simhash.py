@@ -209,7 +209,7 @@ def _meetings(distinct: DataFrame, node: str, trees: list[tuple[str, VantageTree
         rows, first = _dealt_first(distinct, node, columns, spread, shapes, near, size, full, leaves)
         label_sizes = rows.mapInArrow(lambda x: held(x, True, leaves), counted).groupBy("tree", "leaf", "label").agg(F.sum("held").alias("held"))
         largest = label_sizes.groupBy("tree", "leaf").agg(F.max(F.struct("held", "label")).alias("most")).collect()
-        most = {(r.tree, r.leaf): (r.most.label, max(1, -(-r.most.held // SHARD_SIZE))) for r in largest}
+        most = {(r.tree, r.leaf): (r.most.label, max(1, -(-r.most.held // LEAF_MOST))) for r in largest}
     dealt = spark.sparkContext.broadcast(most)
     kept = ["label", *columns] if full else columns  # a node is its own label otherwise
 
@@ -258,7 +258,8 @@ def _edge_table(nodes: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.Table:
 
 
 def _dealt_first(distinct: DataFrame, node: str, columns: list[str], spread, shapes: list[str], near: Near, size: str | None, full: dict, leaves: dict) -> tuple[DataFrame, DataFrame]:
-    """The nodes with a ``label``, the least node that close pairs of members of over-full leaves reach part by part; and these edges."""
+    """The nodes with a ``label``, and the edges by which nodes with the same label hang together: within a part
+    of an over-full leaf all that reach the same pivot."""
     spark, fields = distinct.sparkSession, ", ".join(f"{c} long" for c in columns)
     parts = spark.sparkContext.broadcast(full)
 
@@ -284,16 +285,27 @@ def _dealt_first(distinct: DataFrame, node: str, columns: list[str], spread, sha
 
     def match(group: pa.Table) -> pa.Table:
         own = np.stack([group[c].to_numpy() for c in columns], axis=1)
-        every = np.unique(np.concatenate([own, spread_pivots.value[group["tree"][0].as_py(), group["leaf"][0].as_py()]]), axis=0)
+        shared_by_all = spread_pivots.value[group["tree"][0].as_py(), group["leaf"][0].as_py()]
+        every = np.unique(np.concatenate([own, shared_by_all]), axis=0)
         ids = every[:, columns.index(node)]
         sizes = every[:, columns.index(size)] if size else None
         u, v = near.lightest(np.ones(len(every), bool), every[:, [columns.index(c) for c in shapes]].view(np.uint64), sizes, ids, ids)
-        return _edge_table(ids, u, v)
-
-    edges = written(shared.groupBy("tree", "leaf", "part").applyInArrow(match, "u long, v long").distinct())
-    classes = connected_components(edges)
-    known = distinct.join(classes.withColumnsRenamed({"node": "_member", "root": "label"}), F.col(node) == F.col("_member"), "left")
-    return written(known.drop("_member").withColumn("label", F.coalesce("label", node))), edges
+        label = np.arange(len(ids))
+        for a, b in zip(u, v):  # a forest: each edge joins two classes
+            label[label == label[a]] = label[b]
+        # a class with pivots takes the least of them for its label, and its pivots each other's
+        with_pivot = np.isin(ids, shared_by_all[:, columns.index(node)])
+        least = {c: ids[with_pivot & (label == c)].min() for c in np.unique(label[with_pivot])}
+        known = np.isin(label, list(least))
+        table = _edge_table(ids, u, v)
+        told = pa.table({"u": ids[known], "v": np.array([least[c] for c in label[known]], np.int64)})
+        kinds = pa.array(np.repeat([False, True], [len(u), int(known.sum())]))
+        return pa.concat_tables([table, told]).append_column("told", kinds)
+
+    met = written(shared.groupBy("tree", "leaf", "part").applyInArrow(match, "u long, v long, told boolean"))
+    label = met.where("told").groupBy(F.col("u").alias("_member")).agg(F.min("v").alias("label"))
+    known = distinct.join(label, F.col(node) == F.col("_member"), "left").drop("_member")
+    return written(known.withColumn("label", F.coalesce("label", node))), met.where("not told").select("u", "v").distinct()
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE) -> DataFrame:
@@ -345,6 +357,8 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 WIDE, APART = 3, 0.255
 #: Members of a group, and about the shingles, that are compared with as many others at a time.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Shingles of texts that a task keeps to count further pairs.
+_SHINGLES_HELD = 1 << 21
 _MIXES = np.arange(1, 4 * WIDE, 2, dtype=np.uint64) * MIX
 _FPS, _SHAPES = [f"f{k}" for k in range(WIDE)], [f"g{k}" for k in range(WIDE)]
 
@@ -383,9 +397,9 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
             for text in texts(batch.column("text")):
                 h, shingles = _shingle_set(text, size)
                 rows.append((_set_key(shingles), len(shingles), *wide_fingerprints(h, shingles)))
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", "node", "n", *_FPS, *_SHAPES])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("part"), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["doc_id", "part", "node", "n", *_FPS, *_SHAPES])
 
-    return docs.mapInArrow(run, f"doc_id long, node long, n long, {', '.join(f'{f} long' for f in _FPS + _SHAPES)}")
+    return docs.select("doc_id", "part", "text").mapInArrow(run, f"doc_id long, part long, node long, n long, {', '.join(f'{f} long' for f in _FPS + _SHAPES)}")
 
 
 def candidates(distinct: DataFrame, similarity: float = SIMILARITY, sample_size: int = SAMPLE) -> DataFrame:
@@ -401,27 +415,39 @@ def candidates(distinct: DataFrame, similarity: float = SIMILARITY, sample_size:
     return _meetings(distinct, "node", trees, _SHAPES, Near(int(64 * WIDE * APART), similarity), "n")
 
 
-def _sets(ends: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """``node, shingles`` of each node of ``ends``."""
-    wanted = ends.select("node").distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [_shingle_set(t, size)[1] for t in texts(batch.column("text"))]
-            yield pa.record_batch([batch.column("node"), pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "own", "shingles"])
-
-    # rows that share an id may differ: only the one whose set is the node's counts
-    found = rows.join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, own long, shingles array<long>")
-    return written(found.where("own = node").select("node", "shingles").dropDuplicates(["node"]))
+def _texts(ends: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of each node of ``ends``: a text is shipped, not its many shingles."""
+    wanted = ends.select("node").distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"), "part")
+    return written(rows.join(wanted, ["doc_id", "part"]).select("node", "text").dropDuplicates(["node"]))
 
 
 def _as_similar(edges: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
     """Of the edges those whose shingle sets are as similar, counted exactly."""
-    sets = _sets(edges.select(F.col("u").alias("node")).union(edges.select("v")), rows, nodes, size)
-    pairs = edges.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    kept = written(pairs.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v"))
-    discard(sets)
+    found = _texts(edges.select(F.col("u").alias("node")).union(edges.select("v")), rows, nodes)
+    pairs = edges
+    for end in "uv":
+        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in slices(batches):
+            kept = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text_u", "text_v"))):
+                if held > _SHINGLES_HELD:
+                    sets.clear()
+                    held = 0
+                for node, text in zip(row[:2], row[2:]):
+                    if node not in sets:
+                        sets[node] = _shingle_set(text or "", size)[1]
+                        held += len(sets[node])
+                a, b = (sets[x] for x in row[:2])
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                kept.append(both >= similarity * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    kept = written(pairs.select("u", "v", "text_u", "text_v").mapInArrow(count, "u long, v long"))
+    discard(found)
     return kept
 
 
@@ -449,16 +475,9 @@ def _links_across(left: list[np.ndarray], right: list[np.ndarray], left_class: n
     return out
 
 
-def _open_groups(near: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of the groups of candidates (``near``: ``node, root``) that the links leave in several classes.
-
-    ``node, grp, class``, whether the class is not the ``grp``'s largest (``other``), the links of the node, and into how many
-    blocks all members and the others are cut.
-    """
-    classes = connected_components(links).withColumnRenamed("root", "class")
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    members = near.withColumnRenamed("root", "grp").join(nodes.where("n > 0").select("node", "n"), "node").join(classes, "node", "left").join(degree, "node", "left")
-    members = written(members.select("node", "grp", "n", F.coalesce("class", "node").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Members of the groups that have several classes, whether the class is not the group's largest (``other``), and into how many
+    blocks all members and the others are cut."""
     sizes = members.groupBy("grp", "class").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     groups = sizes.groupBy("grp").agg(F.count("*").alias("classes"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), F.max(F.struct("size", "shingles", "class")).alias("main"))
     cut = lambda size, shingles: F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
@@ -468,47 +487,58 @@ def _open_groups(near: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFra
         cut(F.col("size"), F.col("shingles")).alias("blocks"),
         cut(F.col("size") - F.col("main.size"), F.col("shingles") - F.col("main.shingles")).alias("other_blocks"),
     )
-    found = written(members.join(several, "grp").select("node", "grp", "class", (F.col("class") != F.col("main")).alias("other"), "links", "blocks", "other_blocks"))
-    discard(members)
-    return found
+    return written(members.join(several, "grp").select("node", "grp", "n", "links", "class", (F.col("class") != F.col("main")).alias("other"), "blocks", "other_blocks"))
+
+
+def _between(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """The edges as edges between the classes of their ends, where these differ."""
+    for end in "uv":
+        edges = edges.join(members.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}")), end)
+    return edges.where("class_u != class_v").select(F.col("class_u").alias("u"), F.col("class_v").alias("v")).distinct()
 
 
-def _remaining_links(edges: DataFrame, links: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The links that connect what candidates connect and ``links`` leave apart, so that no pair that meets is lost.
+def _remaining_links(edges: DataFrame, links: DataFrame, members: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Edges ``u, v`` between classes (of ``members``, which ``links`` connect) that have a link, so that no pair that meets is lost.
 
-    The edges join every pair that meets, so all such pairs lie within the groups that these connect. In groups
-    left in several classes each member outside the largest class is compared with all members of other classes.
+    The edges join every pair that meets, so all such pairs lie within the groups of classes that these connect. In groups
+    of several classes each member outside the largest class is compared with all members of other classes.
     Groups of more than a block first have their best linked member counted against all others, in
     one pass that is linear; blocks of what is still apart are then compared pairwise.
     """
-    near = written(connected_components(edges))
-    apart = _open_groups(near, links, nodes)
-    wide = apart.where("blocks > 1")
+    apart = written(_between(edges, members))
+    if apart.isEmpty():
+        return apart
+    groups = connected_components(apart).withColumnsRenamed({"node": "class", "root": "grp"})
+    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    opened = members.where("n > 0").join(groups, "class").join(degree, "node", "left")
+    opened = _in_blocks(opened.select("node", "grp", "n", "class", F.coalesce("links", F.lit(0)).alias("links")))
+    found = None
+    wide = opened.where("blocks > 1")
     if not wide.isEmpty():
         hubs = wide.groupBy("grp").agg(F.max(F.struct("links", "node", "class")).alias("hub"))
         rest = wide.join(hubs, "grp").where("class != hub.class")
-        hub_links = _as_similar(written(rest.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"))), rows, nodes, similarity, size)
-        links = written(links.union(hub_links))
-        apart = _open_groups(near, links, nodes)
-    if apart.isEmpty():
-        return links
-    sets = _sets(apart, rows, nodes, size)
+        to_hub = written(rest.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")))
+        found = written(_between(_as_similar(to_hub, rows, nodes, similarity, size), opened))
+        roots = connected_components(found).withColumnsRenamed({"node": "class"})
+        joined = opened.select("node", "grp", "n", "links", "class").join(roots, "class", "left")
+        opened = _in_blocks(joined.select("node", "grp", "n", "links", F.coalesce("root", "class").alias("class")))
+    bodies = _texts(opened, rows, nodes)
     place = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
-    one = apart.select("grp", place("blocks").alias("i"), every("other_blocks").alias("j"), "node", "class", F.lit(False).alias("right"))
-    two = apart.where("other").select("grp", every("blocks").alias("i"), place("other_blocks").alias("j"), "node", "class", F.lit(True).alias("right"))
+    one = opened.select("grp", place("blocks").alias("i"), every("other_blocks").alias("j"), "node", "class", F.lit(False).alias("right"))
+    two = opened.where("other").select("grp", every("blocks").alias("i"), place("other_blocks").alias("j"), "node", "class", F.lit(True).alias("right"))
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
-        right, node, own = group["right"].to_numpy(), group["node"].to_numpy(), group["class"].to_numpy()
-        shingles = [s.values.to_numpy() for s in group["shingles"]]
+        right, own = group["right"].to_numpy(), group["class"].to_numpy()
+        shingles = [_shingle_set(t or "", size)[1] for t in group["text"].to_pylist()]
         a, b = np.flatnonzero(~right), np.flatnonzero(right)
-        found = _links_across([shingles[k] for k in a], [shingles[k] for k in b], own[a], own[b], similarity) if len(a) and len(b) else []
-        return pa.table({"u": pa.array([int(node[a[i]]) for i, _ in found], pa.int64()), "v": pa.array([int(node[b[j]]) for _, j in found], pa.int64())})
+        met = _links_across([shingles[k] for k in a], [shingles[k] for k in b], own[a], own[b], similarity) if len(a) and len(b) else []
+        return pa.table({"u": pa.array([int(own[a[i]]) for i, _ in met], pa.int64()), "v": pa.array([int(own[b[j]]) for _, j in met], pa.int64())})
 
-    last = written(one.union(two).join(sets, "node").groupBy("grp", "i", "j").applyInArrow(compare, "u long, v long"))
-    discard(sets, apart, near)
-    return links.union(last)
+    last = written(one.union(two).join(bodies, "node").groupBy("grp", "i", "j").applyInArrow(compare, "u long, v long"))
+    discard(bodies, apart)
+    return last if found is None else last.union(found)
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -523,9 +553,11 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COP
     have none and are copies of each other. A row without an id has a null component and links
     nothing. Repeated rows keep their rows, an empty table gives none; other columns are not read.
     """
-    rows, every = ids_and_text(docs, id_col, text_col), [*_FPS, *_SHAPES]
+    rows, every = ids_and_text(docs, id_col, text_col).withColumn("part", F.xxhash64("text")), [*_FPS, *_SHAPES]
     prints = written(_sketches(rows, size))
-    nodes = written(prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.min(c).alias(c) for c in ("n", *every))))
+    one_text = F.min(F.struct("doc_id", "part")).alias("least")
+    nodes = prints.where("doc_id is not null").groupBy("node").agg(one_text, *(F.min(c).alias(c) for c in ("n", *every)))
+    nodes = written(nodes.select("node", F.col("least.doc_id").alias("first_id"), "least.part", "n", *every))
     # of sets with the same fingerprints one goes through the trees, the others are candidates of it
     same = nodes.groupBy(*every).agg(F.min(F.struct("first_id", "node", "n")).alias("least"))
     distinct = written(same.select("least.node", "least.n", *every))
@@ -534,9 +566,13 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COP
     edges = written(candidates(distinct, similarity).union(twins))
     discard(distinct)
     links = _as_similar(edges, rows, nodes, similarity, size)
-    links = _remaining_links(edges, links, rows, nodes, similarity, size)
-    classes = _classes(nodes.select("node", "first_id"), links)
-    discard(edges)
+    members = nodes.join(connected_components(links), "node", "left").select("node", "n", "first_id", F.coalesce("root", "node").alias("class"))
+    members = written(members)
+    more = connected_components(_remaining_links(edges, links, members, rows, nodes, similarity, size)).withColumnRenamed("node", "class")
+    joined = written(members.join(more, "class", "left").select("node", "first_id", F.coalesce("root", "class").alias("class")))
+    least = joined.groupBy("class").agg(F.min("first_id").alias("component_id"))
+    classes = written(joined.join(least, "class").select("node", "component_id"))
+    discard(edges, links, members, joined)
     return prints.join(classes, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
