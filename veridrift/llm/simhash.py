@@ -415,18 +415,17 @@ def candidates(distinct: DataFrame, similarity: float = SIMILARITY, sample_size:
     return _meetings(distinct, "node", trees, _SHAPES, Near(int(64 * WIDE * APART), similarity), "n")
 
 
-def _texts(ends: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, text`` of each node of ``ends``: a text is shipped, not its many shingles."""
-    wanted = ends.select("node").distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"), "part")
+def _texts(edges: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of each end of the edges: a text is shipped, not its many shingles, and all are looked up once."""
+    wanted = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().join(nodes, "node").select("node", F.col("first_id").alias("doc_id"), "part")
     return written(rows.join(wanted, ["doc_id", "part"]).select("node", "text").dropDuplicates(["node"]))
 
 
-def _as_similar(edges: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+def _as_similar(edges: DataFrame, bodies: DataFrame, similarity: float, size: int) -> DataFrame:
     """Of the edges those whose shingle sets are as similar, counted exactly."""
-    found = _texts(edges.select(F.col("u").alias("node")).union(edges.select("v")), rows, nodes)
     pairs = edges
     for end in "uv":
-        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
+        pairs = pairs.join(bodies.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -446,9 +445,7 @@ def _as_similar(edges: DataFrame, rows: DataFrame, nodes: DataFrame, similarity:
                 kept.append(both >= similarity * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    kept = written(pairs.select("u", "v", "text_u", "text_v").mapInArrow(count, "u long, v long"))
-    discard(found)
-    return kept
+    return written(pairs.select("u", "v", "text_u", "text_v").mapInArrow(count, "u long, v long"))
 
 
 def _links_across(left: list[np.ndarray], right: list[np.ndarray], left_class: np.ndarray, right_class: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -497,7 +494,7 @@ def _between(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.where("class_u != class_v").select(F.col("class_u").alias("u"), F.col("class_v").alias("v")).distinct()
 
 
-def _remaining_links(edges: DataFrame, links: DataFrame, members: DataFrame, rows: DataFrame, nodes: DataFrame, similarity: float, size: int) -> DataFrame:
+def _remaining_links(edges: DataFrame, links: DataFrame, members: DataFrame, bodies: DataFrame, similarity: float, size: int) -> DataFrame:
     """Edges ``u, v`` between classes (of ``members``, which ``links`` connect) that have a link, so that no pair that meets is lost.
 
     The edges join every pair that meets, so all such pairs lie within the groups of classes that these connect. In groups
@@ -518,11 +515,10 @@ def _remaining_links(edges: DataFrame, links: DataFrame, members: DataFrame, row
         hubs = wide.groupBy("grp").agg(F.max(F.struct("links", "node", "class")).alias("hub"))
         rest = wide.join(hubs, "grp").where("class != hub.class")
         to_hub = written(rest.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")))
-        found = written(_between(_as_similar(to_hub, rows, nodes, similarity, size), opened))
+        found = written(_between(_as_similar(to_hub, bodies, similarity, size), opened))
         roots = connected_components(found).withColumnsRenamed({"node": "class"})
         joined = opened.select("node", "grp", "n", "links", "class").join(roots, "class", "left")
         opened = _in_blocks(joined.select("node", "grp", "n", "links", F.coalesce("root", "class").alias("class")))
-    bodies = _texts(opened, rows, nodes)
     place = lambda count: F.pmod(F.xxhash64("node"), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count).cast("long") - 1))
     one = opened.select("grp", place("blocks").alias("i"), every("other_blocks").alias("j"), "node", "class", F.lit(False).alias("right"))
@@ -537,7 +533,7 @@ def _remaining_links(edges: DataFrame, links: DataFrame, members: DataFrame, row
         return pa.table({"u": pa.array([int(own[a[i]]) for i, _ in met], pa.int64()), "v": pa.array([int(own[b[j]]) for _, j in met], pa.int64())})
 
     last = written(one.union(two).join(bodies, "node").groupBy("grp", "i", "j").applyInArrow(compare, "u long, v long"))
-    discard(bodies, apart)
+    discard(apart)
     return last if found is None else last.union(found)
 
 
@@ -565,14 +561,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, size: int = COP
     twins = nodes.join(first, every).where("node != first_node").select(F.least("node", "first_node").alias("u"), F.greatest("node", "first_node").alias("v"))
     edges = written(candidates(distinct, similarity).union(twins))
     discard(distinct)
-    links = _as_similar(edges, rows, nodes, similarity, size)
+    bodies = _texts(edges, rows, nodes)
+    links = _as_similar(edges, bodies, similarity, size)
     members = nodes.join(connected_components(links), "node", "left").select("node", "n", "first_id", F.coalesce("root", "node").alias("class"))
     members = written(members)
-    more = connected_components(_remaining_links(edges, links, members, rows, nodes, similarity, size)).withColumnRenamed("node", "class")
+    more = connected_components(_remaining_links(edges, links, members, bodies, similarity, size)).withColumnRenamed("node", "class")
     joined = written(members.join(more, "class", "left").select("node", "first_id", F.coalesce("root", "class").alias("class")))
     least = joined.groupBy("class").agg(F.min("first_id").alias("component_id"))
     classes = written(joined.join(least, "class").select("node", "component_id"))
-    discard(edges, links, members, joined)
+    discard(edges, bodies, links, members, joined)
     return prints.join(classes, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
