@@ -249,7 +249,8 @@ def test_simhash_equals_brute_force(spark):
     assert kept == set(want.values())
 
 
-def test_simhash_shards_lose_no_pair():
+def test_simhash_shards_lose_no_pair(monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_SIZE", 512)
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 2**63, 3000, dtype=np.uint64)
     near = fps[:500] ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64))

@@ -56,16 +56,18 @@ def free_name(base: str, *tables: DataFrame) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under the cluster's shared ``spark.checkpoint.dir``; a temporary folder is set only where that is unset."""
+    """A new path under the cluster's shared ``spark.checkpoint.dir``. Where that is unset a temporary folder is set for a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             base = set_dir.get()
-        else:
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             base = tempfile.mkdtemp(prefix="checkpoint-")
             atexit.register(shutil.rmtree, base, True)
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -18,7 +18,7 @@ UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 #: The labelled rows learned from: whole texts of so many documents of a language at most. Of each hash bucket a document of up to
 #: ``ROW_CHARS`` characters is taken, or if there is none the shortest.
-SAMPLE_DOCS, ROW_CHARS = 16, 4_000
+SAMPLE_DOCS, ROW_CHARS = 8, 4_000
 _OTHERS = re.compile(r"[\W\d_]+")
 
 

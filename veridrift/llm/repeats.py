@@ -23,7 +23,7 @@ from .common import discard, free_name, ids_and_text, slices, texts, written
 from .words import WORD, covered, hashed_windows, hashed_words
 
 #: Keys, and bytes of surroundings, that a task reduces at a time.
-_HELD, _HELD_BYTES = 1 << 20, 24 << 20
+_HELD, _HELD_BYTES = 1 << 20, 12 << 20
 _WINDOWS = 1 << 16
 #: Grams of more documents than this are hot: each of their windows is compared on its own. At most ``HOT_KEYS`` of them
 #: (8 MB) are broadcast, the commonest first, so any other gram has less than one in so many of all occurrences.

@@ -17,7 +17,7 @@ from .words import MIX, hashed_windows, hashed_words
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints for each shard, and the sample that the trees are shaped by.
-SHARD_SIZE, SAMPLE = 512, 16_384
+SHARD_SIZE, SAMPLE = 4096, 16_384
 #: Members of a leaf beyond which it is dealt, and the members that all its parts share.
 LEAF_MOST, PIVOTS = 4 * SHARD_SIZE, 8
 _CHUNK = 65_536
