@@ -65,22 +65,30 @@ _CLAIM = "p_name || ' ' || CAST(p_size AS VARCHAR) || ' mg daily'"
 _RECORD = "p_name || ' (' || p_type || ') ' || CAST(p_size + (p_partkey // 10) % 4 AS VARCHAR) || 'mg tablet'"
 
 
+#: Patients of twenty claims and twenty records each, whatever the size of the table; thirteen parts are in both lists.
+_PATIENT, _OWNER = "p_partkey // 20", "(p_partkey + 7) // 20"
+
+
+def _patient(spark_sql: str):
+    return F.expr(spark_sql.replace("//", "DIV"))
+
+
 def _medication_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A claim for each part; the records of a brand are its parts with keys divisible by ten."""
+    """A claim and a record for each part."""
     parts = table(spark, sf_dir, "part")
-    claims = parts.select(F.col("p_partkey").alias("claim_id"), F.col("p_brand").alias("patient_id"), F.lit("medication").alias("claim_type"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg daily")).alias("claim_text"))
+    claims = parts.select(F.col("p_partkey").alias("claim_id"), _patient(_PATIENT).alias("patient_id"), F.lit("medication").alias("claim_type"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg daily")).alias("claim_text"))
     text = F.concat("p_name", F.lit(" ("), "p_type", F.lit(") "), (F.col("p_size") + F.floor(F.col("p_partkey") / 10) % 4).cast("string"), F.lit("mg tablet"))
-    records = parts.where("p_partkey % 10 = 0").groupBy(F.col("p_brand").alias("patient_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))).alias("_r"))
+    records = parts.groupBy(_patient(_OWNER).alias("patient_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("text")))).alias("_r"))
     return claims, records.select("patient_id", F.transform("_r", lambda r: r["text"]).alias("medications"), F.array().cast("array<string>").alias("allergies"))
 
 
 @query(f"""
-WITH c AS (SELECT p_partkey AS claim_id, p_brand, {_CLAIM} AS claim, split_part(p_name, ' ', 1) AS name, p_size::DOUBLE AS dose FROM part),
-r AS (SELECT p_brand, p_partkey AS pos, {_RECORD} AS record, split_part(p_name, ' ', 1) AS name, (p_size + (p_partkey // 10) % 4)::DOUBLE AS dose FROM part WHERE p_partkey % 10 = 0),
-k AS (SELECT DISTINCT p_brand FROM r),
-m AS (SELECT c.claim_id, r.pos, r.record, abs(c.dose - r.dose) / r.dose <= 0.1 AS fits FROM c JOIN r ON c.p_brand = r.p_brand AND (contains(c.name, r.name) OR contains(r.name, c.name))),
+WITH c AS (SELECT p_partkey AS claim_id, {_PATIENT} AS patient, {_CLAIM} AS claim, split_part(p_name, ' ', 1) AS name, p_size::DOUBLE AS dose FROM part),
+r AS (SELECT {_OWNER} AS patient, p_partkey AS pos, {_RECORD} AS record, split_part(p_name, ' ', 1) AS name, (p_size + (p_partkey // 10) % 4)::DOUBLE AS dose FROM part),
+k AS (SELECT DISTINCT patient FROM r),
+m AS (SELECT c.claim_id, r.pos, r.record, abs(c.dose - r.dose) / r.dose <= 0.1 AS fits FROM c JOIN r ON c.patient = r.patient AND (contains(c.name, r.name) OR contains(r.name, c.name))),
 a AS (SELECT claim_id, arg_min(record, pos) FILTER (fits) AS exact, arg_max(record, pos) AS last FROM m GROUP BY claim_id)
-SELECT c.claim_id, CASE WHEN k.p_brand IS NULL THEN 'ehr_unavailable' WHEN a.exact IS NOT NULL THEN 'verified' WHEN a.last IS NOT NULL THEN 'contradicted' ELSE 'not_in_ehr' END AS ehr_status, coalesce(a.exact, a.last) AS ehr_match FROM c LEFT JOIN k ON c.p_brand = k.p_brand LEFT JOIN a ON c.claim_id = a.claim_id
+SELECT c.claim_id, CASE WHEN k.patient IS NULL THEN 'ehr_unavailable' WHEN a.exact IS NOT NULL THEN 'verified' WHEN a.last IS NOT NULL THEN 'contradicted' ELSE 'not_in_ehr' END AS ehr_status, coalesce(a.exact, a.last) AS ehr_match FROM c LEFT JOIN k ON c.patient = k.patient LEFT JOIN a ON c.claim_id = a.claim_id
 """)
 def medication_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, records = _medication_claims(spark, sf_dir)
@@ -101,28 +109,28 @@ def dose_tolerance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH f AS (SELECT p_partkey, p_brand, {_WORDS.format("p_name || ' ' || p_type")} AS w FROM part), s AS (SELECT p_partkey, p_brand, {_WORDS.format("p_name || ' ' || p_type")} AS w FROM part WHERE p_partkey % 25 = 0),
-m AS (SELECT f.p_partkey AS claim_id, s.p_partkey AS source_id, len(list_intersect(f.w, s.w))::DOUBLE / greatest(len(f.w), len(s.w)) AS o FROM f JOIN s ON f.p_brand = s.p_brand)
+WITH f AS (SELECT p_partkey, p_brand, p_size, {_WORDS.format("p_name || ' ' || p_type")} AS w FROM part),
+m AS (SELECT f.p_partkey AS claim_id, s.p_partkey AS source_id, len(list_intersect(f.w, s.w))::DOUBLE / greatest(len(f.w), len(s.w)) AS o FROM f JOIN f AS s ON f.p_brand = s.p_brand AND f.p_size = s.p_size)
 SELECT claim_id, source_id, round(o, 6) AS overlap FROM m WHERE o >= 0.6
 """)
 def fuzzy_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("p_name", F.lit(" "), "p_type")
     parts = table(spark, sf_dir, "part")
-    claims = parts.select("p_brand", F.col("p_partkey").alias("claim_id"), text.alias("a"))
-    sources = parts.where("p_partkey % 25 = 0").select("p_brand", F.col("p_partkey").alias("source_id"), text.alias("b"))
-    return claims.join(sources, "p_brand").select("claim_id", "source_id", overlap_of_larger(F.col("a"), F.col("b")).alias("overlap")).where("overlap >= 0.6").withColumn("overlap", F.round("overlap", 6))
+    claims = parts.select("p_brand", "p_size", F.col("p_partkey").alias("claim_id"), text.alias("claim_text"))
+    sources = parts.select("p_brand", "p_size", F.col("p_partkey").alias("source_id"), text.alias("source_text"))
+    return verification.overlapping(claims, sources, ["p_brand", "p_size"], threshold=0.6)
 
 
 @query(f"""
-WITH c AS (SELECT p_partkey AS claim_id, p_brand, lower({_CLAIM}) AS t, {_WORDS.format(_CLAIM)} AS w FROM part), s AS (SELECT p_partkey AS source_id, p_brand, {_RECORD} AS src, lower({_RECORD}) AS t, {_WORDS.format(_RECORD)} AS w FROM part WHERE p_partkey % 10 = 0),
-m AS (SELECT claim_id, source_id, src, CASE WHEN contains(s.t, c.t) THEN 1.0 ELSE len(list_intersect(c.w, s.w))::DOUBLE / len(c.w) END AS sim FROM c JOIN s ON c.p_brand = s.p_brand),
+WITH c AS (SELECT p_partkey AS claim_id, {_PATIENT} AS patient, lower({_CLAIM}) AS t, {_WORDS.format(_CLAIM)} AS w FROM part), s AS (SELECT p_partkey AS source_id, {_OWNER} AS patient, {_RECORD} AS src, lower({_RECORD}) AS t, {_WORDS.format(_RECORD)} AS w FROM part),
+m AS (SELECT claim_id, source_id, src, CASE WHEN contains(s.t, c.t) THEN 1.0 ELSE len(list_intersect(c.w, s.w))::DOUBLE / len(c.w) END AS sim FROM c JOIN s ON c.patient = s.patient),
 r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY sim DESC, source_id) AS rn FROM m)
 SELECT claim_id, source_id, round(sim, 6) AS similarity, CASE WHEN sim >= 0.8 THEN 'verified' WHEN sim >= 0.5 THEN 'partial' ELSE 'not_found' END AS status, substr(src, 1, 200) AS matched_text FROM r WHERE rn = 1
 """)
 def best_source_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, _ = _medication_claims(spark, sf_dir)
     text = F.concat("p_name", F.lit(" ("), "p_type", F.lit(") "), (F.col("p_size") + F.floor(F.col("p_partkey") / 10) % 4).cast("string"), F.lit("mg tablet"))
-    sources = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_brand").alias("patient_id"), F.col("p_partkey").alias("source_id"), text.alias("source_text"))
+    sources = table(spark, sf_dir, "part").select(_patient(_OWNER).alias("patient_id"), F.col("p_partkey").alias("source_id"), text.alias("source_text"))
     return verification.best_source(claims, sources, "patient_id")
 
 
@@ -141,13 +149,13 @@ def benchmark_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS claim_id, l_suppkey, l_quantity AS v FROM lineitem WHERE l_linenumber = 1), f AS (SELECT s.s_suppkey, s.s_suppkey % 50 + k * 0.25::DOUBLE AS fv, CAST(k AS BIGINT) AS pos FROM supplier s, range(8) t(k)),
+WITH c AS (SELECT l_orderkey * 8 + l_linenumber AS claim_id, l_suppkey, l_quantity AS v FROM lineitem), f AS (SELECT s.s_suppkey, s.s_suppkey % 50 + k * 0.25::DOUBLE AS fv, CAST(k AS BIGINT) AS pos FROM supplier s, range(8) t(k)),
 u AS (SELECT claim_id, any_value(l_suppkey) AS l_suppkey, min(v) AS v FROM c GROUP BY claim_id),
 m AS (SELECT u.claim_id, min(pos) AS pos, arg_min(fv, pos) AS fv FROM u JOIN f ON l_suppkey = s_suppkey AND abs(fv - v) <= abs(v * 0.01::DOUBLE) GROUP BY u.claim_id)
 SELECT u.claim_id, m.pos AS fact_id, m.fv AS fact_value, CASE WHEN m.pos IS NULL THEN 'not_found' ELSE 'verified' END AS status FROM u LEFT JOIN m ON u.claim_id = m.claim_id
 """)
 def finance_numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("claim_id")).agg(F.first("l_suppkey").alias("s_suppkey"), F.min("l_quantity").alias("value"))
+    claims = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("claim_id")).agg(F.first("l_suppkey").alias("s_suppkey"), F.min("l_quantity").alias("value"))
     facts = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("pos")).select("s_suppkey", "pos", F.col("pos").alias("fact_id"), (F.col("s_suppkey") % 50 + F.col("pos") * 0.25).alias("fact_value"))
     return verification.numeric_match(claims, facts, "s_suppkey")
 
