@@ -17,7 +17,7 @@ BLOCK_ROWS, GROUP_ROWS, SLOT_GROUPS = 1024, 256, 1024
 #: Nodes of the upper level at most, and the sample that it is shaped by; both are broadcast or sent to the driver (2 MB of 64 dimensions).
 CELLS, SAMPLE = 1024, 4096
 #: How much smaller children are than their node, points of a node that is not divided, and rows scored at a time.
-BASE, LEAF, SCORED = 1.3, 4, 128
+BASE, LEAF, SCORED = 1.3, 4, 256
 
 
 def net(points: np.ndarray, first: int, near: float, most: int | None = None) -> tuple[list[int], np.ndarray, np.ndarray] | None:
@@ -70,6 +70,7 @@ class CoverTree:
         self.centers, self.radii = points[self.at], np.array(self.radii)
         self.sizes = np.sqrt((self.centers**2).sum(axis=1))
         self.leaf = np.array([not len(c) for c in self.children])
+        self.begin, self.held = np.array([a for a, _ in self.span]), np.array([b - a for a, b in self.span])
 
     def _add(self, rows: np.ndarray, center: int) -> int:
         own, node, begin = self.points[rows], len(self.at), len(self.order)
@@ -86,6 +87,12 @@ class CoverTree:
     def rows(self, node: int) -> np.ndarray:
         return self.order[slice(*self.span[node])]
 
+    def rows_of(self, nodes: np.ndarray) -> np.ndarray:
+        """The points of several nodes, one node after another."""
+        n = self.held[nodes]
+        shift = np.repeat(self.begin[nodes] - (np.cumsum(n) - n), n)
+        return self.order[shift + np.arange(len(shift))]
+
 
 class Best:
     """The k best (score, id) of each query so far, worst last."""
@@ -105,12 +112,12 @@ class Best:
             self.bound[query] = max(self.bound[query], -kept[-1][0])
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, bound: np.ndarray, pruned: list[int] | None = None) -> list[list[tuple[int, int]]]:
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, bound: np.ndarray, pruned: list[int] | None = None, tree: CoverTree | None = None) -> list[list[tuple[int, int]]]:
     """For each query (-score, id) of its k best rows of ``data`` that reach ``bound``, its own id left out.
 
     A node of the queries is taken down with all nodes of the data that it may still need; the larger ones are divided first. A pair of
     nodes is pruned (and counted in ``pruned``: pairs pruned, pairs scored) if their covering radii allow no score
-    as high as the worst kth score below the query node.
+    as high as the worst kth score below the query node. ``tree`` is that of the data, if there is one already.
     """
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * queries.shape[1]
     q, d = queries.astype(np.float64), data.astype(np.float64)
@@ -140,7 +147,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             return
         order = np.argsort(-top, kind="stable")
         bs, top = bs[order], top[order]
-        held = np.cumsum([y.span[b][1] - y.span[b][0] for b in bs])
+        held = np.cumsum(y.held[bs])
         at = 0
         while at < len(bs):
             end = max(at + 1, int(np.searchsorted(held, held[at] + SCORED)))
@@ -148,16 +155,16 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
                 counted[0] += len(bs) - at
                 return
             counted[1] += end - at
-            other = np.concatenate([y.rows(b) for b in bs[at:end]])
+            other = y.rows_of(bs[at:end])
             scores, ids = exact_q[rows] @ exact_d[other].T, data_ids[other]
-            for place, row in zip(rows, scores):
-                good = (row >= best.bound[place]) & (ids != query_ids[place])
-                if good.any():
-                    best.offer(place, row[good] if row.dtype == object else row[good].astype(np.int64), ids[good])
+            reached = (scores >= best.bound[rows][:, None]) & (ids != query_ids[rows][:, None])
+            for i in np.flatnonzero(reached.any(axis=1)):
+                good = scores[i][reached[i]]
+                best.offer(rows[i], good if good.dtype == object else good.astype(np.int64), ids[reached[i]])
             at = end
 
     if len(queries) and len(data):
-        x, y = CoverTree(q), CoverTree(d)
+        x, y = CoverTree(q), tree or CoverTree(d)
         visit(0, np.zeros(1, np.int64))
     return best.found
 
@@ -281,12 +288,18 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
             return _matches([], np.empty(0))
         out = []
         d, names = _matrix(block["x"].combine_chunks()), block["vec_id"].to_numpy()
+        trees: dict[int, CoverTree] = {}  # by the width that vectors are filled up to
         for row in range(asked.num_rows):
             r = {c: asked[c][row].as_py() for c in ("ids", "kth", "own_part", "width", "kind", "q", "from_cell", "cell", "part")}
             q, own_d = _alike(np.frombuffer(r["q"], r["kind"]).reshape(-1, r["width"]).astype(np.int64), d)
             ids, bound = np.array(r["ids"]), np.array(r["kth"])
             new = (np.array(r["own_part"]) != r["part"]) | (r["from_cell"] != r["cell"])  # the own block has been searched
-            out.append(_matches(search(q[new], ids[new], own_d, names, k, bound[new]), ids[new]))
+            if new.any():
+                width = own_d.shape[1]
+                tree = trees[width] = trees.get(width) or CoverTree(own_d.astype(np.float64))
+                out.append(_matches(search(q[new], ids[new], own_d, names, k, bound[new], tree=tree), ids[new]))
+        if not out:
+            return _matches([], np.empty(0))
         return pa.concat_tables(out)
 
     in_slots = data.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
