@@ -177,3 +177,42 @@ def rule_violations(values: DataFrame, rules: DataFrame, key: str) -> DataFrame:
         F.count_if(failed & (F.col("severity") == "warning")).alias("n_warnings"),
         F.array_join(F.array_sort(F.collect_list(F.when(failed, F.col("input")))), ",").alias("failures"),
     )
+
+
+def check_rules(values: DataFrame, rules: DataFrame, key: str, custom: dict[str, Column] | None = None, strict: bool = False) -> DataFrame:
+    """``key, n_validated, n_passed, is_valid, failures, warnings`` of ``key, input, value`` (value as text) against ``rules``, a table of at most a few hundred rows.
+
+    ``rules``: ``input, kind, low, high, expected, allow, severity``. Kinds: ``range`` (null or no number fails, a null bound is none),
+    ``type`` (``expected`` double, bigint or boolean, by whether the text casts; null passes only with ``allow``), ``required`` (null and
+    blank fail, zero too unless ``allow``) and ``custom`` (``expected`` names a condition of ``custom`` over ``value``; one that is null, as of
+    text that does not cast, fails). An input with a ``required`` rule and no row for a key fails as critical. Inputs without rules are not
+    counted. Failures and warnings are sorted ``input:kind``. ``strict``: warnings make a row invalid too.
+    """
+    v, number = F.col("value"), F.expr("try_cast(value as double)")
+    in_range = number.isNotNull() & ~F.coalesce((number < F.col("low")) | (number > F.col("high")), F.lit(False))
+    casts = {"double": number, "bigint": F.expr("try_cast(value as bigint)"), "boolean": F.expr("try_cast(value as boolean)")}
+    typed = F.lit(False)
+    for name, cast in casts.items():
+        typed = F.when(F.col("expected") == name, cast.isNotNull()).otherwise(typed)
+    present = v.isNotNull() & (F.trim(v) != "") & (F.col("allow") | F.coalesce(number != 0, F.lit(True)))
+    holds = F.lit(False)
+    for name, condition in (custom or {}).items():
+        holds = F.when(F.col("expected") == name, condition).otherwise(holds)
+    kind = F.col("kind")
+    passed = F.when(kind == "range", in_range).when(kind == "type", F.when(v.isNull(), F.col("allow")).otherwise(typed)).when(kind == "required", present).otherwise(holds)
+    met = values.select(key, "input", "value").join(F.broadcast(rules), "input")
+    judged = met.select(key, "input", "kind", "severity", (~F.coalesce(passed, F.lit(False))).alias("bad"))
+    each = judged.groupBy(key, "input").agg(
+        F.max("bad").alias("bad"),
+        F.collect_list(F.when(F.col("bad") & (F.col("severity") != "warning"), F.concat_ws(":", "input", "kind"))).alias("f"),
+        F.collect_list(F.when(F.col("bad") & (F.col("severity") == "warning"), F.concat_ws(":", "input", "kind"))).alias("w"),
+    )
+    needed = rules.where(kind == "required").select(F.collect_set("input").alias("_needed"))
+    per = values.select(key).distinct().join(
+        each.groupBy(key).agg(F.count("*").alias("n_validated"), F.count_if(~F.col("bad")).alias("n_passed"), F.flatten(F.collect_list("f")).alias("f"), F.flatten(F.collect_list("w")).alias("w"), F.collect_set("input").alias("seen")), key, "left"
+    )
+    none = F.array().cast("array<string>")
+    per = per.crossJoin(F.broadcast(needed)).withColumn("_missing", F.transform(F.array_except("_needed", F.coalesce("seen", none)), lambda i: F.concat(i, F.lit(":missing"))))
+    failures, warnings = F.array_sort(F.concat(F.coalesce("f", none), "_missing")), F.array_sort(F.coalesce("w", none))
+    valid = (F.size(failures) == 0) & (F.size(warnings) == 0) if strict else F.size(failures) == 0
+    return per.select(key, F.coalesce("n_validated", F.lit(0)).alias("n_validated"), F.coalesce("n_passed", F.lit(0)).alias("n_passed"), valid.alias("is_valid"), failures.alias("failures"), warnings.alias("warnings"))

@@ -45,3 +45,11 @@ def export_tracker(predictions: DataFrame, stats: DataFrame, key: str) -> DataFr
     per = predictions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("predictions"))
     joined = per.join(stats.select(key, F.struct(*[c for c in stats.columns if c != key]).alias("stats")), key, "left")
     return joined.select(key, F.to_json(F.struct("predictions", "stats")).alias("document"))
+
+
+def write_run_metadata(spark: SparkSession, path: str, settings: dict, results: dict) -> None:
+    """Settings and results of a run as one JSON document, written like any table so that the path may be remote."""
+    from json import dumps
+
+    document = dumps({"settings": settings, "results": results}, sort_keys=True)
+    spark.createDataFrame([(document,)], "value string").coalesce(1).write.mode("overwrite").text(path)
