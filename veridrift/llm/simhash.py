@@ -112,9 +112,9 @@ class VantageTree:
         return who, node, own
 
 
-def _forest(sample: np.ndarray, count: int, radius: int, shard_size: int = SHARD_SIZE) -> list[VantageTree]:
+def _forest(sample: np.ndarray, count: int, radius: int, shard_size: int | None = None) -> list[VantageTree]:
     """A tree for each of three blocks of the bits: some block of a pair within ``radius`` differs by a third of it at most."""
-    depth = max(0, int(np.ceil(np.log2(max(1, count / shard_size)))))
+    depth = max(0, int(np.ceil(np.log2(max(1, count / (shard_size or SHARD_SIZE))))))
     depth = min(depth, max(0, int(np.log2(max(1, len(sample) // 4)))))
     bounds = (0, 21, 42, 64)
     return [VantageTree.shaped(sample, (1 << b) - (1 << a), radius // 3, depth) for a, b in zip(bounds, bounds[1:])]
@@ -308,16 +308,16 @@ def _dealt_first(distinct: DataFrame, node: str, columns: list[str], spread, sha
     return written(known.withColumn("label", F.coalesce("label", node))), met.where("not told").select("u", "v").distinct()
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, shard_size: int = LINK_SHARD) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, shard_size: int | None = None) -> DataFrame:
     """Edges ``u, v`` between distinct fingerprints (column ``fp``) that connect all pairs within ``radius`` bits.
 
     Trees are shaped by a bounded sample and broadcast (three of at most ``SAMPLE / 4`` nodes);
-    every fingerprint is routed. Leaves aim at ``shard_size`` members, as the comparisons in a leaf grow with its square
+    every fingerprint is routed. Leaves aim at ``shard_size`` members (``LINK_SHARD``, ``SHARD_SIZE`` if that is less), as the comparisons in a leaf grow with its square
     and a fingerprint of eight bytes is cheap to route.
     """
     sample = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(sample_size)).alias("bucket")).agg(F.min("fp").alias("fp"))
     points = np.array([r.fp for r in sample.select("fp").orderBy(F.xxhash64("fp"), "fp").collect()], np.int64).view(np.uint64)
-    trees = [("fp", tree) for tree in _forest(points, distinct.count(), radius, shard_size)]
+    trees = [("fp", tree) for tree in _forest(points, distinct.count(), radius, shard_size or min(LINK_SHARD, SHARD_SIZE))]
     return _meetings(distinct.select("fp"), "fp", trees, ["fp"], Near(radius))
 
 
