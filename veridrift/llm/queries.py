@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, piece_codec, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk, warc
+from . import filter_audit, langid, packing, piece_codec, prefix_trie, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk, toxicity, warc
 from .common import shared_folder
 
 
@@ -79,6 +79,19 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +99,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_piece_codec, op5_simhash, op6_language_id, op7_suffix_dedup, op8_bestfit_packing, op9_warc, op10_exact_topk)
+    ops = (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_piece_codec, op5_simhash, op6_language_id, op7_suffix_dedup, op8_bestfit_packing, op9_warc, op10_exact_topk, op11_filter_audit, op12_prefix_trie, op13_toxicity)
     return {f.__name__: f for f in ops} | {"pipeline": _pipeline}
 
 
@@ -120,5 +133,45 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+_AUDIT_SQL = """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM t),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+  CAST(len(ws) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(w.doc_id > least, false) AS INT) AS mask FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS b FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, s AS step, 1 << (ascii(o[s]) - 65) AS own, list_sum([0] || list_transform(range(1, s), lambda i: 1 << (ascii(o[i]) - 65))) AS earlier FROM (SELECT o, CAST(unnest(range(1, 6)) AS INT) AS s FROM o))
+SELECT part, o AS filter_order, step,
+  CAST(sum(CASE WHEN mask & (earlier | own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN mask & own > 0 AND mask & earlier > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN g ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN b ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN mask & own > 0 THEN n * (120 // bit_count(mask::BIGINT)) ELSE 0 END) AS BIGINT) AS shapley
+FROM c, s GROUP BY part, o, step
+"""
+
+_TRIE_SQL = """
+WITH t AS (SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, list(x ORDER BY pos) AS path FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, path, xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 6 AS h FROM p),
+r AS (SELECT h.conv_id, coalesce(b.path[1:h.h], []) || h.path[h.h + 1:] AS path FROM h LEFT JOIN p b ON b.conv_id = h.conv_id - h.conv_id % 100),
+u AS (SELECT conv_id, path, len(path) AS size, unnest(range(0, len(path) + 1)) AS d FROM r),
+n AS (SELECT d, path[1:d] AS k, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '') AS ends FROM u GROUP BY d, path[1:d]),
+e AS (SELECT d, k, conv_id, n_convs, ends, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(k[d].t) END AS own, CASE WHEN d > 0 THEN k[1:d - 1] END AS up FROM n),
+c AS (SELECT up, count(*) AS n_children FROM e WHERE d > 0 GROUP BY up),
+z AS (SELECT e.*, coalesce(c.n_children, 0) AS n_children FROM e LEFT JOIN c ON e.k = c.up),
+a AS (SELECT own, n_children, k[1:i] AS top FROM (SELECT own, n_children, k, unnest(range(0, d + 1)) AS i FROM z)),
+s AS (SELECT top, sum(own) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM a GROUP BY top)
+SELECT z.conv_id, CAST(z.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(z.n_convs AS BIGINT) AS n_convs, CAST(z.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(z.ends) AS ends_sha256
+FROM z JOIN s ON s.top = z.k LEFT JOIN n q ON q.k = z.up
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _window_sql(13), "op7_suffix_dedup": _window_sql(50), "op9_warc": _WARC_SQL, "op10_exact_topk": _TOPK_SQL}
+    return {"op3_substring_dedup": _window_sql(13), "op7_suffix_dedup": _window_sql(50), "op9_warc": _WARC_SQL, "op10_exact_topk": _TOPK_SQL, "op11_filter_audit": _AUDIT_SQL, "op12_prefix_trie": _TRIE_SQL}
