@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, stored
+
 #: Buckets of one pass of a distributed selection, and rows that are few enough to sort.
 _BUCKETS, _FEW = 1024, 4096
 
@@ -55,13 +57,59 @@ def conformal_threshold(df: DataFrame, score: str, target: float = 0.9) -> DataF
     return covered.select(F.lit(float(threshold)).alias("threshold"), F.lit(n).cast("long").alias("n"), "coverage", F.lit(float(low)).alias("min_score"), F.lit(float(high)).alias("max_score"), F.lit(float(mean)).alias("mean_score"))
 
 
+#: Buckets of one pass over all groups, distinct values of a group that are few enough to gather, and groups whose ranges are broadcast.
+_GROUP_BUCKETS, _GROUP_FEW, _MANY_GROUPS = 512, 1024, 50_000
+
+
+def _picked(column: str, place: Column) -> Column:
+    """Of entries in order, with ``n`` rows each: the one that holds the row ``place`` (from 1), and how many rows are before it."""
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("i"), none.alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here = acc["hit"].isNull() & (acc["before"] + x["n"] >= place)
+        return F.struct(F.when(acc["hit"].isNull() & ~here, acc["before"] + x["n"]).otherwise(acc["before"]).alias("before"), (acc["i"] + 1).alias("i"), F.when(here, acc["i"]).otherwise(acc["hit"]).alias("hit"))
+
+    return F.aggregate(F.col(column), start, step)
+
+
+def grouped_kth(df: DataFrame, group: str, value: str, rank: Column) -> DataFrame:
+    """``group, n, value``: in each group the value of a rank (from 1, an expression over ``n``), for all groups at once.
+
+    Equal values of a group are counted first. Each pass counts the values in every group's
+    buckets and narrows the group's range to the bucket that holds its rank, until it has few distinct values left,
+    which are gathered. No group is sorted or held by a task, and the driver sees one number a pass. Null values are left out;
+    a null group is a group.
+    """
+    values = stored(df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
+    state = values.groupBy("g").agg(F.sum("c").alias("n"), F.count("*").alias("left"), F.min("v").alias("low"), F.max("v").alias("high"))
+    state, kept = stored(state.withColumn("k", rank.cast("long")).withColumn("all", F.col("n"))), [values]
+    while True:
+        kept.append(state)
+        n_groups, most = state.agg(F.count("*"), F.max(F.when(F.col("low") < F.col("high"), F.col("left")))).first()
+        within = F.col("v").between(F.col("low"), F.col("high")) & F.col("g").eqNullSafe(F.col("_g"))
+        ranges = state.withColumnRenamed("g", "_g")
+        ranges = F.broadcast(ranges) if n_groups <= _MANY_GROUPS else ranges
+        if most is None or most <= _GROUP_FEW:
+            break
+        met = values.join(ranges, within)
+        width = (F.col("high") - F.col("low")) / _GROUP_BUCKETS
+        bucket = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(_GROUP_BUCKETS - 1))).otherwise(0)
+        counts = met.groupBy("g", "k", "all", bucket.alias("b")).agg(F.sum("c").alias("n"), F.count("*").alias("left"), F.min("v").alias("low"), F.max("v").alias("high"))
+        entries = counts.groupBy("g", "k", "all").agg(F.array_sort(F.collect_list(F.struct("b", "n", "left", "low", "high"))).alias("e"))
+        picked = entries.withColumn("p", _picked("e", F.col("k"))).withColumn("x", F.element_at("e", F.col("p.hit") + 1))
+        state = stored(picked.select("g", F.col("x.n").alias("n"), F.col("x.left").alias("left"), F.col("x.low").alias("low"), F.col("x.high").alias("high"), (F.col("k") - F.col("p.before")).alias("k"), "all"))
+    last = values.join(ranges, within).groupBy("g", "k", "all").agg(F.array_sort(F.collect_list(F.struct("v", F.col("c").alias("n")))).alias("e"))
+    out = stored(last.select(F.col("g").alias(group), F.col("all").alias("n"), F.element_at("e", _picked("e", F.col("k"))["hit"] + 1)["v"].alias(value)))
+    discard(*kept)
+    return out
+
+
 def grouped_threshold(df: DataFrame, group: str, score: str, target: float = 0.9) -> DataFrame:
     """``group, n, threshold``: the conformal quantile within each group."""
-    own = Window.partitionBy(group)
-    n = F.count(score).over(own)
+    n = F.col("n")
     rank = F.greatest(F.lit(1), F.least(F.ceil(F.least(F.lit(1.0), F.lit(target) * (1 + 1 / n)) * n), n))
-    numbered = df.where(F.col(score).isNotNull()).select(group, score, F.row_number().over(own.orderBy(score)).alias("_rn"), n.alias("n"), rank.alias("_k"))
-    return numbered.where("_rn = _k").select(group, "n", F.col(score).alias("threshold"))
+    return grouped_kth(df, group, score, rank).withColumnRenamed(score, "threshold")
 
 
 def softmax(values: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import domains, medication
-from ..functions.text import collapsed, fuzzy_match, shared_words, words
+from ..functions.text import fuzzy_match
 
 
 def against_records(claims: DataFrame, patients: DataFrame, patient: str = "patient_id") -> DataFrame:
@@ -76,37 +76,6 @@ def first_pass(claims: DataFrame, facts: DataFrame, patient: str = "patient_id",
     return ranked.select("claim_id", "claim_type", "claim_text", status.alias("status"), F.when(F.col("found") == 1, F.col("hit.name")).alias("matched"))
 
 
-def best_source(claims: DataFrame, sources: DataFrame, on: str, claim: str = "claim_text", source: str = "source_text", threshold: float = 0.5) -> DataFrame:
-    """The most similar source of each claim among those that share ``on``: ``claim_id, source_id, similarity, status, matched_text``; ties go to the smaller source id."""
-    own = claims.select(on, "claim_id", collapsed(claim).alias("_c"), words(claim).alias("_cw"))
-    other = sources.select(on, "source_id", source, collapsed(source).alias("_s"), words(source).alias("_sw"))
-    # texts are split before the join, once each; a claim has few sources of its own
-    n = F.size("_cw")
-    like = F.when(F.contains(F.col("_s"), F.col("_c")), 1.0).when(n == 0, 0.0).otherwise(shared_words(F.col("_cw"), F.col("_sw")) / n)
-    scored = own.join(other, on).select("claim_id", "source_id", source, like.alias("similarity"))
-    best = scored.groupBy("claim_id").agg(F.min_by(F.struct("source_id", "similarity", F.substring(source, 1, 200).alias("matched_text")), F.struct(-F.col("similarity"), F.col("source_id"))).alias("b"))
-    status = F.when(F.col("b.similarity") >= 0.8, "verified").when(F.col("b.similarity") >= threshold, "partial").otherwise("not_found")
-    return best.select("claim_id", "b.source_id", F.round("b.similarity", 6).alias("similarity"), status.alias("status"), "b.matched_text")
-
-
-def overlapping(claims: DataFrame, sources: DataFrame, on: list[str], claim: str = "claim_text", source: str = "source_text", threshold: float = 0.6) -> DataFrame:
-    """``claim_id, source_id, overlap`` of pairs that share ``on`` and so large a part of the larger word set; words are split once a text."""
-    own = claims.select(*on, "claim_id", words(claim).alias("_cw"))
-    other = sources.select(*on, "source_id", words(source).alias("_sw"))
-    a, b = F.size("_cw"), F.size("_sw")
-    # sizes that cannot reach the threshold are ruled out before words are compared
-    possible = (a > 0) & (b > 0) & (F.least(a, b) >= threshold * F.greatest(a, b))
-    met = own.join(other, on).where(possible).select("claim_id", "source_id", (shared_words(F.col("_cw"), F.col("_sw")) / F.greatest(a, b)).alias("overlap"))
-    return met.where(F.col("overlap") >= threshold).withColumn("overlap", F.round("overlap", 6))
-
-
-def candidates_by_word(claims: DataFrame, sources: DataFrame, claim: str, source: str, claim_key: str, source_key: str) -> DataFrame:
-    """``claim_key, source_key, shared`` of pairs with a word in common: an equi-join on words in place of all pairs. Words are counted once a text."""
-    left = claims.select(claim_key, F.explode(words(F.col(claim))).alias("word"))
-    right = sources.select(source_key, F.explode(words(F.col(source))).alias("word"))
-    return left.join(right, "word").groupBy(claim_key, source_key).agg(F.count("*").alias("shared"))
-
-
 def numeric_match(claims: DataFrame, facts: DataFrame, on: str, value: str = "value", tolerance: float = 0.01) -> DataFrame:
     """Claims joined with the first fact (by ``pos``) of the same key within the relative tolerance of the claimed value; null where none is.
 

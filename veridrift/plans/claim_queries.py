@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import domains, medication, uncertainty
-from ..functions.text import overlap_of_larger
-from ..operators import audit, calibration, documents, entropy, experiment, extraction, training, verification
+from ..functions.text import overlap_of_larger, words
+from ..operators import audit, calibration, documents, entropy, experiment, extraction, similarity, training, verification
+from ..sources.shared import shared_path
 from ..streaming import monitors
 from .entropy_queries import _WORDS, _any
 from .registry import query, table
 
+_COLLAPSED = "regexp_replace(regexp_replace(lower({0}), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')"
 _EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}"
 
 
@@ -109,29 +111,27 @@ def dose_tolerance_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH f AS (SELECT p_partkey, p_brand, p_size, {_WORDS.format("p_name || ' ' || p_type")} AS w FROM part),
-m AS (SELECT f.p_partkey AS claim_id, s.p_partkey AS source_id, len(list_intersect(f.w, s.w))::DOUBLE / greatest(len(f.w), len(s.w)) AS o FROM f JOIN f AS s ON f.p_brand = s.p_brand AND f.p_size = s.p_size)
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id + 1000000000 AS doc_id, {_WORDS.format('text')} AS w FROM benchmark), c AS (SELECT * FROM d UNION ALL SELECT * FROM b),
+m AS (SELECT c.doc_id AS claim_id, d.doc_id AS source_id, len(list_intersect(c.w, d.w))::DOUBLE / greatest(len(c.w), len(d.w)) AS o FROM c JOIN d ON c.doc_id > d.doc_id AND least(len(c.w), len(d.w)) >= 0.599 * greatest(len(c.w), len(d.w)) AND len(d.w) > 0)
 SELECT claim_id, source_id, round(o, 6) AS overlap FROM m WHERE o >= 0.6
 """)
 def fuzzy_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("p_name", F.lit(" "), "p_type")
-    parts = table(spark, sf_dir, "part")
-    claims = parts.select("p_brand", "p_size", F.col("p_partkey").alias("claim_id"), text.alias("claim_text"))
-    sources = parts.select("p_brand", "p_size", F.col("p_partkey").alias("source_id"), text.alias("source_text"))
-    return verification.overlapping(claims, sources, ["p_brand", "p_size"], threshold=0.6)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text"))
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("claim_id"), F.col("text").alias("claim_text"))
+    claims = items.unionByName(docs.select(F.col("source_id").alias("claim_id"), F.col("source_text").alias("claim_text")))
+    return similarity.overlapping(claims, docs, threshold=0.6).where("claim_id > source_id")
 
 
 @query(f"""
-WITH c AS (SELECT p_partkey AS claim_id, {_PATIENT} AS patient, lower({_CLAIM}) AS t, {_WORDS.format(_CLAIM)} AS w FROM part), s AS (SELECT p_partkey AS source_id, {_OWNER} AS patient, {_RECORD} AS src, lower({_RECORD}) AS t, {_WORDS.format(_RECORD)} AS w FROM part),
-m AS (SELECT claim_id, source_id, src, CASE WHEN contains(s.t, c.t) THEN 1.0 ELSE len(list_intersect(c.w, s.w))::DOUBLE / len(c.w) END AS sim FROM c JOIN s ON c.patient = s.patient),
+WITH b AS (SELECT item_id AS claim_id, {_WORDS.format('text')} AS w, {_COLLAPSED.format('text')} AS t FROM benchmark), d AS (SELECT doc_id AS source_id, text, {_WORDS.format('text')} AS w, {_COLLAPSED.format('text')} AS t FROM documents),
+m AS (SELECT claim_id, source_id, text, CASE WHEN contains(d.t, b.t) THEN 1.0 ELSE len(list_intersect(b.w, d.w))::DOUBLE / len(b.w) END AS sim FROM b, d),
 r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY sim DESC, source_id) AS rn FROM m)
-SELECT claim_id, source_id, round(sim, 6) AS similarity, CASE WHEN sim >= 0.8 THEN 'verified' WHEN sim >= 0.5 THEN 'partial' ELSE 'not_found' END AS status, substr(src, 1, 200) AS matched_text FROM r WHERE rn = 1
+SELECT claim_id, CASE WHEN sim >= 0.5 THEN source_id END AS source_id, CASE WHEN sim >= 0.5 THEN round(sim, 6) ELSE 0 END AS similarity, CASE WHEN sim >= 0.8 THEN 'verified' WHEN sim >= 0.5 THEN 'partial' ELSE 'not_found' END AS status, CASE WHEN sim >= 0.5 THEN substr(text, 1, 200) END AS matched_text FROM r WHERE rn = 1
 """)
 def best_source_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, _ = _medication_claims(spark, sf_dir)
-    text = F.concat("p_name", F.lit(" ("), "p_type", F.lit(") "), (F.col("p_size") + F.floor(F.col("p_partkey") / 10) % 4).cast("string"), F.lit("mg tablet"))
-    sources = table(spark, sf_dir, "part").select(_patient(_OWNER).alias("patient_id"), F.col("p_partkey").alias("source_id"), text.alias("source_text"))
-    return verification.best_source(claims, sources, "patient_id")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim_text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text"))
+    return similarity.best_source(items, docs)
 
 
 @query(f"""
@@ -140,12 +140,10 @@ m AS (SELECT b.item_id, d.doc_id, count(*) AS shared FROM b JOIN d ON b.w = d.w
 SELECT m.item_id, m.doc_id, m.shared FROM m JOIN z ON m.item_id = z.item_id WHERE m.shared >= 0.9 * z.n
 """)
 def benchmark_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    from ..functions.text import words
-
-    sizes = items.select("item_id", F.size(words(F.col("text"))).alias("n"))
-    found = verification.candidates_by_word(items, docs, "text", "text", "item_id", "doc_id")
-    return found.join(sizes, "item_id").where(F.col("shared") >= 0.9 * F.col("n")).select("item_id", "doc_id", "shared")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim_text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text"))
+    found = similarity.contained(items, docs, threshold=0.9).join(items.select("claim_id", F.size(words(F.col("claim_text"))).alias("n")), "claim_id")
+    return found.where(F.col("shared") >= 0.9 * F.col("n")).select(F.col("claim_id").alias("item_id"), F.col("source_id").alias("doc_id"), F.col("shared").cast("long").alias("shared"))
 
 
 @query("""
@@ -367,14 +365,6 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _stream_folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query("""
 WITH s AS (SELECT user_id, CASE WHEN value <= 20 THEN 1.0 ELSE 0.0 END AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events),
 w AS (SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, avg(c) AS coverage FROM s WHERE rn <= 50 GROUP BY user_id), g AS (SELECT *, 0.9::DOUBLE - coverage AS gap FROM w)
@@ -382,7 +372,7 @@ SELECT key, n, round(coverage, 6) AS coverage, CASE WHEN n < 25 OR gap <= 0 THEN
 """)
 def streaming_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _event_stream(spark, sf_dir).withColumn("covered", F.col("value") <= 20)
-    found = monitors.run_once(monitors.coverage_monitor(stream, "user_id", ["ts", "event_id"], "covered", window=50), _stream_folder(spark), "update", ["key"])
+    found = monitors.run_once(monitors.coverage_monitor(stream, "user_id", ["ts", "event_id"], "covered", window=50), shared_path(spark), "update", ["key"])
     return found.select("key", "n", F.round("coverage", 6).alias("coverage"), "severity")
 
 
@@ -394,11 +384,11 @@ def streaming_outcome_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = _event_stream(spark, sf_dir).where("event_type = 'view'").select(F.col("event_id").alias("prediction_id"), F.col("ts").alias("predicted_at"), (F.col("value") * 0.5).alias("lower"), (F.col("value") * 1.5).alias("upper"))
     bought = _event_stream(spark, sf_dir).where("event_type = 'purchase'").select((F.floor(F.col("event_id") / 2) * 2).alias("outcome_id"), F.col("ts").alias("observed_at"), F.col("value").alias("outcome"))
     joined = monitors.outcome_join(seen, bought)
-    return monitors.run_once(joined, _stream_folder(spark)).select("prediction_id", "covered")
+    return monitors.run_once(joined, shared_path(spark)).select("prediction_id", "covered")
 
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type AS action, count(*) AS n FROM events GROUP BY ALL")
 def streaming_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = _event_stream(spark, sf_dir).select(F.col("ts").alias("timestamp"), F.col("event_type").alias("action"))
-    counted = monitors.run_once(monitors.audit_counts(logs), _stream_folder(spark), "update", ["window_start", "action"])
+    counted = monitors.run_once(monitors.audit_counts(logs), shared_path(spark), "update", ["window_start", "action"])
     return counted.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "action", "n")
