@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import Rule, Scanner, disjoint
 from ..functions.text import collapsed, normalized
 
 # Patterns of claims in clinical notes.
@@ -101,25 +102,22 @@ def pattern_claims(df: DataFrame, key: str, text: str, patterns: dict[str, str],
     confidence win over those that overlap them or say the same; the rest come in order of
     their start, ``cap`` at most (a report limit; None for all).
     """
-    compiled = {k: re.compile(p) for k, p in patterns.items()}
+    rules = [Rule(k, p) for k, p in patterns.items()]
 
-    def of(value: str) -> list[tuple]:
+    def of(scanner: Scanner, value: str) -> list[tuple]:
         found = []
-        for name, pattern in compiled.items():
-            for m in pattern.finditer(value):
+        for k in sorted(scanner.candidates(value)):
+            for m in scanner.matches(k, value):
                 groups = sum(1 for g in m.groups() if g)
                 sure = min(1.0, 0.7 + min(0.1, len(m.group()) / 100) + min(0.1, 0.02 * groups))
                 if sure >= least:
-                    found.append((sure, m.start(), m.end(), name, re.sub(r"\s+", " ", m.group()).strip(), value[max(0, m.start() - before) : m.end() + after]))
-        kept: list[tuple] = []
-        for f in sorted(found, key=lambda f: -f[0]):
-            if not any((f[1] < k[2] and k[1] < f[2]) or f[4].lower() == k[4].lower() for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f[1])[:cap]
+                    found.append((sure, m.start(), m.end(), rules[k].claim_type, re.sub(r"\s+", " ", m.group()).strip(), value[max(0, m.start() - before) : m.end() + after]))
+        return disjoint(found)[:cap]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(rules)
         for batch in batches:
-            rows = [(k, pos, f[3], f[4], f[1], f[2], f[5], f[0]) for k, value in batch.itertuples(index=False) if value for pos, f in enumerate(of(value))]
+            rows = [(k, pos, f[3], f[4], f[1], f[2], f[5], f[0]) for k, value in batch.itertuples(index=False) if value for pos, f in enumerate(of(scanner, value))]
             yield pd.DataFrame(rows, columns=["key", "pos", "claim_type", "claim_text", "start", "stop", "context", "confidence"])
 
     kind = dict(df.dtypes)[key]

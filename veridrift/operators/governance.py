@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.packs import DomainPack, is_narrow, reliability
 from ..functions.risk import needs_entropy, rank
-from .extraction import pattern_claims
+from ..functions.scan import Scanner
 
 
 def domain_claims(df: DataFrame, key: str, text: str, pack: DomainPack) -> DataFrame:
-    """Claims of a domain with their risk: one scan of the texts for each claim type's context width."""
-    out = None
-    for claim_type, (patterns, before, after) in pack.patterns.items():
-        named = {f"{claim_type}#{i}": p for i, p in enumerate(patterns)}
-        found = pattern_claims(df, key, text, named, before, after, cap=None).withColumn("claim_type", F.lit(claim_type))
-        out = found if out is None else out.union(found)
-    return out.withColumn("risk", pack.claim_risk(F.col("claim_type")))
+    """``key, pos, claim_id, claim_type, claim_text, start, stop, risk``: all claims of a domain, each text read once.
+
+    Claims come in the order of the pack's rules and, within one, of their place; ids count them. ``start`` and ``stop`` are the match's
+    place in the text (null for claims that are lines). Null texts have no claims.
+    """
+    rules, prefix = pack.rules, pack.prefix
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(rules)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                owners, rows = [], []
+                for i, value in enumerate(some.column("text").to_pylist()):
+                    for pos, claim in enumerate(scanner.claims(value) if value else ()):
+                        owners.append(i)
+                        rows.append((pos, f"{prefix}_{pos:03d}_{claim[0]}", *claim))
+                columns = list(zip(*rows)) or [()] * 6
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+                yield pa.record_batch([some.column("key").take(pa.array(owners, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["key", "pos", "claim_id", "claim_type", "claim_text", "start", "stop"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    found = rows.mapInArrow(run, f"key {kind}, pos int, claim_id string, claim_type string, claim_text string, start int, stop int")
+    return found.withColumnRenamed("key", key).withColumn("risk", pack.claim_risk(F.col("claim_type")))
 
 
 def response_verdict(results: DataFrame, key: str, pack: DomainPack, entropy: str = "entropy") -> DataFrame:

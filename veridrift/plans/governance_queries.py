@@ -63,9 +63,46 @@ def clinical_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("finding", packs.clinical_correlation(F.col("finding"), F.col("i"), F.col("s")).alias("correlation")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _claims_sql(key: str, prefix: str) -> str:
+    """Claims of a list ``c`` of ``k`` (type), ``m`` (match, null if none), ``b`` and ``a`` (context, null for the match itself) in the text ``t``."""
+    return f"""
+f AS (SELECT {key}, t, list_filter(c, lambda x: x.m IS NOT NULL) AS c FROM p), u AS (SELECT {key}, t, unnest(c) AS c, unnest(range(len(c))) AS pos FROM f)
+SELECT {key}, printf('{prefix}_%03d_%s', pos, c.k) AS claim_id, c.k AS claim_type, CASE WHEN c.b IS NULL THEN c.m ELSE trim(substr(t, greatest(1, instr(t, c.m) - c.b), instr(t, c.m) + length(c.m) + c.a - greatest(1, instr(t, c.m) - c.b))) END AS claim_text"""
+
+
+@query(f"""
+WITH q AS (SELECT p_partkey, p_size AS z, CASE WHEN p_partkey % 2 = 0 THEN 'It returned ' || CAST(p_size AS VARCHAR) || '% with an expense ratio of 0.5%, low risk, and will grow. ' || p_name ELSE 'An annualized gain of ' || CAST(p_size AS VARCHAR) || '% after a fee of $' || CAST(p_size AS VARCHAR) || ' and a front-end load of 2%; suitable for investors with a growth objective. Guaranteed income. ' || p_name END AS t FROM part),
+p AS (SELECT p_partkey, t, CASE WHEN p_partkey % 2 = 0 THEN [{{'k': 'performance_figure', 'm': regexp_extract(t, 'returned [0-9]+%'), 'b': NULL, 'a': NULL}}, {{'k': 'fee_disclosure', 'm': 'expense ratio of 0.5%', 'b': NULL, 'a': NULL}}, {{'k': 'risk_rating', 'm': 'low risk', 'b': 30, 'a': 50}}, {{'k': 'forward_looking', 'm': 'will grow', 'b': 20, 'a': 60}}]
+ELSE [{{'k': 'performance_figure', 'm': regexp_extract(t, 'gain of [0-9]+%'), 'b': NULL, 'a': NULL}}, {{'k': 'performance_figure', 'm': regexp_extract(t, 'annualized gain of [0-9]+%'), 'b': NULL, 'a': NULL}}, {{'k': 'fee_disclosure', 'm': regexp_extract(t, 'fee of [$][0-9]+'), 'b': NULL, 'a': NULL}}, {{'k': 'fee_disclosure', 'm': 'front-end load of 2%', 'b': NULL, 'a': NULL}}, {{'k': 'suitability', 'm': 'suitable for investors', 'b': 30, 'a': 80}}, {{'k': 'suitability', 'm': 'growth objective', 'b': 30, 'a': 80}}, {{'k': 'guaranteed_return', 'm': 'Guaranteed income', 'b': 20, 'a': 40}}] END AS c FROM q),
+{_claims_sql('p_partkey', 'finance')}, instr(t, c.m) - CASE WHEN starts_with(c.m, 'fee') THEN 2 ELSE 1 END AS start, CASE WHEN c.k IN ('performance_figure', 'fee_disclosure', 'guaranteed_return') THEN 'critical' ELSE 'high' END AS risk FROM u
+""")
 def finance_domain_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
-    text = F.concat(F.lit("It returned "), size, F.lit("% with an expense ratio of 0.5%, low risk, and will grow. "), "p_name")
+    one = F.concat(F.lit("It returned "), size, F.lit("% with an expense ratio of 0.5%, low risk, and will grow. "), "p_name")
+    two = F.concat(F.lit("An annualized gain of "), size, F.lit("% after a fee of $"), size, F.lit(" and a front-end load of 2%; suitable for investors with a growth objective. Guaranteed income. "), "p_name")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two).alias("t"))
+    return governance.domain_claims(rows, "p_partkey", "t", packs.FINANCE).select("p_partkey", "claim_id", "claim_type", "claim_text", "start", "risk")
+
+
+@query(f"""
+WITH q AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS z, 'In Ring v. Widget, ' || CAST(100 + p_size AS VARCHAR) || ' F.3d ' || CAST(p_partkey AS VARCHAR) || ' (Cir 1999), under ' || CAST(p_size AS VARCHAR) || ' U.S.C. § 9a, the statute of limitations is ' || CAST(p_size AS VARCHAR) || ' years and governing law applies. ' || p_name || ' See Widget, supra; personal jurisdiction.' AS t FROM part),
+p AS (SELECT p_partkey, t, [{{'k': 'case_citation', 'm': regexp_extract(t, 'In Ring.*1999[)]'), 'b': NULL, 'a': NULL}}, {{'k': 'case_citation', 'm': 'Widget, supra', 'b': NULL, 'a': NULL}}, {{'k': 'statute_reference', 'm': z || ' U.S.C. § 9a', 'b': NULL, 'a': NULL}}, {{'k': 'contract_clause', 'm': 'governing law', 'b': 50, 'a': 100}}, {{'k': 'jurisdiction', 'm': 'personal jurisdiction', 'b': 30, 'a': 50}}, {{'k': 'limitation_period', 'm': 'statute of limitations is ' || z || ' years', 'b': 20, 'a': 30}}] AS c FROM q),
+{_claims_sql('p_partkey', 'legal')}, CASE WHEN c.k IN ('case_citation', 'statute_reference') THEN 'critical' WHEN c.k = 'limitation_period' THEN 'medium' ELSE 'high' END AS risk FROM u
+""")
+def legal_domain_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("In Ring v. Widget, "), (F.col("p_size") + 100).cast("string"), F.lit(" F.3d "), key, F.lit(" (Cir 1999), under "), size, F.lit(" U.S.C. § 9a, the statute of limitations is "), size, F.lit(" years and governing law applies. "), "p_name", F.lit(" See Widget, supra; personal jurisdiction."))
+    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("t"))
+    return governance.domain_claims(rows, "p_partkey", "t", packs.LEGAL).select("p_partkey", "claim_id", "claim_type", "claim_text", "risk")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CAST(p_size + 50 AS VARCHAR) AS z, p_name || ' tablet 5 mg' AS med FROM part),
+u AS (SELECT p_partkey, unnest([{'k': 'medication', 'm': med}, {'k': 'allergy', 'm': 'penicillin'}, {'k': 'allergy', 'm': 'Sulfa rash'}, {'k': 'vital_sign', 'm': 'blood_pressure: 120/' || z}, {'k': 'vital_sign', 'm': 'heart_rate: ' || z}, {'k': 'exam_finding', 'm': '2+ pitting edema of both legs'}, {'k': 'diagnosis', 'm': med}]) AS c, unnest(range(7)) AS pos FROM p)
+SELECT p_partkey, printf('hc_%03d_%s', pos, c.k) AS claim_id, c.k AS claim_type, c.m AS claim_text, CASE WHEN c.k IN ('medication', 'allergy', 'diagnosis') THEN 'high' ELSE 'medium' END AS risk FROM u
+""")
+def healthcare_domain_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = (F.col("p_size") + 50).cast("string")
+    text = F.concat(F.lit("Diagnoses\n- "), "p_name", F.lit(" tablet 5 mg\nBP 120/"), size, F.lit(" HR "), size, F.lit(". Allergic to penicillin. Sulfa (rash). 2+ pitting edema of both legs."))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("t"))
-    return governance.domain_claims(rows, "p_partkey", "t", packs.FINANCE).select("p_partkey", "claim_type", "claim_text", "start", "risk")
+    return governance.domain_claims(rows, "p_partkey", "t", packs.HEALTHCARE).select("p_partkey", "claim_id", "claim_type", "claim_text", "risk")
