@@ -54,3 +54,13 @@ def author_counts(docs: DataFrame) -> DataFrame:
     """Processed, AI-written and their rate."""
     ai = F.count_if(F.col("author_type") == "ai_scribe")
     return docs.agg(F.count("*").alias("processed"), ai.alias("ai"), (ai / F.greatest(F.lit(1), F.count("*"))).alias("ai_rate"))
+
+
+# Columns of a user activity entry.
+ACTIVITY = ["user_id", "user_email", "user_name", "action", "resource_type", "resource_id", "ip", "user_agent", "details", "timestamp"]
+
+
+def activity_entry(df: DataFrame) -> DataFrame:
+    """The columns of a user activity entry, in order; those that ``df`` lacks are null."""
+    kinds = {"timestamp": "timestamp"}
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in ACTIVITY])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import numbering
+from ..sources import ledger, records
 from ..sources.shared import shared_path
 from ..streaming import monitors, outcome_store
 from .registry import query, table
@@ -51,3 +52,31 @@ def streaming_outcome_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark)
     monitors.run_once(answers, path)
     return spark.read.schema(answers.schema).parquet(path)
+
+
+@query("""
+WITH f AS (SELECT CAST(o_custkey AS VARCHAR) AS patient_id, CASE o_orderkey % 3 WHEN 0 THEN 'Condition' WHEN 1 THEN 'MedicationRequest' ELSE 'AllergyIntolerance' END AS resource_type, CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS name FROM orders)
+SELECT patient_id, resource_type, id, name FROM f WHERE patient_id IN (SELECT patient_id FROM f WHERE id IN (SELECT CAST(min(o_orderkey) AS VARCHAR) FROM orders GROUP BY o_orderstatus)) AND resource_type = 'MedicationRequest'
+""")
+def landed_patient_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, orders = F.col("o_orderkey") % 3, table(spark, sf_dir, "orders")
+    facts = orders.select(F.col("o_custkey").alias("patient_id"), F.when(kind == 0, "Condition").when(kind == 1, "MedicationRequest").otherwise("AllergyIntolerance").alias("resource_type"), F.col("o_orderkey").alias("id"), F.lit(0).alias("pos"), F.col("o_orderpriority").alias("name"), F.lit(None).alias("detail"), F.lit(True).alias("active"))
+    path = shared_path(spark)
+    records.land_records(facts, path)
+    session = records.records_session(spark)
+    ids = [str(r[0]) for r in orders.groupBy("o_orderstatus").agg(F.min("o_orderkey")).select("min(o_orderkey)").collect()]  # one for each of a few states
+    patients = [r.patient_id for r in records.records(session, path).where(F.col("id").isin(ids)).select("patient_id").distinct().collect()]
+    return records.records(session, path).where(F.col("patient_id").isin(patients) & (F.col("resource_type") == "MedicationRequest")).select("patient_id", "resource_type", "id", "name")
+
+
+@query("""
+SELECT user_id, event_type AS action, count(*) AS n, count(*) FILTER (resource_id IS NULL) AS unnamed FROM (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, CASE WHEN event_id % 2 = 0 THEN event_id END AS resource_id FROM events) GROUP BY ALL
+""")
+def streaming_activity_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    entries = raw.select("user_id", F.col("event_type").alias("action"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("resource_id"), F.col("ts").cast("timestamp").alias("timestamp"))
+    path = shared_path(spark)
+    ledger.activity_sink(entries, path).awaitTermination()
+    ledger.commit_batch(table(spark, sf_dir, "events").limit(1), path, 0)  # the batch comes again and changes nothing
+    return ledger.committed(spark, path).groupBy("user_id", "action").agg(F.count("*").alias("n"), F.count_if(F.col("resource_id").isNull()).alias("unnamed"))
