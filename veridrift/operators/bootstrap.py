@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,29 +21,33 @@ RECOMMENDATIONS = {
 }
 
 
-def poisson_weight(key: Column, replicate: Column, seed: int = 0) -> Column:
-    """How often a row (by its whole-number key) is drawn in a replicate: the same in every run and on every executor."""
-    x = F.pmod(F.pmod(key, F.lit(PRIME)) * STEPS[0] + replicate * 12_345 + seed + 1, F.lit(PRIME))
-    for step in STEPS[1:]:
-        x = x * step % PRIME
-    u = x / F.lit(float(PRIME))
-    weight = F.lit(0)
-    for share in POISSON:
-        weight = weight + F.when(u > share, 1).otherwise(0)
-    return weight
+def with_poisson_weight(df: DataFrame, key: str, replicate: str, name: str = "weight", seed: int = 0) -> DataFrame:
+    """``df`` with how often a row (by its whole-number ``key``) is drawn in a replicate: the same in every run and on every executor.
+
+    Squares mix the numbers, as multiples alone would only shift one replicate against another. Each step is a column of its own, so
+    none is computed twice.
+    """
+    prime, b = F.lit(PRIME), F.col(replicate).cast("long")
+    x, z = F.col("_x"), F.col("_z")
+    staged = df.withColumn("_x", F.pmod(F.pmod(F.col(key).cast("long"), prime) * STEPS[0] + b * 12_345 + seed + 1, prime))
+    staged = staged.withColumn("_z", (x * x + b + 1) % prime * STEPS[1] % prime).withColumn("_u", (z * z + x) % prime * STEPS[2] % prime / F.lit(float(PRIME)))
+    weight = F.lit(len(POISSON))
+    for n, share in reversed(list(enumerate(POISSON))):
+        weight = F.when(F.col("_u") <= share, n).otherwise(weight)
+    return staged.withColumn(name, weight).drop("_x", "_z", "_u")
 
 
 def _replicates(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Every row once for each replicate that draws it, and as replicate -1 the rows themselves; aggregated before any shuffle."""
     drawn = df.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("_b"))
-    return drawn.withColumn("_w", F.when(F.col("_b") < 0, 1).otherwise(poisson_weight(F.col(key).cast("long"), F.col("_b").cast("long"), seed))).where("_w > 0")
+    return with_poisson_weight(drawn, key, "_b", "_w", seed).withColumn("_w", F.when(F.col("_b") < 0, 1).otherwise(F.col("_w"))).where("_w > 0")
 
 
 def _band(per: DataFrame, metric: str, replicates: int, level: float) -> DataFrame:
     """One row: the metric of the rows and its order statistics over the replicates."""
-    low, high = int(round((1 - level) / 2 * replicates)), int(round((1 + level) / 2 * replicates)) - 1
+    low, high = math.floor((1 - level) / 2 * replicates + 1e-9), math.ceil((1 + level) / 2 * replicates - 1e-9) - 1
     drawn = F.array_sort(F.collect_list(F.when(F.col("_b") >= 0, F.col(metric))))
-    at = lambda k: F.try_element_at("_d", F.least(F.lit(k + 1), F.size("_d")))
+    at = lambda k: F.get("_d", F.least(F.lit(k), F.size("_d") - 1))
     whole = per.agg(F.max(F.when(F.col("_b") < 0, F.col(metric))).alias(metric), drawn.alias("_d"))
     return whole.select(F.round(metric, 6).alias(metric), F.round(at(low), 6).alias("lower"), F.round(at(high), 6).alias("upper"))
 
@@ -60,7 +66,7 @@ def recommendation(quality: Column) -> Column:
 def ece_band(df: DataFrame, key: str, score: str, label: str, bins: int = 10, replicates: int = 100, level: float = 0.95, seed: int = 0) -> DataFrame:
     """One row ``ece, lower, upper, quality, recommendation``: the expected calibration error with its bootstrap band.
 
-    Each replicate draws a row as often as ``poisson_weight`` says, so all are counted in one scan, by bin and replicate, before
+    Each replicate draws a row as often as ``with_poisson_weight`` says, so all are counted in one scan, by bin and replicate, before
     the shuffle. Rows with a null score or label are left out; no rows give nulls.
     """
     rows = df.select(F.col(key), F.col(score).cast("double").alias("_p"), F.col(label).cast("double").alias("_y")).where("_p is not null and _y is not null")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import numbering
+from ..functions import terminology
+from ..operators import bootstrap, history, numbering
 from ..sources import ledger, records
 from ..sources.shared import shared_path
 from ..streaming import monitors, outcome_store
@@ -80,3 +83,103 @@ def streaming_activity_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.activity_sink(entries, path).awaitTermination()
     ledger.commit_batch(table(spark, sf_dir, "events").limit(1), path, 0)  # the batch comes again and changes nothing
     return ledger.committed(spark, path).groupBy("user_id", "action").agg(F.count("*").alias("n"), F.count_if(F.col("resource_id").isNull()).alias("unnamed"))
+
+
+_RATIO = "len(list_distinct(w))::DOUBLE / len(w)"
+_DIVERSE = "d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents)"
+
+
+def _diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, p, y``: the share of a labelled document's words that are distinct, and its quality."""
+    ws = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", ws.alias("w")).where(F.size("w") > 0)
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", (F.size(F.array_distinct("w")) / F.size("w")).alias("p"), F.col("quality").alias("y"))
+
+
+def _weight_sql(key: str) -> str:
+    """Columns up to ``pw``: the same whole-number generator and Poisson steps for replicate ``b``."""
+    p, (one, two, three) = bootstrap.PRIME, bootstrap.STEPS
+    steps = " + ".join(f"CAST(u > {share}::DOUBLE AS INT)" for share in bootstrap.POISSON)
+    return f"(({key} % {p}) * {one} + b * 12345 + 1) % {p} AS x, ((x * x + b + 1) % {p}) * {two} % {p} AS z, (((z * z + x) % {p}) * {three} % {p}) / {p}.0::DOUBLE AS u, {steps} AS pw"
+
+
+@query(f"""
+WITH {_DIVERSE}, r AS (SELECT d.doc_id, {_RATIO} AS p, quality AS y FROM d JOIN labels USING (doc_id) WHERE len(w) > 0),
+w AS (SELECT b, p, y, least(floor(p * 10), 9) AS bin, {_weight_sql('doc_id')}, CASE WHEN b < 0 THEN 1 ELSE pw END AS w FROM r, range(-1, 100) t(b)),
+g AS (SELECT b, bin, sum(w) AS n, sum(w * p) AS p, sum(w * y) AS y FROM w WHERE w > 0 GROUP BY b, bin), e AS (SELECT b, sum(abs(p - y)) / sum(n) AS ece FROM g GROUP BY b),
+l AS (SELECT max(ece) FILTER (b < 0) AS ece, list_sort(list(ece) FILTER (b >= 0)) AS s FROM e)
+SELECT round(ece, 6) AS ece, round(s[3], 6) AS lower, round(s[98], 6) AS upper, CASE WHEN ece < 0.05 THEN 'excellent' WHEN ece < 0.1 THEN 'good' WHEN ece < 0.15 THEN 'fair' ELSE 'poor' END AS quality FROM l
+""")
+def ece_with_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.ece_band(_diversity(spark, sf_dir), "doc_id", "p", "y").drop("recommendation")
+
+
+@query(f"""
+WITH w AS (SELECT b, CAST(value <= 20 AS INT) AS v, {_weight_sql('event_id')}, CASE WHEN b < 0 THEN 1 ELSE pw END AS w FROM events, range(-1, 100) t(b)), e AS (SELECT b, sum(w * v)::DOUBLE / sum(w) AS m FROM w GROUP BY b),
+l AS (SELECT max(m) FILTER (b < 0) AS m, list_sort(list(m) FILTER (b >= 0)) AS s, stddev_pop(m) FILTER (b >= 0) AS sd FROM e)
+SELECT round(m, 6) AS mean, round(s[3], 6) AS lower, round(s[98], 6) AS upper, round(sd, 6) AS std_dev, CASE WHEN s[98] - s[3] < 0.1 THEN 'low' WHEN s[98] - s[3] < 0.25 THEN 'medium' ELSE 'high' END AS uncertainty FROM l
+""")
+def coverage_with_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("value") <= 20).cast("int").alias("covered"))
+    return bootstrap.mean_band(rows, "event_id", "covered")
+
+
+@query("WITH s AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL) SELECT source, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_clusters, round(max(n)::DOUBLE / sum(n), 6) AS dominant_share FROM s GROUP BY source")
+def dominant_language_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.dominant_share(table(spark, sf_dir, "documents"), "source", "lang")
+
+
+@query(f"""
+WITH {_DIVERSE}, r AS (SELECT d.doc_id, {_RATIO} AS p, CASE WHEN quality = 1 THEN 0.9 WHEN toxic = 1 THEN 0.2 ELSE 0.6 END AS e FROM d JOIN labels USING (doc_id) WHERE len(w) > 0)
+SELECT CASE WHEN p > CASE WHEN e > 0.8 THEN 1.0 WHEN e > 0.5 THEN 0.8 ELSE 0.5 END THEN 'overconfident' WHEN p < CASE WHEN e > 0.8 THEN 0.7 WHEN e > 0.5 THEN 0.4 ELSE 0 END THEN 'underconfident' ELSE 'appropriate' END AS calibration, count(*) AS n FROM r GROUP BY ALL
+""")
+def evidence_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    rows = _diversity(spark, sf_dir).join(labels, "doc_id")
+    evidence = F.when(F.col("y") == 1, 0.9).when(F.col("toxic") == 1, 0.2).otherwise(0.6)
+    return rows.groupBy(bootstrap.evidence_match(F.col("p"), evidence).alias("calibration")).agg(F.count("*").alias("n"))
+
+
+def _written_out_sql(text: str, terms: dict[str, str]) -> str:
+    for short, long in terms.items():
+        text = f"regexp_replace({text}, '(?i)\\b{re.escape(short)}\\b', '{short} ({long})', 'g')"
+    return text
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, p_name || ' ' || CAST(p_size AS VARCHAR) || ' mg po ' || CASE p_partkey % 3 WHEN 0 THEN 'BID prn, NKDA' WHEN 1 THEN 'q8h via neb' ELSE 'when needed' END AS t FROM part)
+SELECT p_partkey, {_written_out_sql('t', terminology.HEALTHCARE_TERMS)} AS written FROM t
+""")
+def terms_written_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    text = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" mg po "), F.when(k == 0, "BID prn, NKDA").when(k == 1, "q8h via neb").otherwise("when needed"))
+    return table(spark, sf_dir, "part").select("p_partkey", terminology.normalized_response(text, "healthcare").alias("written"))
+
+
+_KNOWN = ", ".join(f"'{s}'" for s in sorted({s for kinds in terminology.SOURCES["legal"].values() for s in kinds}))
+
+
+@query(f"""
+WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://www.sec.gov/') WHEN 2 THEN replace(url, '://', '://sec.gov.') ELSE 'https://google.com/scholar/' || CAST(page_id AS VARCHAR) END AS u FROM pages)
+SELECT page_id, len(list_filter([{_KNOWN}], lambda s: contains(lower(u), s))) > 0 AS named, page_id % 4 IN (1, 3) AS authoritative FROM p
+""")
+def authoritative_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, url = F.col("page_id") % 4, F.col("url")
+    source = F.when(k == 0, url).when(k == 1, F.regexp_replace(url, "://", "://www.sec.gov/")).when(k == 2, F.regexp_replace(url, "://", "://sec.gov.")).otherwise(F.concat(F.lit("https://google.com/scholar/"), F.col("page_id").cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", terminology.is_authoritative(source, "legal").alias("named"), terminology.is_authoritative(source, "legal", strict=True).alias("authoritative"))
+
+
+@query("""
+WITH o AS (SELECT o_custkey AS p, o_orderkey AS s, o_orderdate AS d, unnest([CASE o_orderstatus WHEN 'F' THEN 'Nodule' WHEN 'O' THEN 'lung nodule' ELSE 'fracture' END, lower(o_orderpriority)]) AS f, CASE WHEN o_totalprice < 200000 THEN 'cough after trauma' ELSE '' END AS i FROM orders),
+h AS (SELECT a.s, a.f, min(struct_pack(d := b.d, s := b.s)) AS first, max(struct_pack(d := b.d, s := -b.s)) AS latest FROM o a JOIN o b ON a.p = b.p AND b.d < a.d AND contains(lower(b.f), lower(a.f)) GROUP BY ALL),
+r AS (SELECT a.s, max(b.d) AS d FROM o a JOIN o b ON a.p = b.p AND b.d < a.d GROUP BY a.s),
+m AS (SELECT o.s, o.f, o.i, h.first, h.latest, CASE WHEN r.d IS NULL THEN 'unknown' WHEN h.latest.d = r.d THEN 'stable' ELSE 'new' END AS change, CASE WHEN o.f = 'fracture' AND o.i <> '' THEN 'strong' WHEN o.i <> '' THEN 'incidental' ELSE 'weak' END AS correlation FROM o LEFT JOIN h ON o.s = h.s AND o.f = h.f LEFT JOIN r ON o.s = r.s)
+SELECT s AS study_id, f AS finding, change, correlation, CAST(first.s AS VARCHAR) || ' (' || strftime(first.d, '%Y-%m-%d') || ')' AS first_prior, CAST(-latest.s AS VARCHAR) || ' (' || strftime(latest.d, '%Y-%m-%d') || ')' AS latest_prior,
+round(CASE change WHEN 'new' THEN 1.5 WHEN 'stable' THEN 0.8 ELSE 1.0 END::DOUBLE * CASE correlation WHEN 'incidental' THEN 1.2 WHEN 'strong' THEN 0.9 ELSE 1.0 END::DOUBLE, 6) AS risk_modifier FROM m
+""")
+def finding_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    findings = F.array(F.when(status == "F", "Nodule").when(status == "O", "lung nodule").otherwise("fracture"), F.lower("o_orderpriority"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("study_id"), F.col("o_orderdate").alias("study_date"), findings.alias("findings"), F.when(F.col("o_totalprice") < 200_000, "cough after trauma").otherwise("").alias("indication"), F.array().cast("array<string>").alias("symptoms"))
+    found = history.integrate(orders, orders.select("patient_id", "study_id", "study_date", "findings"))
+    return found.select("study_id", "finding", "change", "correlation", "first_prior", "latest_prior", "risk_modifier")
