@@ -96,15 +96,24 @@ def names_match(a: Column, b: Column, allow_empty: bool = False) -> Column:
     return match if allow_empty else match & (F.length(a) > 0) & (F.length(b) > 0)
 
 
-def medication_match(claim: Column, records: Column, tolerance: float = 0.1) -> Column:
+def parsed_medication(c: Column) -> Column:
+    """``struct(text, name, dose)`` of a medication text, its brand made generic."""
+    return F.struct(c.alias("text"), generic_name(drug_name(c)).alias("name"), dose(c).alias("dose"))
+
+
+def parsed_medications(records: Column) -> Column:
+    """A record's list, parsed; a null list is empty."""
+    return F.transform(F.coalesce(records, F.array().cast("array<string>")), parsed_medication)
+
+
+def medication_match(claim: Column, records: Column, tolerance: float = 0.1, parsed: bool = False) -> Column:
     """How a claimed medication fits the record's list: ``struct(matches, matched, kind)``.
 
     The first record with the same drug and an agreeing dose decides (``exact``). Without one,
     the last record with the same drug does: ``name_only`` if either dose is missing, which
-    matches, else ``dose_mismatch``. Otherwise ``not_found``, or ``no_name``.
+    matches, else ``dose_mismatch``. Otherwise ``not_found``, or ``no_name``. ``parsed``: both are
+    given as ``parsed_medication`` and ``parsed_medications``, which is done once a claim and a patient ahead of a join.
     """
-    def parsed(r: Column) -> Column:
-        return F.struct(r.alias("text"), generic_name(drug_name(r)).alias("name"), dose(r).alias("dose"))
 
     def judged(own: Column, same: Column, both: Column) -> Column:
         first, last = F.try_element_at(both, F.lit(1)), F.try_element_at(same, F.lit(-1))
@@ -116,9 +125,9 @@ def medication_match(claim: Column, records: Column, tolerance: float = 0.1) ->
     def fits(own: Column, r: Column) -> Column:
         return own["dose"]["value"].isNotNull() & r["dose"]["value"].isNotNull() & doses_match(own["dose"], r["dose"], tolerance)
 
-    listed = F.transform(F.coalesce(records, F.array().cast("array<string>")), parsed)
+    listed = records if parsed else parsed_medications(records)
     return let(
-        parsed(claim),
+        claim if parsed else parsed_medication(claim),
         lambda own: let(
             F.filter(listed, lambda r: names_match(own["name"], r["name"])),
             lambda same: let(F.filter(same, lambda r: fits(own, r)), lambda both: judged(own, same, both)),

@@ -15,12 +15,15 @@ def against_records(claims: DataFrame, patients: DataFrame, patient: str = "pati
     An equi-join on the patient; the drug comparison runs over that patient's own list only. A
     patient without a record leaves every claim ``ehr_unavailable``.
     """
-    met = claims.join(patients.select(patient, "medications", "allergies", F.lit(True).alias("_known")), patient, "left")
-    med = medication.medication_match(F.col("claim_text"), F.col("medications"))
+    # lists and claims are parsed once each, ahead of the join; claims of another type have no medication to parse
+    lists = patients.select(patient, medication.parsed_medications(F.col("medications")).alias("_listed"), "allergies", F.lit(True).alias("_known"))
+    own = claims.withColumn("_own", F.when(F.col("claim_type") == "medication", medication.parsed_medication(F.col("claim_text"))))
+    met = own.join(lists, patient, "left")
+    med = F.when(F.col("_own").isNotNull(), medication.medication_match(F.col("_own"), F.coalesce("_listed", F.array().cast(dict(lists.dtypes)["_listed"])), parsed=True))
     allergy = medication.allergy_match(F.col("claim_text"), F.col("allergies"))
     staged = met.withColumn("_med", med).withColumn("_all", allergy)
     status = domains.record_check(F.col("claim_type"), F.col("_med"), F.col("_all"), domains.none_known(F.col("claim_text")), F.size(F.coalesce("allergies", F.array().cast("array<string>"))) > 0)
-    return staged.withColumn("ehr_status", F.when(F.col("_known").isNull(), "ehr_unavailable").otherwise(status)).withColumn("ehr_match", F.when(F.col("claim_type") == "medication", F.col("_med.matched")).when(F.col("claim_type") == "allergy", F.col("_all.matched"))).withColumn("ehr_kind", F.when(F.col("claim_type") == "medication", F.col("_med.kind"))).drop("_med", "_all", "_known", "medications", "allergies")
+    return staged.withColumn("ehr_status", F.when(F.col("_known").isNull(), "ehr_unavailable").otherwise(status)).withColumn("ehr_match", F.when(F.col("claim_type") == "medication", F.col("_med.matched")).when(F.col("claim_type") == "allergy", F.col("_all.matched"))).withColumn("ehr_kind", F.when(F.col("claim_type") == "medication", F.col("_med.kind"))).drop("_med", "_all", "_known", "_own", "_listed", "allergies")
 
 
 def against_transcript(claims: DataFrame, transcripts: DataFrame, note: str = "note_id") -> DataFrame:
