@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import packs
 from ..operators import governance
 from .entropy_queries import _CLAIMS, document_claims
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 @query(f"""

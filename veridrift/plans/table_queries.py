@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import terminology
-from ..operators import bootstrap, history, numbering
+from ..functions import table_functions, terminology
+from ..operators import bootstrap, history, numbering, stages
 from ..sources import ledger, records
 from ..sources.shared import shared_path
 from ..streaming import monitors, outcome_store
+from .governance_queries import ORACLES
 from .registry import query, table
 
 
@@ -183,3 +185,40 @@ def finding_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("study_id"), F.col("o_orderdate").alias("study_date"), findings.alias("findings"), F.when(F.col("o_totalprice") < 200_000, "cough after trauma").otherwise("").alias("indication"), F.array().cast("array<string>").alias("symptoms"))
     found = history.integrate(orders, orders.select("patient_id", "study_id", "study_date", "findings"))
     return found.select("study_id", "finding", "change", "correlation", "first_prior", "latest_prior", "risk_modifier")
+
+
+@query(f"""
+WITH {_DIVERSE}, r AS (SELECT d.doc_id, {_RATIO} AS p, quality AS y FROM d JOIN labels USING (doc_id) WHERE len(w) > 0),
+s AS (SELECT abs(p - y) AS s, row_number() OVER (ORDER BY abs(p - y)) AS rn, count(*) OVER () AS n FROM r), th AS (SELECT s AS t FROM s WHERE rn = greatest(1, least(ceil(least(1.0::DOUBLE, 0.9::DOUBLE * (1 + 1.0::DOUBLE / n)) * n), n))),
+k AS (SELECT least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n, avg(y) AS m FROM r GROUP BY 1)
+SELECT doc_id, round(greatest(0.0, p - t), 6) AS lower, round(least(1.0, p + t), 6) AS upper, round(CASE WHEN n >= 5 THEN round(m, 10) ELSE p END, 6) AS calibrated FROM r JOIN k ON k.bin = least(CAST(floor(p * 10) AS INT), 9), th
+""")
+def fitted_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _diversity(spark, sf_dir)
+    chosen = [stages.stage("conformal", inputCol="p", labelCol="y", target=0.9), stages.stage("histogram", inputCol="p", labelCol="y", bins=10, least=5)]
+    path = shared_path(spark)
+    Pipeline(stages=chosen).fit(rows).save(path)
+    told = PipelineModel.load(path).transform(rows)
+    return told.select("doc_id", F.round("interval.lower", 6).alias("lower"), F.round("interval.upper", 6).alias("upper"), F.round("calibrated", 6).alias("calibrated"))
+
+
+@query(ORACLES["healthcare_domain_claims"].replace("SELECT p_partkey, printf", "SELECT p_partkey, CAST(pos AS INT) AS pos, printf").split(", CASE WHEN c.k IN ('medication'")[0] + " FROM u")
+def lateral_domain_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = spark.newSession()
+    table_functions.register(session)
+    size = "CAST(p_size + 50 AS STRING)"
+    text = f"concat('Diagnoses\\n- ', p_name, ' tablet 5 mg\\nBP 120/', {size}, ' HR ', {size}, '. Allergic to penicillin. Sulfa (rash). 2+ pitting edema of both legs.')"
+    table(session, sf_dir, "part").selectExpr("p_partkey", f"{text} AS t").createOrReplaceTempView("notes")
+    return session.sql("SELECT p_partkey, c.pos, c.claim_id, c.claim_type, c.claim_text FROM notes, LATERAL domain_claims(t, 'healthcare') AS c")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents), g AS (SELECT *, max(CASE WHEN length(line) < 60 THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS at FROM l),
+s AS (SELECT g.doc_id, g.n, coalesce(regexp_replace(lower(k.line), '^\\s+|\\s+$', '', 'g'), 'general') AS section FROM g LEFT JOIN l k ON k.doc_id = g.doc_id AND k.n = g.at WHERE length(g.line) >= 60)
+SELECT doc_id, section, CAST(count(*) AS INT) AS n_lines, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY min(n)) - 1 AS INT) AS pos FROM s GROUP BY doc_id, section
+""")
+def lateral_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session = spark.newSession()
+    table_functions.register(session)
+    table(session, sf_dir, "documents").createOrReplaceTempView("documents")
+    return session.sql("SELECT doc_id, s.section, s.n_lines, s.pos FROM documents, LATERAL text_sections(text, 60) AS s")
