@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, normalized, shared_words, words
+from .text import any_of, normalized
 
 # Patterns of personal health information, first hit decides.
 PHI = {
@@ -111,20 +111,6 @@ def fee_parts(text: Column) -> Column:
     return F.struct(F.coalesce(points, _part(text, r"(\d+(?:\.\d+)?)\s*%", 1).cast("double")).alias("fee_amount"), kind.alias("fee_type"))
 
 
-def generic_check(claim: Column, source: Column, cut: float = 0.7) -> Column:
-    """``struct(passed, confidence, risk, status)``: contained, or by the share of the claim's words in the source."""
-    c, s = F.lower(claim), F.lower(source)
-    wc = words(claim)
-    share = F.when(F.size(wc) > 0, shared_words(wc, words(source)) / F.size(wc)).otherwise(0.0)
-    inside = F.contains(s, c)
-    return F.struct(
-        (inside | (share > cut)).alias("passed"),
-        F.when(inside, 1.0).when(share > cut, share).otherwise(0.0).alias("confidence"),
-        F.when(inside | (share > cut), "low").otherwise("medium").alias("risk"),
-        F.when(inside, "verified").when(share > cut, "partial").otherwise("not_found").alias("status"),
-    )
-
-
 def case_check(parts: Column, source: Column) -> Column:
     """``struct(passed, confidence, risk, status, fabricated, warnings)`` of a case citation against its source."""
     s, name = F.lower(source), F.lower(parts["case_name"])

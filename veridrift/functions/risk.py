@@ -117,6 +117,11 @@ def needs_entropy(status: Column) -> Column:
     return status != "verified"
 
 
+def should_run_entropy(status: Column, verified: bool = False, contradicted: bool = True, not_found: bool = True) -> Column:
+    """Whether a claim's entropy is computed, as set for each status; other statuses (null too) always are."""
+    return F.when(status == "verified", verified).when(status == "contradicted", contradicted).when(status == "not_found", not_found).otherwise(True)
+
+
 def log_score(entropy: Column, uncertainty: Column, confidence: Column) -> Column:
     """The first of these that is neither null nor 0; the last as it is."""
     return F.coalesce(F.nullif(entropy, F.lit(0.0)), F.nullif(uncertainty, F.lit(0.0)), confidence)

@@ -105,11 +105,3 @@ def context_window(text: Column, at: Column, before: int, after: int) -> Column:
 
 def slug(c: Column | str) -> Column:
     return F.regexp_replace(normalized(c), r"[\s\-/]+", "_")
-
-
-def expand_abbreviations(c: Column | str, table: dict[str, str]) -> Column:
-    """Replace whole words, one entry after another, so that expansions can match again."""
-    out = _col(c)
-    for short, long in table.items():
-        out = F.regexp_replace(out, rf"(?i)\b{short}\b", long)
-    return out

@@ -45,7 +45,7 @@ def redact(df: DataFrame, columns: list[str], nested: str | None = None) -> Data
 
 
 def audit_entry(claims: DataFrame, key: str) -> DataFrame:
-    """One entry for a note: its flagged claims, how many need more than a brief review, and the frameworks it answers to."""
+    """One entry for a note: its flagged claims, how many need more than a brief review, and how many it has."""
     flagged = F.collect_list(F.when(F.size("flags") > 0, F.struct("claim_id", "flags")))
     return claims.groupBy(key).agg(F.array_sort(flagged).alias("flagged"), F.count_if(F.col("review_tier") != "brief").alias("needs_review"), F.count("*").alias("n_claims"))
 

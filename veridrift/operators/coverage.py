@@ -47,6 +47,15 @@ def calibration_stats(predictions: DataFrame, outcomes: DataFrame, key: str, tar
     return per.withColumn("alert", F.when(gap > 0.1, "critical").when(gap > 0.05, "warning").otherwise("none"))
 
 
+def coverage_alerts(stats: DataFrame, window: int = 100, target: float = 0.9, cut: float = 0.05) -> DataFrame:
+    """Alerts of keys in ``calibration_stats`` whose coverage has dropped: ``key.., severity, message, recommendation``; none before half a window of outcomes."""
+    gap = F.lit(target) - F.col("coverage")
+    hit = stats.where((F.col("n_outcomes") >= window // 2) & (gap > cut))
+    worse = gap > 2 * cut
+    message = F.format_string(f"Coverage dropped to %.1f%% (target: {target * 100:.1f}%%)", F.col("coverage") * 100)
+    return hit.withColumns({"severity": F.when(worse, "critical").otherwise("warning"), "message": message, "recommendation": F.when(worse, "URGENT: Recalibrate model immediately").otherwise("Consider recalibration within 1 week")})
+
+
 def newest(df: DataFrame, order: str, tie: str, n: int) -> DataFrame:
     """The n most recent rows."""
     return df.orderBy(F.desc(order), F.desc(tie)).limit(n)

@@ -53,6 +53,11 @@ def severity(psi_value: Column) -> Column:
     return F.when(psi_value >= 0.5, "critical").when(psi_value >= 0.3, "high").when(psi_value >= 0.2, "medium").otherwise("low")
 
 
+def feature_severity(psi_value: Column) -> Column:
+    """Severity of a single feature's check, which has a low band of its own from 0.1."""
+    return F.when(psi_value >= 0.2, severity(psi_value)).when(psi_value >= 0.1, "low").otherwise("none")
+
+
 def drift_report(df: DataFrame, feature: str, value: str, is_current: Column, psi_cut: float = 0.2, ks_cut: float = 0.1) -> DataFrame:
     """``feature, psi, ks, drifted, severity`` of each feature; severity is ``none`` where nothing drifted."""
     both = psi(df, feature, value, is_current).join(ks(df, feature, value, is_current), feature)

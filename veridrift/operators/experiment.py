@@ -74,3 +74,10 @@ def summary(results: DataFrame) -> DataFrame:
         F.count_if("set_review").alias("set_reviews"),
         F.count_if(F.col("point_risk") == F.col("top_class")).alias("agree"),
     )
+
+
+def distributions(results: DataFrame) -> DataFrame:
+    """``measure, value, n``: how many cases have each status, point risk, set size and review, counted before the shuffle."""
+    measures = {"status": F.col("status"), "point_risk": F.col("point_risk"), "set_size": F.col("set_size").cast("string"), "point_review": F.col("point_review").cast("string"), "set_review": F.col("set_review").cast("string")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), value.alias("value")) for name, value in measures.items()]))
+    return results.select(pairs.alias("m")).groupBy("m.measure", "m.value").agg(F.count("*").alias("n"))

@@ -105,11 +105,3 @@ def capped_history(predictions: DataFrame, key: str, order: str, capacity: int =
 
 def escalated(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(F.size("escalation") > 0).withColumn("escalation_reason", F.array_join("escalation", "; "))
-
-
-def sources_allowed(identifier: Column, domains: list[str]) -> Column:
-    """Whether a source is of an authoritative domain."""
-    out = F.lit(False)
-    for d in domains:
-        out = out | F.contains(F.lower(identifier), F.lit(d.lower()))
-    return out

@@ -98,3 +98,51 @@ def recommendations(claims: DataFrame, key: str) -> DataFrame:
         )
     )
     return per.select(key, F.when(F.size(messages) > 0, messages).otherwise(F.array(F.lit("Routine review is sufficient"))).alias("recommendations"))
+
+
+# What is recommended, with the number of claims.
+CRITICAL_CLAIMS = "🚨 CRITICAL: %d claim(s) are confident but contradict EHR. Verify with patient before signing."
+HIGH_CLAIMS = "⚠️ HIGH RISK: %d claim(s) need careful review."
+FABRICATED_CLAIMS = "🔍 HHEM ALERT: %d claim(s) not in EHR and not supported by transcript. Likely fabricated."
+NEW_CLAIMS = "ℹ️ NEW INFO: %d claim(s) not in EHR but supported by transcript. EHR may need updating."
+OPEN_CLAIMS = "ℹ️ UNRESOLVED: %d claim(s) not in EHR, partially supported by transcript. Review recommended."
+ALL_WELL = "✅ All claims verified or low risk. Safe for routine review."
+
+
+def document_recommendations(claims: DataFrame, key: str, order: str = "claim_id") -> DataFrame:
+    """``key, overall_risk, recommendations`` from ``claim_text, status, risk, faithfulness, faithfulness_score`` of a document's claims.
+
+    Messages come in the order of urgency; critical and fabricated claims are listed below theirs, in ``order``. A document whose
+    worst risk is low (or minimal) is safe. Texts of claims with neither are not gathered.
+    """
+    missing, level = F.col("status") == "not_found", F.col("faithfulness")
+    fabricated, backed = missing & level.isin("likely_hallucinated", "hallucinated"), missing & (level == "faithful")
+    listed = lambda condition, text: F.array_sort(F.collect_list(F.when(condition, F.struct(F.col(order).alias("o"), text.alias("t")))))
+    shown = F.concat(F.lit("   • "), "claim_text")
+    per = claims.groupBy(key).agg(
+        worst(F.col("risk")).alias("overall_risk"),
+        listed(F.col("risk") == "critical", shown).alias("_critical"),
+        F.count_if(F.col("risk") == "high").alias("_high"),
+        listed(fabricated, F.concat(shown, F.format_string(" (HHEM=%.2f)", "faithfulness_score"))).alias("_made"),
+        F.count_if(backed).alias("_new"),
+        F.count_if(missing & ~F.coalesce(fabricated, F.lit(False)) & ~F.coalesce(backed, F.lit(False))).alias("_open"),
+    )
+    none = F.array().cast("array<string>")
+    say = lambda n, text, more=none: F.when(n > 0, F.concat(F.array(F.format_string(text, n)), more)).otherwise(none)
+    texts = lambda c: F.transform(c, lambda x: x["t"])
+    messages = F.concat(
+        say(F.size("_critical"), CRITICAL_CLAIMS, texts("_critical")),
+        say(F.col("_high"), HIGH_CLAIMS),
+        say(F.size("_made"), FABRICATED_CLAIMS, texts("_made")),
+        say(F.col("_new"), NEW_CLAIMS),
+        say(F.col("_open"), OPEN_CLAIMS),
+        F.when(F.col("overall_risk").isin("minimal", "low"), F.array(F.lit(ALL_WELL))).otherwise(none),
+    )
+    return per.select(key, "overall_risk", messages.alias("recommendations"))
+
+
+def claim_summary(claims: DataFrame, key: str) -> DataFrame:
+    """``key, total_claims, by_type`` (a map), ``high, medium, low, high_risk_claims`` (ids, sorted) of a note's claims."""
+    kinds = claims.groupBy(key, "claim_type").agg(F.count("*").alias("n"), *[F.count_if(F.col("risk") == r).alias(r) for r in ("high", "medium", "low")], F.collect_list(F.when(F.col("risk") == "high", F.col("claim_id"))).alias("ids"))
+    by_type = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("claim_type").isNotNull(), F.struct("claim_type", "n")))))
+    return kinds.groupBy(key).agg(F.sum("n").alias("total_claims"), by_type.alias("by_type"), *[F.sum(r).alias(r) for r in ("high", "medium", "low")], F.array_sort(F.flatten(F.collect_list("ids"))).alias("high_risk_claims"))

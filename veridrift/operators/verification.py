@@ -151,14 +151,14 @@ def rule_violations(values: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     )
 
 
-def check_rules(values: DataFrame, rules: DataFrame, key: str, custom: dict[str, Column] | None = None, strict: bool = False) -> DataFrame:
+def check_rules(values: DataFrame, rules: DataFrame, key: str, custom: dict[str, Column] | None = None, strict: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """``key, n_validated, n_passed, is_valid, failures, warnings`` of ``key, input, value`` (value as text) against ``rules``, a table of at most a few hundred rows.
 
     ``rules``: ``input, kind, low, high, expected, allow, severity``. Kinds: ``range`` (null or no number fails, a null bound is none),
     ``type`` (``expected`` double, bigint or boolean, by whether the text casts; null passes only with ``allow``), ``required`` (null and
     blank fail, zero too unless ``allow``) and ``custom`` (``expected`` names a condition of ``custom`` over ``value``; one that is null, as of
     text that does not cast, fails). An input with a ``required`` rule and no row for a key fails as critical. Inputs without rules are not
-    counted. Failures and warnings are sorted ``input:kind``. ``strict``: warnings make a row invalid too.
+    counted. ``keys`` (a table with ``key``) adds keys that have no row at all, whose required inputs are all missing. Failures and warnings are sorted ``input:kind``. ``strict``: warnings make a row invalid too.
     """
     v, number = F.col("value"), F.expr("try_cast(value as double)")
     in_range = number.isNotNull() & ~F.coalesce((number < F.col("low")) | (number > F.col("high")), F.lit(False))
@@ -180,7 +180,8 @@ def check_rules(values: DataFrame, rules: DataFrame, key: str, custom: dict[str,
         F.collect_list(F.when(F.col("bad") & (F.col("severity") == "warning"), F.concat_ws(":", "input", "kind"))).alias("w"),
     )
     needed = rules.where(kind == "required").select(F.collect_set("input").alias("_needed"))
-    per = values.select(key).distinct().join(
+    known = values.select(key) if keys is None else values.select(key).union(keys.select(key))
+    per = known.distinct().join(
         each.groupBy(key).agg(F.count("*").alias("n_validated"), F.count_if(~F.col("bad")).alias("n_passed"), F.flatten(F.collect_list("f")).alias("f"), F.flatten(F.collect_list("w")).alias("w"), F.collect_set("input").alias("seen")), key, "left"
     )
     none = F.array().cast("array<string>")
