@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
-#: A file is closed once its compressed records reach this, a shard holds about this much payload.
-FILE_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+#: A file is closed once its compressed records reach this; a shard holds about this much payload, so several files.
+FILE_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
 #: Ranges of page ids counted first to place the cuts between shards, and what a record counts besides its payload.
 RANGES, RECORD_BYTES = 16_384, 512
 LEVEL = 4
