@@ -29,19 +29,17 @@ def plain(text, rules):
             for line in text.split("\n"):
                 m = re.match(r.pattern, line.strip())
                 if m and len(m[1].strip()) >= r.least and (not r.also or re.search(r.also, m[1])):
-                    out.append((r.claim_type, m[1].strip(), None, None))
+                    out.append((r.claim_type, m[1].strip(), None, None, m[1].strip()))
             continue
         for m in re.finditer(r.pattern, text):
             said = m[0].strip()
-            if r.kind == "context":
-                said = text[max(0, m.start() - r.before) : m.end() + r.after].strip()
-            elif r.kind == "groups" and m.groups():
+            if r.kind == "groups" and m.groups():
                 said = r.joint.join(g or "" for g in m.groups()).strip()
             if r.label:
                 said = f"{r.label}: {said}"
             if said and not (r.distinct and (r.claim_type, said.lower()) in seen):
                 seen.add((r.claim_type, said.lower()))
-                out.append((r.claim_type, said, m.start(), m.end()))
+                out.append((r.claim_type, said, m.start(), m.end(), text[max(0, m.start() - r.before) : m.end() + r.after].strip() if r.kind == "context" else said))
     return out
 
 
@@ -86,8 +84,8 @@ def test_heaviest_disjoint_claims():
 
 def test_domain_claims_number_each_text(spark):
     df = spark.createDataFrame([(1, "25 bps. It will grow. 25 BPS"), (2, None), (3, "nothing")], "k long, t string")
-    got = [(r.k, r.claim_id, r.claim_text, r.start, r.risk) for r in governance.domain_claims(df, "k", "t", packs.FINANCE).collect()]
-    assert got == [(1, "finance_000_fee_disclosure", "25 bps", 0, "critical"), (1, "finance_001_forward_looking", "25 bps. It will grow. 25 BPS", 11, "high")]
+    got = [(r.k, r.claim_id, r.claim_text, r.context, r.start, r.risk) for r in governance.domain_claims(df, "k", "t", packs.FINANCE).collect()]
+    assert got == [(1, "finance_000_fee_disclosure", "25 bps", "25 bps", 0, "critical"), (1, "finance_001_forward_looking", "will grow", "25 bps. It will grow. 25 BPS", 11, "high")]
 
 
 def test_pattern_claims_keep_their_rules(spark):

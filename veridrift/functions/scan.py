@@ -57,7 +57,7 @@ def _needed(parsed: list) -> frozenset[str] | None:
 class Rule:
     """A pattern of a claim type and what of a match is the claim.
 
-    ``kind``: ``match`` (all of it), ``context`` (with ``before`` and ``after`` characters around), ``groups`` (joined by ``joint``, after
+    ``kind``: ``match`` (all of it), ``context`` (all of it, and as context ``before`` and ``after`` characters around it), ``groups`` (joined by ``joint``, after
     ``label``), ``line`` (group 1 of a stripped line that matches; ``also`` must be found in it, ``given`` somewhere in the lower-cased
     text). ``distinct``: a text already found for the claim type, in any case, is left out. ``anchor`` and ``lead``: a part that every match
     has, and the characters that (but for blanks and one ``joint``) stand before it within one, so that the pattern is tried only there.
@@ -132,8 +132,8 @@ class Scanner:
                     yield m
                     break
 
-    def claims(self, text: str) -> list[tuple[str, str, int | None, int | None]]:
-        """``(claim_type, claim_text, start, stop)`` in the order of rules and places."""
+    def claims(self, text: str) -> list[tuple[str, str, int | None, int | None, str]]:
+        """``(claim_type, claim_text, start, stop, context)`` in the order of rules and places; the context is the text itself where a rule has none."""
         wanted, out, seen, lines, lower = self.candidates(text), [], set(), None, None
         for k, (rule, pattern, also, _) in enumerate(self.rules):
             if k not in wanted:
@@ -148,12 +148,10 @@ class Scanner:
                     m = pattern.match(line)
                     said = m.group(1).strip() if m else ""
                     if len(said) >= rule.least and (also is None or also.search(said)):
-                        out.append((rule.claim_type, said, None, None))
+                        out.append((rule.claim_type, said, None, None, said))
                 continue
             for m in self.matches(k, text):
-                if rule.kind == "context":
-                    said = text[max(0, m.start() - rule.before) : m.end() + rule.after].strip()
-                elif rule.kind == "groups":
+                if rule.kind == "groups":
                     said = rule.joint.join(g or "" for g in m.groups()) if m.groups() else m.group()
                     said = f"{rule.label}: {said}" if rule.label else said.strip()
                 else:
@@ -164,7 +162,8 @@ class Scanner:
                     if (rule.claim_type, said.lower()) in seen:
                         continue
                     seen.add((rule.claim_type, said.lower()))
-                out.append((rule.claim_type, said, m.start(), m.end()))
+                around = text[max(0, m.start() - rule.before) : m.end() + rule.after].strip() if rule.kind == "context" else said
+                out.append((rule.claim_type, said, m.start(), m.end(), around))
         return out
 
 

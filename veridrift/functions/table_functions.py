@@ -29,7 +29,7 @@ class DomainClaims:
     def analyze(text: AnalyzeArgument, domain: AnalyzeArgument) -> AnalyzeResult:
         if not domain.isConstantExpression or domain.value not in PACKS:
             raise ValueError(f"the domain must be one of {', '.join(sorted(PACKS))}")
-        return _shape(pos=int, claim_id=str, claim_type=str, claim_text=str, start=int, stop=int)
+        return _shape(pos=int, claim_id=str, claim_type=str, claim_text=str, start=int, stop=int, context=str)
 
     def __init__(self) -> None:
         self.scanners: dict[str, Scanner] = {}

@@ -67,21 +67,20 @@ def verify_responses(responses: DataFrame, sources: DataFrame, domain: str, key:
     Claims are found by ``domain_claims`` in one scan and checked against the key's ``source`` (``sources``: key, ``source`` and,
     with ``numbers``, maps ``returns`` and ``fees``). A key without a source is checked against an empty one.
     """
-    found = governance.domain_claims(responses, key, text, packs.PACKS[domain])
+    found = governance.domain_claims(responses, key, text, packs.PACKS[domain])  # checked with their context
     columns = [F.col("source"), *([F.col("returns"), F.col("fees")] if numbers else [])]
     met = found.join(sources.select(key, *columns), key, "left").join(responses.select(key, F.col(text).alias("_response")), key)
     source = F.coalesce("source", F.lit(""))
-    matched = F.when(F.col("start").isNotNull(), F.substring("_response", F.col("start") + 1, F.col("stop") - F.col("start"))).otherwise("")
-    kind, claim, none = F.col("claim_type"), F.col("claim_text"), F.lit(None).cast("map<string,double>")
+    kind, claim, matched, none = F.col("claim_type"), F.col("context"), F.col("claim_text"), F.lit(None).cast("map<string,double>")
     if domain == "healthcare":
         verdict = verifiers.healthcare(kind, claim, source)
     elif domain == "legal":
-        verdict = verifiers.legal(kind, claim, source, F.trim(matched))
+        verdict = verifiers.legal(kind, claim, source, matched)
     else:
         returns, fees = (F.col("returns"), F.col("fees")) if numbers else (none, none)
-        verdict = verifiers.finance(kind, claim, source, F.trim(matched), F.col("_response"), returns, fees)
+        verdict = verifiers.finance(kind, claim, source, matched, F.col("_response"), returns, fees)
     out = met.withColumn("_v", verdict)
-    return out.select(key, "pos", "claim_id", "claim_type", "claim_text", "_v.status", "_v.passed", "_v.confidence", F.col("_v.risk").alias("claim_risk"), "_v.warnings", "_v.flagged")
+    return out.select(key, "pos", "claim_id", "claim_type", "claim_text", "context", "_v.status", "_v.passed", "_v.confidence", F.col("_v.risk").alias("claim_risk"), "_v.warnings", "_v.flagged")
 
 
 def govern_responses(verified: DataFrame, key: str, domain: str, entropies: DataFrame | None = None) -> DataFrame:

@@ -67,7 +67,7 @@ def _claims_sql(key: str, prefix: str) -> str:
     """Claims of a list ``c`` of ``k`` (type), ``m`` (match, null if none), ``b`` and ``a`` (context, null for the match itself) in the text ``t``."""
     return f"""
 f AS (SELECT {key}, t, list_filter(c, lambda x: x.m IS NOT NULL) AS c FROM p), u AS (SELECT {key}, t, unnest(c) AS c, unnest(range(len(c))) AS pos FROM f)
-SELECT {key}, printf('{prefix}_%03d_%s', pos, c.k) AS claim_id, c.k AS claim_type, CASE WHEN c.b IS NULL THEN c.m ELSE trim(substr(t, greatest(1, instr(t, c.m) - c.b), instr(t, c.m) + length(c.m) + c.a - greatest(1, instr(t, c.m) - c.b))) END AS claim_text"""
+SELECT {key}, printf('{prefix}_%03d_%s', pos, c.k) AS claim_id, c.k AS claim_type, c.m AS claim_text, CASE WHEN c.b IS NULL THEN c.m ELSE trim(substr(t, greatest(1, instr(t, c.m) - c.b), instr(t, c.m) + length(c.m) + c.a - greatest(1, instr(t, c.m) - c.b))) END AS context"""
 
 
 @query(f"""
@@ -81,7 +81,7 @@ def finance_domain_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(F.lit("It returned "), size, F.lit("% with an expense ratio of 0.5%, low risk, and will grow. "), "p_name")
     two = F.concat(F.lit("An annualized gain of "), size, F.lit("% after a fee of $"), size, F.lit(" and a front-end load of 2%; suitable for investors with a growth objective. Guaranteed income. "), "p_name")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two).alias("t"))
-    return governance.domain_claims(rows, "p_partkey", "t", packs.FINANCE).select("p_partkey", "claim_id", "claim_type", "claim_text", "start", "risk")
+    return governance.domain_claims(rows, "p_partkey", "t", packs.FINANCE).select("p_partkey", "claim_id", "claim_type", "claim_text", "context", "start", "risk")
 
 
 @query(f"""
@@ -93,7 +93,7 @@ def legal_domain_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     text = F.concat(F.lit("In Ring v. Widget, "), (F.col("p_size") + 100).cast("string"), F.lit(" F.3d "), key, F.lit(" (Cir 1999), under "), size, F.lit(" U.S.C. § 9a, the statute of limitations is "), size, F.lit(" years and governing law applies. "), "p_name", F.lit(" See Widget, supra; personal jurisdiction."))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("t"))
-    return governance.domain_claims(rows, "p_partkey", "t", packs.LEGAL).select("p_partkey", "claim_id", "claim_type", "claim_text", "risk")
+    return governance.domain_claims(rows, "p_partkey", "t", packs.LEGAL).select("p_partkey", "claim_id", "claim_type", "claim_text", "context", "risk")
 
 
 @query("""
