@@ -1,6 +1,7 @@
 """Repeats, packing, archives, search and the pipeline against brute force and exact round trips."""
 
 import random
+import time
 from collections import defaultdict
 
 import duckdb
@@ -91,6 +92,24 @@ def test_hot_passages_and_very_long_texts(spark, monkeypatch, cut):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, " ".join(r.kept_text.split())) for r in got), key=str) == brute_cut(rows, 13)
 
 
+@pytest.mark.parametrize("cut", [substring_dedup.remove_repeats, suffix_dedup.remove_passages])
+def test_many_rows_of_one_id_take_linear_work(spark, cut):
+    """10,000 rows under two ids take at most twice the time of rows with ids of their own (and some seconds of slack)."""
+    rng = random.Random(11)
+    passages = [[f"p{k}x{j}" for j in range(20)] for k in range(300)]
+    texts = [" ".join([f"u{rng.randint(0, 50_000)}" for _ in range(25)] + rng.choice(passages) + [f"v{rng.randint(0, 50_000)}" for _ in range(15)]) for _ in range(4_900)]
+    texts += texts[:50] * 2  # rows repeated as a whole
+    rng.shuffle(texts)
+    seconds = {}
+    for ids, rows in (("own", [(i, t) for i, t in enumerate(texts * 2)]), ("two", [(i, t) for i in (7, 9) for t in texts])):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        begun = time.monotonic()
+        got = cut(docs, window=13).collect()
+        seconds[ids] = time.monotonic() - begun
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, " ".join(r.kept_text.split())) for r in got), key=str) == brute_cut(rows, 13)
+    assert seconds["two"] <= 2 * seconds["own"] + 5
+
+
 @pytest.mark.parametrize("window,gram", [(6, 2), (5, 5), (9, 3)])
 def test_places_of_one_hash_are_told_apart_by_their_words(window, gram):
     """Were all grams hashed to one key, the groups would still give what brute force gives."""

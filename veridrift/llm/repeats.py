@@ -25,10 +25,10 @@ from .words import WORD, covered, hashed_windows, hashed_words
 #: Keys, and bytes of surroundings, that a task reduces at a time.
 _HELD, _HELD_BYTES = 1 << 20, 12 << 20
 _WINDOWS = 1 << 16
-#: Grams of more documents than this are hot: each of their windows is compared on its own. At most ``HOT_KEYS`` of them
+#: Grams of more rows than this are hot: each of their windows is compared on its own. At most ``HOT_KEYS`` of them
 #: (8 MB) are broadcast, the commonest first, so any other gram has less than one in so many of all occurrences.
 HOT, HOT_KEYS = 4096, 1 << 20
-_KEYED = "key long, doc_id long, docs long, known boolean"
+_KEYED = "key long, row long, n long, known boolean"
 
 
 @dataclass(frozen=True)
@@ -48,11 +48,11 @@ class Shape:
         return grams, np.concatenate(least)
 
 
-def _reduced(keys: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A row for each key with its least document and how many there are, and a known row for each document of keys that several have."""
+def _reduced(keys: list[np.ndarray], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each key with its least holder and how many there are, and a known row for each holder of keys that several have."""
     if not keys:
         return
-    k, d = np.concatenate(keys), np.concatenate(docs)
+    k, d = np.concatenate(keys), np.concatenate(held)
     order = np.lexsort((d, k))
     k, d = k[order], d[order]
     new = np.ones(len(k), bool)
@@ -64,47 +64,52 @@ def _reduced(keys: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.Reco
     several = ~(first & np.append(first[1:], True))
     for rows, count, flag in ((first, n, False), (several, np.zeros(several.sum(), np.int64), True)):
         if rows.any():
-            yield pa.record_batch([pa.array(k[rows].view(np.int64)), pa.array(d[rows]), pa.array(count), pa.array(np.full(rows.sum(), flag))], names=["key", "doc_id", "docs", "known"])
+            yield pa.record_batch([pa.array(k[rows].view(np.int64)), pa.array(d[rows]), pa.array(count), pa.array(np.full(rows.sum(), flag))], names=["key", "row", "n", "known"])
 
 
 def _keyed(rows: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    keys, docs, held = [], [], 0
-    for doc, own in rows:
+    keys, holders, held = [], [], 0
+    for row, own in rows:
         keys.append(own)
-        docs.append(np.full(len(own), doc, np.int64))
+        holders.append(np.full(len(own), row, np.int64))
         held += len(own)
         if held >= _HELD:
-            yield from _reduced(keys, docs)
-            keys, docs, held = [], [], 0
-    yield from _reduced(keys, docs)
+            yield from _reduced(keys, holders)
+            keys, holders, held = [], [], 0
+    yield from _reduced(keys, holders)
 
 
 def source_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, part, text`` of the rows with an id; ``part`` tells rows that share an id but not the text."""
-    return ids_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("part", F.xxhash64("text"))
+    """``doc_id, part, row, text`` of the rows with an id; ``part`` tells rows that share an id but not the text.
+
+    ``row`` stands for both where keys are counted, so an id that many rows share gathers no keys of all of them.
+    Equal texts under different ids never have one ``row``; two other rows have by a chance of 2**-64.
+    """
+    rows = ids_and_text(docs, id_col, text_col).where("doc_id is not null").withColumn("part", F.xxhash64("text"))
+    return rows.select("doc_id", "part", F.col("part").bitwiseXOR(F.col("doc_id")).alias("row"), "text")
 
 
 def shared_grams(rows: DataFrame, shape: Shape, resolve: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, keys`` (the grams at chosen places that several documents have), and the hot ones of all.
+    """``row, keys`` (the grams at chosen places that several rows have), and the hot ones of all.
 
-    ``resolve`` gets ``key, doc_id, docs`` (a few rows a key) and gives ``doc_id, key, total`` for the keys of several documents.
+    ``resolve`` gets ``key, row, n`` (a few rows a key) and gives ``row, key, total`` for the keys of several rows.
     """
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[int, np.ndarray]]:
             for batch in slices(batches):
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
+                for row, text in zip(batch.column("row").to_pylist(), texts(batch.column("text"))):
                     grams, at = shape.representatives(hashed_words(text))
                     if len(at):
-                        yield doc, grams[np.unique(at)]
+                        yield row, grams[np.unique(at)]
 
         yield from _keyed(each())
 
-    table = written(rows.select("doc_id", "text").mapInArrow(seeds, _KEYED))
-    told = written(resolve(table.where("not known").select("key", "doc_id", "docs")))
+    table = written(rows.select("row", "text").mapInArrow(seeds, _KEYED))
+    told = written(resolve(table.where("not known").select("key", "row", "n")))
     often = told.where(F.col("total") > HOT).select("key", "total").distinct().orderBy(F.desc("total"), "key").limit(HOT_KEYS)
     hot = np.array(sorted(r.key for r in often.select("key").collect()), np.int64)
-    shared = written(table.where("known").select("doc_id", "key").union(told.select("doc_id", "key")).groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    shared = written(table.where("known").select("row", "key").union(told.select("row", "key")).groupBy("row").agg(F.collect_set("key").alias("keys")))
     discard(table, told)
     return shared, hot
 
@@ -160,6 +165,7 @@ def placed(rows: DataFrame, shared: DataFrame, shape: Shape, hot: np.ndarray) ->
         def reduced() -> Iterator[pa.RecordBatch]:
             out = []
             for (key, gap, words), found in held.items():
+                found = set(found)  # rows may be repeated
                 least = min(found)[0]
                 # what is known needs no key: it only passes through, spread by document
                 out += [(key, gap, words, *f) if f[0] == least else (f[0], gap, None, *f) for f in found]
@@ -178,7 +184,7 @@ def placed(rows: DataFrame, shared: DataFrame, shape: Shape, hot: np.ndarray) ->
                         size = 0
         yield from reduced()
 
-    return rows.join(shared, "doc_id").select("doc_id", "part", "text", "keys").mapInArrow(run, PLACED)
+    return rows.join(shared, "row").select("doc_id", "part", "text", "keys").mapInArrow(run, PLACED)
 
 
 def runs(start: int, matched: list[bool]) -> Iterator[tuple[int, int]]:
@@ -197,8 +203,8 @@ def run_table(out: list[tuple]) -> pa.RecordBatch:
 
 
 def by_document(found: DataFrame) -> DataFrame:
-    """``doc_id, part, runs`` of rows like ``RUN``."""
-    return written(found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("start", "run")).alias("runs")))
+    """``doc_id, part, runs`` of rows like ``RUN``; repeated rows give theirs once."""
+    return written(found.groupBy("doc_id", "part").agg(F.collect_set(F.struct("start", "run")).alias("runs")))
 
 
 def _cut(text: str, found: pa.Scalar, window: int) -> tuple[int, int, list, str]:

@@ -16,10 +16,10 @@ WINDOW, GRAM = 13, 5
 
 
 def _joined(anchors: DataFrame) -> DataFrame:
-    """``doc_id, key, total`` of the anchors that several documents have."""
+    """``row, key, total`` of the anchors that several rows have."""
     own = Window.partitionBy("key")
-    picked = anchors.select("doc_id", "key", F.sum("docs").over(own).alias("total"), F.min("doc_id").over(own).alias("least"), F.max("doc_id").over(own).alias("most"))
-    return picked.where("least != most").select("doc_id", "key", "total")
+    picked = anchors.select("row", "key", F.sum("n").over(own).alias("total"), F.min("row").over(own).alias("least"), F.max("row").over(own).alias("most"))
+    return picked.where("least != most").select("row", "key", "total")
 
 
 class Extension:
@@ -104,12 +104,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     smaller id. Overlapping windows merge to maximal repeats. Windows are judged on the input.
     Hashes only bring occurrences together: words themselves are compared.
 
-    An anchor of more than ``repeats.HOT`` documents is extended to the whole window before the join, so
+    An anchor of more than ``repeats.HOT`` rows is extended to the whole window before the join, so
     no group holds more occurrences; equal windows are then reduced within tasks.
 
     Null and empty texts have no words. A row without an id is neither cut nor matched. Rows
     that share an id are each cut against smaller ids only, so a repeated row keeps what its
-    twin keeps. An empty table gives no rows; other columns are not read.
+    twin keeps; work grows with their number, as for rows of distinct ids. An empty table gives no rows; other columns are not read.
     """
     found = _found(docs, window, gram, id_col, text_col)
     return repeats.without_repeats(docs, found, window, id_col, text_col)

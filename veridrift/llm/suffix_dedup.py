@@ -17,7 +17,7 @@ WINDOW, PREFIX = 50, 16
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:
-    """``doc_id, key, total`` of the hashed prefixes that several documents have: range-sorted over the cluster, each compared with its neighbours."""
+    """``row, key, total`` of the hashed prefixes that several rows have: range-sorted over the cluster, each compared with its neighbours."""
 
     def settled(k: np.ndarray, d: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         first = np.ones(len(k), bool)
@@ -26,19 +26,19 @@ def _neighbours(keys: DataFrame) -> DataFrame:
         group = np.cumsum(first) - 1
         several = (np.maximum.reduceat(d, begin) > np.minimum.reduceat(d, begin))[group] if len(k) else first
         total = np.add.reduceat(n, begin)[group] if len(k) else n
-        return pa.record_batch([pa.array(d[several]), pa.array(k[several]), pa.array(total[several])], names=["doc_id", "key", "total"])
+        return pa.record_batch([pa.array(d[several]), pa.array(k[several]), pa.array(total[several])], names=["row", "key", "total"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "doc_id", "docs"))]
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "row", "n"))]
             end = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last key may go on in the next batch
             if end:
                 yield settled(*(h[:end] for h in held))
             held = [h[end:] for h in held]
         yield settled(*held)
 
-    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(compare, "doc_id long, key long, total long")
+    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(compare, "row long, key long, total long")
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -134,11 +134,11 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     removed if a window covers it that also starts in a document with a smaller id, so each
     passage stays in one document. Hashes only select: words themselves are compared.
 
-    Of a prefix that more than ``repeats.HOT`` documents have, the suffixes at each window are retained in its place and told
+    Of a prefix that more than ``repeats.HOT`` rows have, the suffixes at each window are retained in its place and told
     apart by all their words, so no class holds more suffixes; equal ones are reduced within tasks.
 
     Null and empty texts have no words. A row without an id is neither cut nor matched; rows
-    that share an id are each cut against smaller ids only. An empty table gives no rows; other
+    that share an id are each cut against smaller ids only, in work that grows with their number. An empty table gives no rows; other
     columns are not read.
     """
     return repeats.without_repeats(docs, _found(docs, window, prefix, id_col, text_col), window, id_col, text_col)
