@@ -267,9 +267,9 @@ def brute_top(rows, every, k):
     width = max((len(x) for _, x in good), default=0)
     good = [(i, np.pad(x, (0, width - len(x)))) for i, x in good]
     out = []
-    for q, x in good:
+    for at, (q, x) in enumerate(good):
         if q % every == 0:
-            best = sorted((-int(x @ y), i) for i, y in good if i != q)[:k]
+            best = sorted((-int(x @ y), i) for other, (i, y) in enumerate(good) if other != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -286,6 +286,20 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(r.rank for r in few) == [1, 2, 3]
 
 
+def test_top_k_tells_rows_of_one_id_apart(spark, monkeypatch):
+    """Query ids in several rows, with equal and other vectors; every row asks, and finds its twins."""
+    for name, value in {"BLOCK_ROWS": 16, "GROUP_ROWS": 4}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.integers(-3, 4, 4).astype(float).tolist()) for i in rng.integers(0, 60, 150)]
+    rows += [(20, [3.0, 3.0, 3.0, 3.0])] * 3 + [(20, [-1.0, 2.0]), (40, [3.0, 3.0, 3.0, 3.0]), (41, [3.0] * 4), (41, [3.0] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(map(tuple, topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=10).collect()))
+    assert got == brute_top(rows, 20, 10)
+    only = topk.top_k(spark.createDataFrame(rows[-7:-4], vectors.schema), F.col("vec_id") == 20, k=10).collect()
+    assert sorted(map(tuple, only)) == sorted([(20, rank, 20, 36 * 1024 * 1024) for rank in (1, 2)] * 3)
+
+
 def check_tree(points):
     """Every node covers its points; children cover their parent's, centred more than its radius by ``BASE`` apart."""
     tree = topk.CoverTree(points)

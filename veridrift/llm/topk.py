@@ -112,8 +112,10 @@ class Best:
             self.bound[query] = max(self.bound[query], -kept[-1][0])
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, bound: np.ndarray, pruned: list[int] | None = None, tree: CoverTree | None = None) -> list[list[tuple[int, int]]]:
-    """For each query (-score, id) of its k best rows of ``data`` that reach ``bound``, its own id left out.
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, bound: np.ndarray, pruned: list[int] | None = None, tree: CoverTree | None = None, names: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
+    """For each query (-score, name) of its k best rows of ``data`` that reach ``bound``, the row of its own id left out.
+
+    ``names`` of the data's rows need not be unique and decide ties (the ids, if there are none).
 
     A node of the queries is taken down with all nodes of the data that it may still need; the larger ones are divided first. A pair of
     nodes is pruned (and counted in ``pruned``: pairs pruned, pairs scored) if their covering radii allow no score
@@ -125,6 +127,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
     exact_q, exact_d = (q, d) if most < 2.0**53 else (queries, data) if most < 2.0**62 else (queries.astype(object), data.astype(object))
     best = Best(len(queries), k, bound.astype(np.float64))
     counted = pruned if pruned is not None else [0, 0]
+    names = data_ids if names is None else names
 
     def allowed(a: int, bs: np.ndarray) -> np.ndarray:
         top = y.centers[bs] @ x.centers[a] + y.sizes[bs] * x.radii[a] + x.sizes[a] * y.radii[bs] + x.radii[a] * y.radii[bs]
@@ -156,11 +159,11 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
                 return
             counted[1] += end - at
             other = y.rows_of(bs[at:end])
-            scores, ids = exact_q[rows] @ exact_d[other].T, data_ids[other]
-            reached = (scores >= best.bound[rows][:, None]) & (ids != query_ids[rows][:, None])
+            scores, own = exact_q[rows] @ exact_d[other].T, names[other]
+            reached = (scores >= best.bound[rows][:, None]) & (data_ids[other] != query_ids[rows][:, None])
             for i in np.flatnonzero(reached.any(axis=1)):
                 good = scores[i][reached[i]]
-                best.offer(rows[i], good if good.dtype == object else good.astype(np.int64), ids[reached[i]])
+                best.offer(rows[i], good if good.dtype == object else good.astype(np.int64), own[reached[i]])
             at = end
 
     if len(queries) and len(data):
@@ -195,29 +198,31 @@ def _alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
 
 
-_MATCH = "query_id long, vec_id long, score long"
+_MATCH = "query_row long, vec_id long, score long"
 
 
-def _matches(found: list, query_ids: np.ndarray) -> pa.Table:
-    rows = [(q, i, -s) for q, own in zip(query_ids.tolist(), found) for s, i in own]
+def _matches(found: list, query_rows: np.ndarray) -> pa.Table:
+    rows = [(q, i, -s) for q, own in zip(query_rows.tolist(), found) for s, i in own]
     columns = list(zip(*rows)) or [[], [], []]
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_row", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``is_query`` (a condition on ``vec_id``) picks the k rows of highest inner product of components floor(1024 * x).
 
     The upper level of a cover tree (of a bounded sample) has cells, in which queries and data are placed together; cells are cut
-    into blocks of bounded size by id hash, however full. Each query first searches its own block,
+    into blocks of bounded size by row hash, however full. Each query first searches its own block,
     which gives its kth score so far. Then groups of a cell's queries are tested against the cells' covering radii;
     what a cell may hold is searched in its blocks: a cover tree of the group and one of the block are
     descended together, and node pairs are pruned against the worst kth score of the queries below. Vectors without
     clusters leave little to prune: then every group meets every block, which is quadratic work.
 
-    Ties go to the smaller id. A query's own id is never among its results. A vector shorter than
+    Ties go to the smaller id. A query's own row is never among its results. Rows are told apart, whatever their ids: of
+    rows that share a query's id each asks on its own and may find the others, so such an id has k results for
+    each of its rows, in which a rank comes once for each. A vector shorter than
     another counts as filled up with zeros; empty vectors score 0. Vectors null or holding null
     or non-finite components take no part, nor do rows without an id. Components from 2**52 on and scores that are no longs
-    fail the query. Repeated rows are ranked one by one. An empty table gives no rows; other columns are not read.
+    fail the query. An empty table gives no rows; other columns are not read.
     """
     rows = written(_vectors(vectors, id_col, vector_col))
     spark, n = rows.sparkSession, rows.count()
@@ -230,27 +235,28 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
             x, c = _alike(_matrix(batch.column("x")).astype(np.float64), centers.value)
             cell = ((c * c).sum(axis=1)[None, :] - 2 * x @ c.T).argmin(axis=1)
             apart = np.sqrt(((x - c[cell]) ** 2).sum(axis=1))
-            yield pa.record_batch([batch.column("vec_id"), batch.column("x"), pa.array(cell.astype(np.int32)), pa.array(apart)], names=["vec_id", "x", "cell", "apart"])
+            yield pa.record_batch([*(batch.column(c) for c in ("vec_id", "row", "x")), pa.array(cell.astype(np.int32)), pa.array(apart)], names=["vec_id", "row", "x", "cell", "apart"])
 
-    placed = written(rows.mapInArrow(place, "vec_id long, x array<long>, cell int, apart double"))
+    numbered = rows.select("vec_id", F.monotonically_increasing_id().alias("row"), "x")
+    placed = written(numbered.mapInArrow(place, "vec_id long, row long, x array<long>, cell int, apart double"))
     full = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("asked"), F.max("apart").alias("radius")).collect()  # CELLS rows at most
     cells = [(r.cell, max(1, -(-r.n // BLOCK_ROWS)), max(1, -(-r.asked // GROUP_ROWS))) for r in full]
     sizes = F.broadcast(spark.createDataFrame(cells, "cell int, parts int, groups int"))
-    hashed = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(count)).cast("int")
-    data = written(placed.join(sizes, "cell").select("vec_id", "x", "cell", hashed("parts", 1).alias("part"), hashed("groups", 2).alias("grp")))
+    hashed = lambda count, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(count)).cast("int")
+    data = written(placed.join(sizes, "cell").select("vec_id", "row", "x", "cell", hashed("parts", 1).alias("part"), hashed("groups", 2).alias("grp")))
     discard(rows, placed)
-    queries = again(data).where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "cell", "part", "grp")
+    queries = again(data).where(is_query).select(F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("x").alias("q"), "cell", "part", "grp")
 
     def in_own_block(asked: pa.Table, block: pa.Table) -> pa.Table:
         if not asked.num_rows or not block.num_rows:
             return _matches([], np.empty(0))
         q, d = _alike(_matrix(asked["q"].combine_chunks()), _matrix(block["x"].combine_chunks()))
-        ids = asked["query_id"].to_numpy()
-        return _matches(search(q, ids, d, block["vec_id"].to_numpy(), k, np.full(len(q), -np.inf)), ids)
+        ids = asked["query_row"].to_numpy()
+        return _matches(search(q, ids, d, block["row"].to_numpy(), k, np.full(len(q), -np.inf), names=block["vec_id"].to_numpy()), ids)
 
-    data = data.drop("grp")
-    own = written(queries.groupBy("cell", "part").cogroup(data.groupBy("cell", "part")).applyInArrow(in_own_block, _MATCH))
-    kth = own.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
+    data_rows, data = data, data.drop("grp")
+    own = written(queries.drop("query_id").groupBy("cell", "part").cogroup(data.groupBy("cell", "part")).applyInArrow(in_own_block, _MATCH))
+    kth = own.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
 
     def packed(group: pa.Table) -> pa.Table:
         q = _matrix(group["q"].combine_chunks())
@@ -259,10 +265,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         middle = q[_middle(q.astype(np.float64))].astype(np.float64)
         radius = float(np.sqrt(((q - middle) ** 2).sum(axis=1)).max())
         small = np.min_scalar_type(-int(np.abs(q).max(initial=1)) - 1)
-        row = {"from_cell": group["cell"][0].as_py(), "grp": group["grp"][0].as_py(), "ids": group["query_id"].to_pylist(), "kth": bound.tolist(), "own_part": group["part"].to_pylist()}
+        row = {"from_cell": group["cell"][0].as_py(), "grp": group["grp"][0].as_py(), "ids": group["query_row"].to_pylist(), "kth": bound.tolist(), "own_part": group["part"].to_pylist()}
         return pa.Table.from_pylist([row | {"width": q.shape[1], "kind": small.str, "q": q.astype(small).tobytes(), "middle": middle.tolist(), "radius": radius, "worst": float(bound.min())}], _GROUP)
 
-    groups = written(queries.join(kth, "query_id", "left").groupBy("cell", "grp").applyInArrow(packed, _GROUP_SQL))
+    groups = written(queries.drop("query_id").join(kth, "query_row", "left").groupBy("cell", "grp").applyInArrow(packed, _GROUP_SQL))
     slots = max(1, -(-sum(c[2] for c in cells) // SLOT_GROUPS))
     extents = spark.sparkContext.broadcast((np.array([r.cell for r in full], np.int64), np.array([r.radius for r in full], float), [c[1] for c in cells]))
 
@@ -287,7 +293,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
         if not asked.num_rows or not block.num_rows:
             return _matches([], np.empty(0))
         out = []
-        d, names = _matrix(block["x"].combine_chunks()), block["vec_id"].to_numpy()
+        d, own_rows, names = _matrix(block["x"].combine_chunks()), block["row"].to_numpy(), block["vec_id"].to_numpy()
         trees: dict[int, CoverTree] = {}  # by the width that vectors are filled up to
         for row in range(asked.num_rows):
             r = {c: asked[c][row].as_py() for c in ("ids", "kth", "own_part", "width", "kind", "q", "from_cell", "cell", "part")}
@@ -297,15 +303,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
             if new.any():
                 width = own_d.shape[1]
                 tree = trees[width] = trees.get(width) or CoverTree(own_d.astype(np.float64))
-                out.append(_matches(search(q[new], ids[new], own_d, names, k, bound[new], tree=tree), ids[new]))
+                out.append(_matches(search(q[new], ids[new], own_d, own_rows, k, bound[new], tree=tree, names=names), ids[new]))
         if not out:
             return _matches([], np.empty(0))
         return pa.concat_tables(out)
 
     in_slots = data.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
     others = met.groupBy("cell", "part", "slot").cogroup(in_slots.groupBy("cell", "part", "slot")).applyInArrow(in_block, _MATCH)
-    ranked = own.union(others).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = own.union(others).withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    asked = again(data_rows).where(is_query).select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return ranked.join(asked, "query_row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 _GROUP_SQL = "from_cell int, grp int, ids array<long>, kth array<double>, own_part array<int>, width int, kind string, q binary, middle array<double>, radius double, worst double"
