@@ -14,23 +14,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, free_name, ids_and_text, slices, texts, written
-from .words import WORD, covered, hashed_windows, hashed_words
+from .words import covered, hashed_windows, word_starts, word_sums
 
 #: Keys, and bytes of surroundings, that a task reduces at a time.
 _HELD, _HELD_BYTES = 1 << 20, 12 << 20
-_WINDOWS = 1 << 16
 #: Grams of more rows than this are hot: each of their windows is compared on its own. At most ``HOT_KEYS`` of them
 #: (8 MB) are broadcast, the commonest first, so any other gram has less than one in so many of all occurrences.
 HOT, HOT_KEYS = 4096, 1 << 20
 _KEYED = "key long, row long, n long, known boolean"
 
 
+def hashed_words(text: str) -> np.ndarray:
+    """Hashes by which places are chosen; words themselves are compared later."""
+    return word_sums(text.encode())
+
+
 @dataclass(frozen=True)
 class Shape:
     window: int
@@ -42,18 +45,28 @@ class Shape:
         reach = self.window - self.gram + 1
         if len(grams) < reach:
             return grams, np.empty(0, np.int64)
-        every = sliding_window_view(grams, reach)
-        # argmin copies what it is given, so long texts go in pieces
-        least = [every[a : a + _WINDOWS].argmin(axis=1) + np.arange(a, min(a + _WINDOWS, len(every))) for a in range(0, len(every), _WINDOWS)]
-        return grams, np.concatenate(least)
+        # the least of spans of 1, 2, 4, ... grams, then of two spans that cover the window; the first of equals
+        least, span = np.arange(len(grams)), 1
+        while span * 2 <= reach:
+            least = _less(grams, least[:-span], least[span:])
+            span *= 2
+        if span < reach:
+            least = _less(grams, least[: span - reach], least[reach - span :])
+        return grams, least
+
+
+def _less(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(grams[b] < grams[a], b, a)
 
 
 def _reduced(keys: list[np.ndarray], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """A row for each key with its least holder and how many there are, and a known row for each holder of keys that several have."""
     if not keys:
         return
-    k, d = np.concatenate(keys), np.concatenate(held)
-    order = np.lexsort((d, k))
+    holder = np.array([own[0] for own in held])
+    in_order = np.argsort(holder, kind="stable")
+    k, d = np.concatenate([keys[i] for i in in_order]), np.concatenate([held[i] for i in in_order])
+    order = np.argsort(k, kind="stable")  # so the holders of a key stay in order
     k, d = k[order], d[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
@@ -212,7 +225,7 @@ def _cut(text: str, found: pa.Scalar, window: int) -> tuple[int, int, list, str]
     raw = text.encode()
     if not found.is_valid:
         return len(raw.split()), 0, [], text
-    spans = [m.start() for m in WORD.finditer(raw)]
+    spans = word_starts(raw).tolist()
     starts = np.zeros(max(0, len(spans) - window + 1), bool)
     for r in found.as_py():
         starts[r["start"] : r["start"] + r["run"]] = True
