@@ -167,6 +167,8 @@ def keep_identified(docs: DataFrame, learned: dict[str, str], text_col: str = "t
 
     A document is rejected if it is ``und``, or if its best parse needs more than ``max_rate``
     phrases a letter (hardly any two letters in a row were learned: no language at all).
+    Null and empty texts, and all texts if nothing was learned, are ``und``. Rows without an id are
+    judged like others, repeated rows stay or go together, and an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, learned))

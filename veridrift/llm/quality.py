@@ -117,7 +117,8 @@ def _fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> Mod
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Fit on a bounded sample of labelled rows: ``SAMPLE_DOCS`` of each label at most, by hash.
 
-    A document with several labels takes the least. Documents or labels that are null are not
+    A document with several labels takes the least, one with several rows its least text, so what
+    reaches the driver is bounded however often an id repeats. Ids, texts and labels that are null are not
     learned from. With fewer than two labels the model keeps every document.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
@@ -141,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 val.append(np.concatenate([wn / (len(words) + SHRINK), cn / (len(chars) + SHRINK)]).astype(np.float32))
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["doc_id", "label", "idx", "val"])
 
-    found = ids_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").where(F.col("text").isNotNull())
+    found = ids_and_text(docs, id_col, text_col).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     table = found.mapInArrow(to_features, "doc_id long, label int, idx array<int>, val array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     examples = [(y.as_py(), i.values.to_numpy(), v.values.to_numpy()) for y, i, v in zip(table["label"], table["idx"], table["val"])]
     return _fitted(examples, prior) if examples else Model()
@@ -175,7 +176,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents whose verdict is kept, all columns unchanged."""
+    """The documents whose verdict is kept, all columns unchanged, whatever their names.
+
+    Null and empty texts have no words and go. Rows without an id are judged like others, repeated
+    rows stay or go together, and an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
