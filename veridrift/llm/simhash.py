@@ -583,7 +583,11 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
 
 
 def keep_one_copy(docs: DataFrame, similarity: float = SIMILARITY, size: int = COPY_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same for components of ``near_copies``."""
+    """The same for components of ``near_copies``.
+
+    Null and empty texts have no shingles and are copies of each other. Rows without an id stay; of rows
+    that share an id one stays at most. An empty table gives no rows; all columns stay, whatever their names.
+    """
     return _first_of_each(docs, near_copies(docs, similarity, size, id_col, text_col), id_col, text_col)
 
 

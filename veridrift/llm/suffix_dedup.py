@@ -145,5 +145,10 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
 
 def cut_passages(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with all columns, such passages cut out of the text."""
+    """The documents with all columns, such passages cut out of the text.
+
+    Texts without such a passage stay as they are, null and empty ones too; what a cut leaves may be
+    empty. Rows without an id are neither cut nor matched; rows that share an id are each cut against smaller ids only.
+    An empty table gives no rows, and columns keep their names whatever these are.
+    """
     return repeats.cut_in_place(docs, _found(docs, window, prefix, id_col, text_col), window, id_col, text_col)
