@@ -134,6 +134,17 @@ def test_places_of_one_hash_are_told_apart_by_their_words(window, gram):
         assert sorted(got, key=str) == want
 
 
+def test_merged_runs_hold_the_same_windows():
+    rng = random.Random(11)
+    for _ in range(200):
+        found = [(rng.randint(0, 2), rng.randint(-1, 1), rng.randint(0, 40), rng.randint(1, 6)) for _ in range(rng.randint(0, 25))]
+        every = {(d, p, at) for d, p, start, n in found for at in range(start, start + n)}
+        got = list(repeats.merged(found))
+        spread = [(d, p, at) for d, p, start, n in got for at in range(start, start + n)]
+        assert len(spread) == len(set(spread)) and set(spread) == every
+        assert not {(d, p, start + n) for d, p, start, n in got} & {r[:3] for r in got}  # none touch
+
+
 def test_common_words_of_suffixes():
     for a, b, n in ((b"", b"", 0), (b"x y ", b"x y ", 2), (b"x y ", b"x yz ", 1), (b"x ", b"x y ", 1), (b"q ", b"r ", 0)):
         assert suffix_dedup.common_words(a, b) == suffix_dedup.common_words(b, a) == n

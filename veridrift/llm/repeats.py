@@ -176,12 +176,17 @@ def placed(rows: DataFrame, shared: DataFrame, shape: Shape, hot: np.ndarray) ->
         size = 0
 
         def reduced() -> Iterator[pa.RecordBatch]:
-            out = []
+            out, known = [], []
             for (key, gap, words), found in held.items():
                 found = set(found)  # rows may be repeated
                 least = min(found)[0]
-                # what is known needs no key: it only passes through, spread by document
-                out += [(key, gap, words, *f) if f[0] == least else (f[0], gap, None, *f) for f in found]
+                for f in found:
+                    if f[0] == least:
+                        out.append((key, gap, words, *f))
+                    else:
+                        known.append(f)
+            # what is known needs no key: it only passes through, spread by document, runs that touch as one
+            out += [(f[0], -1, None, *f) for f in merged(known)]
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _PLACED.types)], schema=_PLACED)
 
@@ -210,6 +215,20 @@ def runs(start: int, matched: list[bool]) -> Iterator[tuple[int, int]]:
             at = i + 1
 
 
+def merged(found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+    """``doc_id, part, start, run`` of the same windows, runs of a text that touch or overlap as one."""
+    now, end = None, 0
+    for doc, part, start, n in sorted(found):
+        if now and now[:2] == (doc, part) and start <= end:
+            end = max(end, start + n)
+            continue
+        if now:
+            yield *now, end - now[2]
+        now, end = (doc, part, start), start + n
+    if now:
+        yield *now, end - now[2]
+
+
 def run_table(out: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*out)) or [[]] * 4
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _PLACED.types[3:])], names=_PLACED.names[3:])
