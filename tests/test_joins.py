@@ -39,6 +39,28 @@ def test_overlapping_finds_all_pairs(spark, monkeypatch, heavy):
     assert got == want and want
 
 
+@pytest.mark.parametrize("cell", [similarity.LEAST_CELL, 64])
+def test_overlapping_compares_sets_once(spark, monkeypatch, cell):
+    for name in ("LEAST_CELL", "CELL"):
+        monkeypatch.setattr(similarity, name, cell)
+    monkeypatch.setattr(similarity, "TILE", 5)
+    rng = random.Random(5)
+    base = [[f"v{rng.randint(0, 400)}" for _ in range(n)] for n in (3, 40, 41, 60, 90, 150, 200)]
+    said = [" ".join(w if rng.random() > cut else f"x{rng.randint(0, 99)}" for w in ws) for ws in base for cut in (0, 0.1, 0.3, 0.4)]
+    said += [said[3]] * 60  # copies
+    rows = [(i, i % 3 if i % 10 else None, t) for i, t in enumerate(said)]
+    compared = []
+    candidates = similarity._candidates
+    monkeypatch.setattr(similarity, "_candidates", lambda signed, t: (compared.append(candidates(signed, t)), compared[0])[1])
+    a, b = (spark.createDataFrame(rows, f"{side}_id long, k long, {side}_text string") for side in ("claim", "source"))
+    sets = [(i, k, word_set(t)) for i, k, t in rows]
+    for on in ([], ["k"]):
+        compared.clear()
+        got = {(r.claim_id, r.source_id): r.overlap for r in similarity.overlapping(a, b, on).collect()}
+        want = {(i, j): round(len(x & y) / max(len(x), len(y)), 6) for i, k, x in sets for j, m, y in sets if (not on or k == m is not None) and len(x & y) >= 0.6 * max(len(x), len(y))}
+        assert got == want and compared[0].count() < 400  # of 88 * 87 / 2 pairs of texts, 60 of them copies
+
+
 @pytest.mark.parametrize("heavy", [similarity.HEAVY, 2])
 def test_best_source_among_all_sources(spark, monkeypatch, heavy):
     monkeypatch.setattr(similarity, "HEAVY", heavy)
