@@ -53,6 +53,19 @@ def test_entailment_clusters_compare_whole_texts(spark, tmp_path):
     assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 0, (1, 3): 2, (1, 4): 3, (2, 0): 0, (2, 1): 1, (2, 2): 0}
 
 
+def test_finance_claims_of_several_lines_take_the_first_supplier(spark, tmp_path):
+    lines = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double"
+    first, rest = [(k, 1, None if k == 3 else 5, 5.0) for k in range(1, 9)], [(k, 1, 6, 6.0) for k in range(1, 2000)]
+    for name, rows in (("a", first), ("b", rest)):  # the larger file is read first
+        spark.createDataFrame(rows, lines).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    os.makedirs(f"{tmp_path}/lineitem.parquet")
+    for name in ("a", "b"):
+        next(Path(tmp_path, name).glob("part-*.parquet")).rename(f"{tmp_path}/lineitem.parquet/{name}.parquet")
+    spark.createDataFrame([(5,), (6,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.claim_id: r.fact_value for r in QUERIES["finance_numeric_match"](spark, str(tmp_path)).collect()}
+    assert [got[k * 8 + 1] for k in range(1, 10)] == [5.0, 5.0, None, 5.0, 5.0, 5.0, 5.0, 5.0, 6.0]
+
+
 def test_entry(spark):
     import __spark_entry__
 
