@@ -5,6 +5,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from veridrift.functions import packs, scan
 from veridrift.operators import extraction, governance
@@ -92,3 +93,9 @@ def test_pattern_claims_keep_their_rules(spark):
     df = spark.createDataFrame([(1, "mail a.b@c.de or a.b@c.de now")], "k long, t string")
     rows = extraction.pattern_claims(df, "k", "t", {"email": r"[\w.]+@[\w.]+\w", "word": r"now"}).collect()
     assert [(r.claim_type, r.claim_text, r.start) for r in rows] == [("email", "a.b@c.de", 5), ("word", "now", 26)]
+
+
+def test_claims_of_a_small_file_are_sought_by_all_cores(spark, tmp_path):
+    spark.range(100).select("id", F.lit("governing law").alias("t")).coalesce(1).write.parquet(f"{tmp_path}/texts")
+    found = governance.domain_claims(spark.read.parquet(f"{tmp_path}/texts"), "id", "t", packs.LEGAL)
+    assert found.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism and found.count() == 100

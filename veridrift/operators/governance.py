@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.packs import DomainPack, is_narrow, reliability
 from ..functions.risk import needs_entropy, rank
 from ..functions.scan import Scanner
+from ..sources.shared import spread
 
 
 def domain_claims(df: DataFrame, key: str, text: str, pack: DomainPack) -> DataFrame:
-    """``key, pos, claim_id, claim_type, claim_text, start, stop, context, risk``: all claims of a domain, each text read once.
+    """``key, pos, claim_id, claim_type, claim_text, start, stop, context, risk``: all claims of a domain, each text read once by one of three tasks a core.
 
     Claims come in the order of the pack's rules and, within one, of their place; ids count them. ``start`` and ``stop`` are the match's
     place in the text (null for claims that are lines). Null texts have no claims.
@@ -36,7 +37,7 @@ def domain_claims(df: DataFrame, key: str, text: str, pack: DomainPack) -> DataF
                 kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
                 yield pa.record_batch([some.column("key").take(pa.array(owners, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["key", "pos", "claim_id", "claim_type", "claim_text", "start", "stop", "context"])
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key")
     found = rows.mapInArrow(run, f"key {kind}, pos int, claim_id string, claim_type string, claim_text string, start int, stop int, context string")
     return found.withColumnRenamed("key", key).withColumn("risk", pack.claim_risk(F.col("claim_type")))
 

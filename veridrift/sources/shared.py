@@ -35,6 +35,11 @@ def stored(df: DataFrame) -> DataFrame:
     return table
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` to three tasks a core: small files of many rows are few tasks as they are read, which is slow where each row takes long."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``stored`` that nothing reads any more."""
     for table in tables:
