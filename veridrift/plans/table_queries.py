@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import table_functions, terminology
 from ..operators import bootstrap, history, numbering, stages
 from ..sources import ledger, records
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, stored
 from ..streaming import monitors, outcome_store
 from .governance_queries import ORACLES
 from .registry import query, table
@@ -95,7 +95,8 @@ def _diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, p, y``: the share of a labelled document's words that are distinct, and its quality."""
     ws = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), "")
     docs = table(spark, sf_dir, "documents").select("doc_id", ws.alias("w")).where(F.size("w") > 0)
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", (F.size(F.array_distinct("w")) / F.size("w")).alias("p"), F.col("quality").alias("y"))
+    shares = docs.select("doc_id", (F.size(F.array_distinct("w")) / F.size("w")).alias("p"))  # ahead of the join, so that no words are shuffled
+    return shares.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "p", F.col("quality").alias("y"))
 
 
 def _weight_sql(key: str) -> str:
@@ -194,7 +195,7 @@ k AS (SELECT least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n, avg(y)
 SELECT doc_id, round(greatest(0.0, p - t), 6) AS lower, round(least(1.0, p + t), 6) AS upper, round(CASE WHEN n >= 5 THEN round(m, 10) ELSE p END, 6) AS calibrated FROM r JOIN k ON k.bin = least(CAST(floor(p * 10) AS INT), 9), th
 """)
 def fitted_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _diversity(spark, sf_dir)
+    rows = stored(_diversity(spark, sf_dir))  # every pass of the fit reads numbers, the texts are read once
     chosen = [stages.stage("conformal", inputCol="p", labelCol="y", target=0.9), stages.stage("histogram", inputCol="p", labelCol="y", bins=10, least=5)]
     path = shared_path(spark)
     Pipeline(stages=chosen).fit(rows).save(path)
