@@ -53,6 +53,18 @@ def test_entailment_clusters_compare_whole_texts(spark, tmp_path):
     assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 0, (1, 3): 2, (1, 4): 3, (2, 0): 0, (2, 1): 1, (2, 2): 0}
 
 
+def test_entailment_clusters_make_no_pairs(spark, tmp_path):
+    rows = [(1, 3, "b"), (1, 1, "a"), (1, 2, "b"), (1, 5, None), (1, 4, None), (1, 7, " B"), (1, None, "a"), (2, 0, ""), (2, 1, " "), (None, 0, "a")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    df = QUERIES["entailment_clusters"](spark, str(tmp_path))
+    assert "Join" not in df._jdf.queryExecution().toString() and dict(df.dtypes) == {"conv_id": "bigint", "turn": "bigint", "cluster_id": "int"}
+    assert {(r.conv_id, r.turn): r.cluster_id for r in df.collect()} == {(1, 1): 0, (1, 2): 1, (1, 3): 1, (1, 7): 1, (1, 4): 2, (1, 5): 3, (1, None): 4, (2, 0): 0, (2, 1): 0, (None, 0): 0}
+
+
+def test_fitted_pipeline_reads_texts_once(spark):
+    assert not [f for f in QUERIES["fitted_pipeline"](spark, SF).inputFiles() if "documents" in f]
+
+
 def test_finance_claims_of_several_lines_take_the_first_supplier(spark, tmp_path):
     lines = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double"
     first, rest = [(k, 1, None if k == 3 else 5, 5.0) for k in range(1, 9)], [(k, 1, 6, 6.0) for k in range(1, 2000)]

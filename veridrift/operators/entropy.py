@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, collapsed
@@ -68,14 +68,25 @@ def consistency(df: DataFrame, item: str, response: Column) -> DataFrame:
 
 def first_seen_clusters(df: DataFrame, item: str, order: str, response: Column) -> DataFrame:
     """Cluster numbers from 0 in order of first appearance of a response within its item."""
-    from pyspark.sql import Window
-
     marked = df.withColumn("_norm", response)
     first = marked.groupBy(item, "_norm").agg(F.min(order).alias("_first"))
     numbered = first.withColumn("cluster_id", F.dense_rank().over(Window.partitionBy(item).orderBy("_first")) - 1)
     return marked.join(numbered.select(item, "_norm", "cluster_id"), [item, "_norm"]).drop("_norm")
 
 
+def equal_clusters(df: DataFrame, item: str, order: str, response: Column) -> DataFrame:
+    """``entailment_clusters`` where equal responses of an item entail each other and no others do: linear, as no pairs are made.
+
+    Clusters are numbered from 0 by their first place. A row without item, place or response is a cluster of its own;
+    those without a place come last. Responses are told apart by SHA-256, rows are shuffled once.
+    """
+    alone = F.col(item).isNull() | F.col(order).isNull() | response.isNull()
+    rows = df.select(item, F.col(order).cast("long").alias(order), F.when(~alone, F.unhex(F.sha2(response, 256))).alias("_k"), F.when(alone, F.monotonically_increasing_id()).alias("_own"))
+    classes = rows.repartition(item).groupBy(item, "_k", "_own").agg(F.min(order).alias("_first"), F.collect_list(F.struct(order)).alias("_all"))
+    place = F.row_number().over(Window.partitionBy(item).orderBy(F.col("_first").asc_nulls_last(), "_k", "_own"))
+    return classes.select(item, "_all", (place - 1).alias("cluster_id")).select(item, F.explode("_all").alias("_x"), "cluster_id").select(item, f"_x.{order}", "cluster_id")
+
+
 def entailment_clusters(df: DataFrame, pairs: DataFrame, item: str, order: str) -> DataFrame:
     """Greedy clusters by two-way entailment: a response joins the first cluster whose first member entails it and is entailed by it.
 
