@@ -85,6 +85,27 @@ def test_best_source_among_all_sources(spark, monkeypatch, heavy):
         assert got[i] == (best[0], round(best[1], 6), status, best[2]), (i, x)
 
 
+@pytest.mark.parametrize("few", [similarity.FEW, 0])
+def test_claims_are_found_in_tasks_or_by_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(similarity, "FEW", few)
+    written = []
+    kept = similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df: (written.append(df), kept(df))[1])
+    a = texts(70, 6) + [(500, "w1 w2 w3 w4 w5"), (501, "w1"), (502, "1 w"), (503, "1 w2 w"), (504, "W1  w1 w1"), (505, None), (506, "")]
+    b = texts(60, 7) + [(700, "x w1 w2 w3 w4 w5 y"), (701, None), (702, "subw1 w2 w13"), (703, ""), (704, "w1 w1\tw1")]
+    sources = spark.createDataFrame(b, "source_id long, source_text string")
+    got = sorted((r.claim_id, r.source_id, r.shared, r.similarity, r.matched_text) for r in similarity.contained(spark.createDataFrame(a, "claim_id long, claim_text string"), sources).collect())
+    want = []
+    for i, x in a:
+        for j, y in b:
+            if word_set(x) and word_set(y):
+                both = len(word_set(x) & word_set(y))
+                like = 1.0 if " ".join(x.lower().split()) in " ".join(y.lower().split()) else both / len(word_set(x))
+                want += [(i, j, both, like, y[:200])] if like >= 0.5 else []
+    assert got == sorted(want) and bool(written) == (few == 0)  # few claims: no source is written
+    assert similarity.contained(spark.createDataFrame([(1, None)], "claim_id long, claim_text string"), sources).count() == 0
+
+
 def test_few_claims_leave_the_index_unshuffled(spark):
     claims = spark.createDataFrame([(1, "rare words here")], "claim_id long, claim_text string")
     sources = spark.createDataFrame(texts(50, 5), "source_id long, source_text string")
