@@ -192,6 +192,45 @@ def test_toxicity_on_held_out_rows(spark):
     assert [r.predicted for r in got if r.doc_id is None] == [1]
 
 
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """Each of 700 words marks six toxic documents, so a sample of documents knows too few of them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    plain, bad = [word() for _ in range(300)], [word() for _ in range(700)]
+    rows, labels = [], []
+    for i in range(8400):
+        words, toxic = rng.choices(plain, k=10), i % 2
+        if toxic:
+            words[rng.randrange(10)] = bad[i // 2 % 700]
+        rows.append((i, " ".join(words), "en", None, 0, ""))
+        labels.append((i, 1, toxic, None))
+    monkeypatch.setattr(toxicity, "SHARD_CHARS", 150_000, raising=False)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = [r for r in toxicity.score(docs, toxicity.learn(docs, spark.createDataFrame(labels, LABELS))).collect() if r.held_out]
+    assert np.mean([r.predicted for r in got if r.doc_id % 2]) > 0.9
+    assert np.mean([r.predicted for r in got if not r.doc_id % 2]) < 0.05
+
+
+def test_toxicity_sums_and_averages_over_shards(spark):
+    rows, labels = toxic_rows(300, 4)
+    examples = spark.createDataFrame([(i % 5, label, lang, text) for (i, text, lang, *_), (_, _, label, _) in zip(rows, labels)], "shard long, label int, lang string, text string")
+    count = lambda batches: toxicity._sent({f"{label} {lang}": c for (label, lang), c in toxicity._counts(toxicity._read(batches)).items()})
+    whole = toxicity._counts([([toxicity.split_words(r[1]) for r in rows], [x[2] for x in labels], [r[2] for r in rows])])
+    got = toxicity._totals(examples.repartition(3), count)
+    assert {k: c.tolist() for k, c in got.items()} == {f"{label} {lang}": c.tolist() for (label, lang), c in whole.items()}
+    state = toxicity._Fit(toxicity._begun(whole))
+    before, sums = state.model.table[:3].copy(), {}
+    for shard in range(4):  # all move vector 0, one moves vector 1, none vector 2; the filters follow the documents
+        own = state.copy()
+        own.model.table[:3] += shard
+        own.model.bias += shard
+        own.touched[0], own.touched[1], own.docs = 1, shard == 3, 1 + 2 * (shard == 3)
+        toxicity._add(sums, own.weighted())
+    state.averaged(sums)
+    assert state.model.table[:3] - before == pytest.approx(np.repeat([[1.5], [3], [0]], toxicity.DIM, axis=1), abs=1e-5)
+    assert state.model.bias == pytest.approx(np.full(len(state.model.bias), 2.0))
+
+
 def test_toxicity_reads_whole_texts_in_spans(spark, monkeypatch):
     rows, labels = toxic_rows(500, 6)
     model = toxicity.fitted([toxicity.split_words(r[1]) for r in rows], np.array([x[2] for x in labels], float), [r[2] for r in rows], 0.3)
