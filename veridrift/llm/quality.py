@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ SHRINK = 40
 THRESHOLD = 0.5
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
 BLANKS, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
+#: Features that the fit copies at a time.
+_BLOCK = 1 << 17
 _MIX32 = np.array([0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -81,27 +84,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -40, 40)))
 
 
+def _blocks(rows: list[tuple[int, np.ndarray, np.ndarray]], chosen: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, values and places of the chosen rows, in order, about ``_BLOCK`` at a time: all at once would be copied several times over."""
+    places, at = np.flatnonzero(chosen), 0
+    ends = np.cumsum([len(rows[k][1]) for k in places])
+    while at < len(places):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BLOCK, "right")))
+        own = [rows[k] for k in places[at:to]]
+        sizes = [len(r[1]) for r in own]
+        yield slice(places[at], places[to - 1] + 1), np.concatenate([r[1] for r in own]).astype(np.int64), np.concatenate([r[2] for r in own]).astype(np.float64), np.repeat(places[at:to], sizes)
+        at = to
+
+
 def _fitted(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float) -> Model:
     """Logistic regression by Adam on four fifths of the rows, Platt scaling on the rest, weighted to ``prior``."""
     y = np.array([r[0] for r in rows], np.float64)
     for_fit = np.arange(len(rows)) % 5 != 4
     if len(set(y[for_fit])) < 2 or len(set(y[~for_fit])) < 2:
         return Model()
-    at = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    idx, val = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]).astype(np.float64)
-    fit_at = for_fit[at]
-    rows_, idx_, val_ = at[fit_at], idx[fit_at], val[fit_at]
     w, b, m, v, mb, vb = np.zeros(2 << BITS), 0.0, np.zeros(2 << BITS), np.zeros(2 << BITS), 0.0, 0.0
     share = y[for_fit].mean()
     weight = for_fit * np.where(y > 0, prior / share, (1 - prior) / (1 - share)) / for_fit.sum()
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows_, val_ * w[idx_], len(rows)) + b
-        r = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * weight
-        g, gb = np.bincount(idx_, val_ * r[rows_], 2 << BITS) + DECAY * w / len(w), r.sum()
+        g, r = np.zeros(2 << BITS), np.zeros(len(rows))
+        for span, idx, val, at in _blocks(rows, for_fit):
+            z = np.bincount(at - span.start, val * w[idx], span.stop - span.start) + b
+            r[span] = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[span]) * weight[span]
+            np.add.at(g, idx, val * r[at])
+        gb = r.sum()
+        g += DECAY * w / len(w)
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         b -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    z = (np.bincount(at, val * w[idx], len(rows)) + b)[~for_fit]
+    z = np.zeros(len(rows))
+    for span, idx, val, at in _blocks(rows, ~for_fit):
+        z[span] = np.bincount(at - span.start, val * w[idx], span.stop - span.start)
+    z = (z + b)[~for_fit]
     yc = y[~for_fit]
     target = np.where(yc > 0, (yc.sum() + 1) / (yc.sum() + 2), 1 / (len(yc) - yc.sum() + 2))
     share = np.where(yc > 0, prior / yc.mean(), (1 - prior) / (1 - yc.mean())) / len(yc)
@@ -143,9 +161,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.record_batch([batch.column("doc_id"), batch.column("label"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], names=["doc_id", "label", "idx", "val"])
 
     found = ids_and_text(docs, id_col, text_col).where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    table = found.mapInArrow(to_features, "doc_id long, label int, idx array<int>, val array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    examples = [(y.as_py(), i.values.to_numpy(), v.values.to_numpy()) for y, i, v in zip(table["label"], table["idx"], table["val"])]
-    return _fitted(examples, prior) if examples else Model()
+    table = found.mapInArrow(to_features, "doc_id long, label int, idx array<int>, val array<float>").toArrow()
+    order = pc.sort_indices(table, [("doc_id", "ascending"), ("label", "ascending")]).to_pylist()  # places, so the features are not copied
+    examples = [(table["label"][k].as_py(), table["idx"][k].values.to_numpy(), table["val"][k].values.to_numpy()) for k in order]
+    model = _fitted(examples, prior) if examples else Model()
+    del table, examples
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _verdict(model: Model, text: str) -> tuple:
