@@ -11,7 +11,7 @@ import sentencepiece
 import xxhash
 
 from veridrift.llm import langid, piece_codec, piece_model, quality, simhash, token_counts
-from veridrift.llm.components import connected_components
+from veridrift.llm.components import connected_components, least_reached
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "  ", " a", "a ", "a  b\n c\t\td", "ﬁ é ＡＢ", "<s> x </s><unk>", "\x00a", "日本𠮷 x", "▁a ▁▁b", "   x   y   ", "▁", "ab▁", "é a", "x" * 3000, "word " * 4000]
@@ -453,3 +453,26 @@ def test_near_copies_of_deep_trees_meet():
             who, leaf, _ = tree.visits(right[:, k])
             met[who[leaf == home[who]]] = True
     assert alike.sum() > 150 and met[alike].mean() >= 0.9
+
+
+@pytest.mark.parametrize("radius", [3, 4])
+def test_fingerprints_visit_as_many_leaves_in_deep_trees(radius):
+    """What is routed grows with the input only: before, each level of the trees asked about 1.4 times as many leaves."""
+    fps = np.random.default_rng(3).integers(0, 2**63, 8192, dtype=np.uint64)
+    for depth in (4, 10):
+        forest = simhash._forest(fps, simhash.SHARD_SIZE << depth, radius)
+        assert forest[0].depth == depth
+        assert sum(len(tree.visits(fps)[0]) for tree in forest) == len(forest) * len(fps) <= 8 * len(fps)
+
+
+@pytest.mark.parametrize("guests", [0.0, 0.5])
+def test_comparison_by_size_joins_all_close_pairs(guests):
+    rng = np.random.default_rng(9)
+    shapes = np.repeat(rng.integers(0, 2**63, (60, 2), dtype=np.uint64), 12, 0) ^ (np.uint64(1) << rng.integers(0, 63, (720, 2), dtype=np.uint64))
+    sizes, own, ids = rng.integers(0, 60, 720) ** 2, rng.random(720) >= guests, np.arange(720)
+    bits = sum(np.bitwise_count(shapes[:, None, k] ^ shapes[None, :, k]).astype(int) for k in range(2))
+    close = (bits <= 4) & (np.minimum.outer(sizes, sizes) >= 0.8 * np.maximum.outer(sizes, sizes)) & (own[:, None] | own[None, :]) & (ids[:, None] < ids)
+    u, v = simhash.Near(4, 0.8).lightest(own, shapes, sizes, ids, ids)
+    assert close[np.minimum(u, v), np.maximum(u, v)].all()
+    want, got = (dict(zip(*(x.tolist() for x in least_reached(*e)))) for e in (np.nonzero(close), (u, v)))
+    assert want == got and len(want) > 300 and len(set(want.values())) < len(want) - 150

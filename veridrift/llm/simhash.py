@@ -18,11 +18,13 @@ from .words import MIX, hashed_windows, hashed_words
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints for each shard, and the sample that the trees are shaped by.
 SHARD_SIZE, LINK_SHARD, SAMPLE = 4096, 512, 16_384
+#: Blocks of a fingerprint's bits, each with a tree.
+BLOCKS = 8
 #: Members of a leaf beyond which it is dealt, and the members that all its parts share.
 LEAF_MOST, PIVOTS = 4 * SHARD_SIZE, 8
 _CHUNK = 65_536
-#: Distances that a task computes at a time.
-_COMPARED = 1 << 20
+#: Distances that a task computes at a time, and the members at least that it does so for.
+_COMPARED, _ROWS = 1 << 20, 64
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -59,7 +61,7 @@ class VantageTree:
     """A complete vantage-point tree over one block of the bits; node i has the children 2i+1 (inside) and 2i+2."""
 
     mask: np.uint64
-    reach: int  # a pair within RADIUS differs in some block by this much at most
+    reach: int  # a pair within the radius differs in some block by this much at most
     depth: int
     points: np.ndarray
     radii: np.ndarray
@@ -79,15 +81,14 @@ class VantageTree:
 
     def _cut(self, own: np.ndarray) -> tuple[np.uint64, int]:
         """Of a few points and near-median radii: the even cut with the fewest members at its border."""
-        best = None
+        best, r = None, np.arange(64)
         for point in own[:: max(1, len(own) // 8)][:8]:
-            counts = np.bincount(np.bitwise_count((own ^ point) & self.mask), minlength=66)
-            below = np.cumsum(counts)
-            for r in range(64):
-                border = counts[max(0, r - self.reach + 1) : r + self.reach + 1].sum()
-                cost = max(below[r], len(own) - below[r]) + border
-                if best is None or cost < best[0]:
-                    best = cost, point, r
+            below = np.concatenate([[0], np.cumsum(np.bincount(np.bitwise_count((own ^ point) & self.mask), minlength=66))])
+            border = below[np.minimum(r + self.reach + 1, 66)] - below[np.maximum(r - self.reach + 1, 0)] if self.reach else 0
+            cost = np.maximum(below[r + 1], len(own) - below[r + 1]) + border
+            at = int(np.argmin(cost))
+            if best is None or cost[at] < best[0]:
+                best = cost[at], point, at
         return best[1], best[2]
 
     def distance(self, fps: np.ndarray, node) -> np.ndarray:
@@ -103,6 +104,8 @@ class VantageTree:
     def visits(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the fingerprint, leaf, and whether the leaf is its own, for each leaf that its ball of ``reach`` meets."""
         who, node, own = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+        if not self.reach:  # equal blocks go the same way
+            return who, self.leaf(fps), own
         for _ in range(self.depth):
             d, r = self.distance(fps[who], node), self.radii[node]
             into, out = d - self.reach <= r, d + self.reach > r
@@ -112,12 +115,15 @@ class VantageTree:
         return who, node, own
 
 
-def _forest(sample: np.ndarray, count: int, radius: int, shard_size: int | None = None) -> list[VantageTree]:
-    """A tree for each of three blocks of the bits: some block of a pair within ``radius`` differs by a third of it at most."""
+def _forest(sample: np.ndarray, count: int, radius: int, shard_size: int | None = None, blocks: int = BLOCKS) -> list[VantageTree]:
+    """A tree for each block of the bits: some block of a pair within ``radius`` differs by its share of it at most.
+
+    With more blocks than ``radius`` one is equal, so a fingerprint visits its own leaf only, however deep the trees are.
+    """
     depth = max(0, int(np.ceil(np.log2(max(1, count / (shard_size or SHARD_SIZE))))))
     depth = min(depth, max(0, int(np.log2(max(1, len(sample) // 4)))))
-    bounds = (0, 21, 42, 64)
-    return [VantageTree.shaped(sample, (1 << b) - (1 << a), radius // 3, depth) for a, b in zip(bounds, bounds[1:])]
+    bounds = [64 * k // blocks for k in range(blocks + 1)]
+    return [VantageTree.shaped(sample, (1 << b) - (1 << a), radius // blocks, depth) for a, b in zip(bounds, bounds[1:])]
 
 
 def spanning_forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, members: int) -> np.ndarray:
@@ -151,25 +157,54 @@ class Near:
     similarity: float = 0.0
 
     def lightest(self, own: np.ndarray, shapes: np.ndarray, sizes: np.ndarray | None, label: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the close pairs (own member, any member) a minimum spanning forest over the labels; pairs of one kind are passed over."""
+        """Of the close pairs (own member, any member) a minimum spanning forest over the labels; pairs of one kind are passed over.
+
+        Members are taken in order of size, and those of a few neighbouring sizes are compared with the sizes that can be alike only.
+        """
         _, place = np.unique(label, return_inverse=True)
+        order = np.arange(len(own)) if sizes is None else np.argsort(sizes, kind="stable")
+        own, shapes, place, kind = own[order], shapes[order], place[order], kind[order]
+        sizes = None if sizes is None else sizes[order]
         u, v, w = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
-        mine = np.flatnonzero(own)
-        step = max(1, _COMPARED // max(1, len(own)))
-        for at in range(0, len(mine), step):
+        mine, all_own, more, held = np.flatnonzero(own), own.all(), [], 0
+
+        def chosen() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b, c = (np.concatenate(x) for x in zip((u, v, w), *more))
+            kept = spanning_forest(place[a], place[b], c, len(own))
+            return a[kept], b[kept], c[kept]
+
+        def upto(row: int) -> int:
+            return int(np.searchsorted(sizes, sizes[row] / self.similarity + 1e-6, side="right"))
+
+        at = 0
+        while at < len(mine):
+            low, high = mine[at] if all_own else 0, len(own)
+            step = max(1, _COMPARED // (high - low))
+            if sizes is not None:
+                low = low if all_own else np.searchsorted(sizes, sizes[mine[at]] * self.similarity - 1e-6)
+                step = max(_ROWS, (upto(mine[at]) - low) // 2)
+                while step > 1 and step * (upto(mine[min(at + step, len(mine)) - 1]) - low) > _COMPARED:
+                    step //= 2
+                high = upto(mine[min(at + step, len(mine)) - 1])
             rows = mine[at : at + step]
-            apart = np.zeros((len(rows), len(own)), np.uint8)
+            at += step
+            apart = np.zeros((len(rows), high - low), np.uint8)
             for k in range(shapes.shape[1]):
-                apart += np.bitwise_count(shapes[rows, k][:, None] ^ shapes[None, :, k])
+                apart += np.bitwise_count(shapes[rows, k][:, None] ^ shapes[None, low:high, k])
             i, j = np.nonzero(apart <= self.bits)
+            weight, j = apart[i, j], j + low
             near = (kind[rows[i]] != kind[j]) & ~(own[j] & (j <= rows[i]))
             if sizes is not None:
                 near &= np.minimum(sizes[rows[i]], sizes[j]) >= self.similarity * np.maximum(sizes[rows[i]], sizes[j])
-            i, j = i[near], j[near]
-            u, v, w = np.concatenate([u, rows[i]]), np.concatenate([v, j]), np.concatenate([w, apart[i, j]])
-            chosen = spanning_forest(place[u], place[v], w, len(own))
-            u, v, w = u[chosen], v[chosen], w[chosen]
-        return u, v
+            if near.any():
+                more.append((rows[i[near]], j[near], weight[near]))
+                held += int(near.sum())
+            if held > _COMPARED:
+                u, v, w = chosen()
+                more, held = [], 0
+        if more:
+            u, v, w = chosen()
+        return order[u], order[v]
 
 
 def _meetings(distinct: DataFrame, node: str, trees: list[tuple[str, VantageTree]], shapes: list[str], near: Near, size: str | None = None) -> DataFrame:
@@ -311,13 +346,13 @@ def _dealt_first(distinct: DataFrame, node: str, columns: list[str], spread, sha
 def links(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE, shard_size: int | None = None) -> DataFrame:
     """Edges ``u, v`` between distinct fingerprints (column ``fp``) that connect all pairs within ``radius`` bits.
 
-    Trees are shaped by a bounded sample and broadcast (three of at most ``SAMPLE / 4`` nodes);
-    every fingerprint is routed. Leaves aim at ``shard_size`` members (``LINK_SHARD``, ``SHARD_SIZE`` if that is less), as the comparisons in a leaf grow with its square
+    Trees are shaped by a bounded sample and broadcast (one more than ``radius``, of at most ``SAMPLE / 4`` nodes each);
+    every fingerprint is routed, to one leaf of each, as some block of a close pair is equal. Leaves aim at ``shard_size`` members (``LINK_SHARD``, ``SHARD_SIZE`` if that is less), as the comparisons in a leaf grow with its square
     and a fingerprint of eight bytes is cheap to route.
     """
     sample = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(sample_size)).alias("bucket")).agg(F.min("fp").alias("fp"))
     points = np.array([r.fp for r in sample.select("fp").orderBy(F.xxhash64("fp"), "fp").collect()], np.int64).view(np.uint64)
-    trees = [("fp", tree) for tree in _forest(points, distinct.count(), radius, shard_size or min(LINK_SHARD, SHARD_SIZE))]
+    trees = [("fp", tree) for tree in _forest(points, distinct.count(), radius, shard_size or min(LINK_SHARD, SHARD_SIZE), radius + 1)]
     return _meetings(distinct.select("fp"), "fp", trees, ["fp"], Near(radius))
 
 
@@ -404,10 +439,11 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def candidates(distinct: DataFrame, similarity: float = SIMILARITY, sample_size: int = SAMPLE) -> DataFrame:
-    """Edges ``u, v`` that connect all nodes that may be as similar and meet in one of three vantage-point trees over each fingerprint.
+    """Edges ``u, v`` that connect all nodes that may be as similar and meet in one of the vantage-point trees over each fingerprint.
 
     Routing is that of ``links``, by words and word pairs; distances are those of the shingles'
-    fingerprints. The edges are the lightest that connect, so most of them are links.
+    fingerprints. Each of ``BLOCKS`` blocks has a tree, so nodes within ``BLOCKS - 1`` bits of a fingerprint meet for certain, and
+    a node goes to as many leaves whatever the size of the input. The edges are the lightest that connect, so most of them are links.
     """
     sample = distinct.groupBy(F.pmod(F.xxhash64(*_FPS), F.lit(sample_size)).alias("bucket")).agg(F.min(F.struct(*_FPS)).alias("fps"))
     points = np.array([tuple(r) for r in sample.select("fps.*").orderBy(F.xxhash64(*_FPS), *_FPS).collect()], np.int64).reshape(-1, WIDE).view(np.uint64)
