@@ -476,3 +476,12 @@ def test_comparison_by_size_joins_all_close_pairs(guests):
     assert close[np.minimum(u, v), np.maximum(u, v)].all()
     want, got = (dict(zip(*(x.tolist() for x in least_reached(*e)))) for e in (np.nonzero(close), (u, v)))
     assert want == got and len(want) > 300 and len(set(want.values())) < len(want) - 150
+
+
+def test_trees_are_shaped_by_fingerprints_of_all_values(spark, monkeypatch):
+    """The sample once took the least value of each bucket, so first bits were the same and the last tree had one leaf for most."""
+    seen, forest = [], simhash._forest
+    monkeypatch.setattr(simhash, "_forest", lambda points, *a: (seen.append(points), forest(points, *a))[1])
+    simhash.links(spark.range(6000).selectExpr("xxhash64(id) as fp"), sample_size=128)
+    first = (seen[0] >> np.uint64(61)).astype(int)
+    assert len(first) == 128 and np.bincount(first, minlength=8).max() < 40

@@ -350,7 +350,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, sample_size: int = SAMPLE,
     every fingerprint is routed, to one leaf of each, as some block of a close pair is equal. Leaves aim at ``shard_size`` members (``LINK_SHARD``, ``SHARD_SIZE`` if that is less), as the comparisons in a leaf grow with its square
     and a fingerprint of eight bytes is cheap to route.
     """
-    sample = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(sample_size)).alias("bucket")).agg(F.min("fp").alias("fp"))
+    sample = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(sample_size)).alias("bucket")).agg(F.min_by("fp", F.xxhash64(F.lit(SEED), "fp")).alias("fp"))  # by another hash: least values have their first bits in common
     points = np.array([r.fp for r in sample.select("fp").orderBy(F.xxhash64("fp"), "fp").collect()], np.int64).view(np.uint64)
     trees = [("fp", tree) for tree in _forest(points, distinct.count(), radius, shard_size or min(LINK_SHARD, SHARD_SIZE), radius + 1)]
     return _meetings(distinct.select("fp"), "fp", trees, ["fp"], Near(radius))
@@ -445,7 +445,7 @@ def candidates(distinct: DataFrame, similarity: float = SIMILARITY, sample_size:
     fingerprints. Each of ``BLOCKS`` blocks has a tree, so nodes within ``BLOCKS - 1`` bits of a fingerprint meet for certain, and
     a node goes to as many leaves whatever the size of the input. The edges are the lightest that connect, so most of them are links.
     """
-    sample = distinct.groupBy(F.pmod(F.xxhash64(*_FPS), F.lit(sample_size)).alias("bucket")).agg(F.min(F.struct(*_FPS)).alias("fps"))
+    sample = distinct.groupBy(F.pmod(F.xxhash64(*_FPS), F.lit(sample_size)).alias("bucket")).agg(F.min_by(F.struct(*_FPS), F.xxhash64(F.lit(SEED), *_FPS)).alias("fps"))
     points = np.array([tuple(r) for r in sample.select("fps.*").orderBy(F.xxhash64(*_FPS), *_FPS).collect()], np.int64).reshape(-1, WIDE).view(np.uint64)
     count = distinct.count()
     trees = [(_FPS[k], tree) for k in range(WIDE) for tree in _forest(points[:, k].copy(), count, 3)]
