@@ -1,5 +1,7 @@
 """Analyses from a note's text to its queue: golden cases and verifiers."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,29 @@ def test_responses_from_text_to_verdict(spark):
     assert {(r.k, r.claim_type, r.status) for r in checked.collect()} == {(1, "performance_figure", "verified"), (1, "forward_looking", "compliant"), (2, "guaranteed_return", "prohibited")}
     verdicts = {r.k: r for r in notes.govern_responses(checked, "k", "finance").collect()}
     assert verdicts[1].passed and not verdicts[2].passed and verdicts[2].risk == "critical" and verdicts[2].review_level == "detailed" and verdicts[2].escalation
+
+
+def test_legal_responses_of_odd_rows(spark):
+    cite = "Ring v. Widget, 347 U.S. 483"
+    said = spark.createDataFrame([(1, f"{cite}; 42 U.S.C. § 1983; statute of limitations is 3 years"), (1, f"{cite}; 42 U.S.C. § 1983; statute of limitations is 3 years"), (2, f"{cite}; governing law; subject matter jurisdiction"), (3, None), (4, ""), (None, cite)], "k long, text string")
+    sources = spark.createDataFrame([(1, f"title 42 section 1983, within 3 years of {cite}"), (2, None), (None, cite)], "k long, source string")
+    checked = notes.verify_responses(said, sources, "legal", "k")
+    got = Counter((r.k, r.claim_type, r.status, r.confidence, r.claim_risk, tuple(r.warnings)) for r in checked.collect())
+    assert got == {
+        (1, "case_citation", "verified", 0.95, "low", ()): 4,  # a response that comes twice is joined with itself
+        (1, "statute_reference", "verified", 0.9, "low", ()): 4,
+        (1, "limitation_period", "verified", 0.8, "low", ()): 4,
+        (2, "case_citation", "not_found", 0.0, "critical", ()): 1,
+        (2, "contract_clause", "not_found", 0.0, "high", ("clause not found",)): 1,
+        (2, "jurisdiction", "needs_review", 0.5, "medium", ("legal analysis needed",)): 1,
+    }
+
+
+def test_citations_are_matched_once(spark):
+    said = spark.createDataFrame([(1, "Ring v. Widget, 347 U.S. 483")], "k long, text string")
+    plan = notes.verify_responses(said, said.select("k", F.col("text").alias("source")), "legal", "k")._jdf.queryExecution().optimizedPlan()
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        assert plan.toString().count("regexp_extract(") <= 30  # six parts of a case, a period, and parts of a statute in two codes
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")

@@ -99,3 +99,7 @@ def test_claims_of_a_small_file_are_sought_by_all_cores(spark, tmp_path):
     spark.range(100).select("id", F.lit("governing law").alias("t")).coalesce(1).write.parquet(f"{tmp_path}/texts")
     found = governance.domain_claims(spark.read.parquet(f"{tmp_path}/texts"), "id", "t", packs.LEGAL)
     assert found.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism and found.count() == 100
+
+
+def test_folded_text_has_plain_letters():
+    assert scan.folded("") == "" and scan.folded("\u0130\u0131\u017f\u212a \u00c9\u00a7 SKI") == "iisk \u00e9\u00a7 ski"

@@ -9,12 +9,14 @@ from dataclasses import dataclass
 from re import _parser as syntax
 
 #: Letters that case-insensitive patterns take for i, s and k, though their lower case is another letter.
-_ALIKE = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
+_ALIKE = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
 
 
 def folded(text: str) -> str:
     """Text in which every literal of a case-insensitive pattern is found by its own ``folded`` form."""
-    return text.translate(_ALIKE).lower()
+    for letter, plain in _ALIKE.items():  # rare letters: a search for each is far cheaper than a look at every character
+        text = text.replace(letter, plain)
+    return text.lower()
 
 
 def required(pattern: str) -> frozenset[str] | None:

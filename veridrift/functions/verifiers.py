@@ -92,15 +92,17 @@ def healthcare(claim_type: Column, claim: Column, transcript: Column) -> Column:
     )
 
 
-def case_citation(claim: Column, source: Column) -> Column:
-    got = domains.case_check(domains.case_parts(claim), source)
+def case_citation(got: Column) -> Column:
+    """From ``case_check``."""
     return _verdict(got["passed"], got["confidence"], got["risk"], got["status"], got["warnings"], got["fabricated"])
 
 
-def statute_citation(claim: Column, source: Column) -> Column:
+def statute_known(parts: Column, claim: Column, source: Column) -> Column:
     """Title before section, the section by name, or the whole citation; only citations of the federal codes have parts to look for."""
-    parts = domains.statute_parts(claim)
-    known = parts["title"].isNotNull() & parts["section"].isNotNull() & domains.statute_check(parts, claim, source)
+    return parts["title"].isNotNull() & parts["section"].isNotNull() & domains.statute_check(parts, claim, source)
+
+
+def statute_citation(known: Column) -> Column:
     return _verdict(known, F.when(known, 0.9).otherwise(0.0), F.when(known, "low").otherwise("high"), F.when(known, "verified").otherwise("not_found"), _warned(~known, "statute unverified"))
 
 
@@ -114,21 +116,31 @@ def clause(claim: Column, kind: Column, source: Column) -> Column:
     return _verdict(whole | named, F.when(whole, 1.0).when(named, 0.7).otherwise(0.0), F.when(whole, "low").when(named, "medium").otherwise("high"), status, warnings)
 
 
-def limitation(period: Column, source: Column) -> Column:
-    known = domains.limitation_check(period, source)
+def limitation(known: Column) -> Column:
     return _verdict(known, F.when(known, 0.8).otherwise(0.0), F.when(known, "low").otherwise("medium"), F.when(known, "verified").otherwise("not_found"), _warned(~known, "limitation period unverified"))
 
 
-def legal(claim_type: Column, claim: Column, source: Column, matched: Column) -> Column:
-    """A legal claim against its source. ``matched``: the words that the pattern found within a claim that has context."""
-    period = F.regexp_extract(matched, r"(\d+)", 1)
+def period(matched: Column) -> Column:
+    """The number that a limitation period names, null without one."""
+    return F.nullif(F.regexp_extract(matched, r"(\d+)", 1), F.lit(""))
+
+
+def legal(claim_type: Column, claim: Column, source: Column, matched: Column, case: Column | None = None, known: Column | None = None) -> Column:
+    """A legal claim against its source. ``matched``: the words that the pattern found within a claim that has context.
+
+    ``case`` (``case_check``) and ``known`` (whether the source has the statute or the limitation period): for callers that have them as columns.
+    Spark works out an expression anew wherever a branch of the verdict names it, but a column once.
+    """
+    case = domains.case_check(domains.case_parts(claim), source) if case is None else case
+    statute = statute_known(domains.statute_parts(claim), claim, source) if known is None else known
+    limited = domains.limitation_check(period(matched), source) if known is None else known
     review = _verdict(False, 0.5, "medium", "needs_review", F.array(F.lit("legal analysis needed")))
     return (
-        F.when(claim_type == "case_citation", case_citation(claim, source))
-        .when(claim_type == "statute_reference", statute_citation(claim, source))
+        F.when(claim_type == "case_citation", case_citation(case))
+        .when(claim_type == "statute_reference", statute_citation(statute))
         .when(claim_type == "contract_clause", clause(claim, matched, source))
         .when(claim_type == "jurisdiction", review)
-        .when(claim_type == "limitation_period", limitation(F.nullif(period, F.lit("")), source))
+        .when(claim_type == "limitation_period", limitation(limited))
         .otherwise(generic(claim, source))
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import packs, verifiers
+from ..functions import domains, packs, verifiers
 from ..functions.risk import entropy_band, supplied_or_half
 from ..functions.text import faithfulness, faithfulness_level
 from . import analysis, entropy, extraction, governance, verification
@@ -75,7 +75,11 @@ def verify_responses(responses: DataFrame, sources: DataFrame, domain: str, key:
     if domain == "healthcare":
         verdict = verifiers.healthcare(kind, claim, source)
     elif domain == "legal":
-        verdict = verifiers.legal(kind, claim, source, matched)
+        of = lambda t, c: F.when(kind == t, c)
+        met = met.withColumns({"_case": domains.case_parts(of("case_citation", claim)), "_statute": domains.statute_parts(of("statute_reference", claim)), "_period": verifiers.period(of("limitation_period", matched))})
+        known = F.when(kind == "limitation_period", domains.limitation_check(F.col("_period"), source)).otherwise(verifiers.statute_known(F.col("_statute"), claim, source))
+        met = met.withColumns({"_case": domains.case_check(F.col("_case"), source), "_known": known})
+        verdict = verifiers.legal(kind, claim, source, matched, F.col("_case"), F.col("_known"))
     else:
         returns, fees = (F.col("returns"), F.col("fees")) if numbers else (none, none)
         verdict = verifiers.finance(kind, claim, source, matched, F.col("_response"), returns, fees)
