@@ -168,6 +168,15 @@ def test_phi(spark):
     assert got == [("ssn", "SSN [SSN]"), ("phone", "call [PHONE]"), ("email", "mail [EMAIL]"), ("date", "on [DATE]"), (None, "none")]
 
 
+def test_redaction_seeks_addresses_where_an_at_sign_is(spark):
+    long = "a." * 20000
+    rows = [(None,), ("",), ("@",), ("a@b",), ("x@y.org, 123-45-6789@b.co, 5551234567@c.de; 1/2/2024",), ("\u00e9.a@b.co +a@b.co|",), ("1/2/24 5551234567 123-45-6789",), (long,)]
+    got = [r[0] for r in values(spark, rows, "t string", domains.redacted(F.col("t")))]
+    assert got == [None, "", "@", "a@b", "[EMAIL], [SSN]@b.co, [PHONE]@c.de; [DATE]", "\u00e9[EMAIL] +[EMAIL]|", "[DATE] [PHONE] [SSN]", long]
+    plan = spark.createDataFrame(rows, "t string").select(domains.redacted(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "WHEN Contains(t#" in plan  # in an unbroken run the pattern's cost grows with the square of its length
+
+
 def test_compliance(spark):
     rows = [("guaranteed return of 5%",), ("it will grow",), ("it will grow. Past performance does not guarantee results",), ("I advise you to wait; privileged",)]
     got = values(spark, rows, "t string", domains.finance_flags(F.col("t")), domains.legal_flags(F.col("t")))
